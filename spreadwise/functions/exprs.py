@@ -69,10 +69,32 @@ def tier(rate: Column, cuts: Sequence[tuple[float, str]], otherwise: str) -> Col
     return out.otherwise(F.lit(otherwise))
 
 
+# Fixed value: rounding offset shared with the SQL oracle. Decimal ties (x.xxxx5) are common
+# in money ratios and engines break them differently; an offset just under one half moves
+# every rounding boundary off those ties, so equal doubles give equal text in any engine.
+ROUND_OFFSET = 0.4999999937
+
+
 def rnd(c: str | Column, digits: int) -> Column:
-    """Round for reports; -0.0 becomes 0.0 so text forms agree."""
-    r = F.round(col(c), digits)
-    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+    """Round for compared outputs: ``floor(x * 10^d + offset) / 10^d`` in plain IEEE double
+    (values beyond 1e15 after scaling are left as they are)."""
+    scale = F.lit(float(10 ** digits))
+    y = col(c).cast("double") * scale
+    r = F.when(F.abs(y) < F.lit(1e15), F.floor(y + F.lit(ROUND_OFFSET)).cast("double")).otherwise(y)
+    return r / scale
+
+
+def rnd_sig(c: str | Column, sig: int) -> Column:
+    """Round to ``sig`` significant digits with the same IEEE steps as the oracle (for values
+    whose magnitude is unbounded, e.g. drawdowns of a running product)."""
+    x = col(c).cast("double")
+    e = F.floor(F.log10(F.abs(x)))
+    d = F.lit(sig - 1) - e
+    up = F.pow(F.lit(10.0), d.cast("double"))
+    down = F.pow(F.lit(10.0), (-d).cast("double"))
+    r = (F.when(d >= 0, F.floor(x * up + F.lit(ROUND_OFFSET)).cast("double") / up)
+         .otherwise(F.floor(x / down + F.lit(ROUND_OFFSET)).cast("double") * down))
+    return F.when(x == 0, F.lit(0.0)).when(F.abs(d) <= 22, r).otherwise(x)
 
 
 def count_if(cond: Column) -> Column:

@@ -62,7 +62,7 @@ def breakdown(df: DataFrame) -> DataFrame:
     a, p = F.col("future_cds_change_abs"), F.col("future_cds_change_pct")
     return df.agg(count_if((a >= ABS_THRESHOLD) & (p < PCT_THRESHOLD)).alias("abs_only"),
                   count_if((a < ABS_THRESHOLD) & (p >= PCT_THRESHOLD)).alias("pct_only"),
-                  count_if((a >= ABS_THRESHOLD) & (p >= PCT_THRESHOLD)).alias("both"))
+                  count_if((a >= ABS_THRESHOLD) & (p >= PCT_THRESHOLD)).alias("abs_and_pct"))
 
 
 def change_stats(df: DataFrame) -> DataFrame:
