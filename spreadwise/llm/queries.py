@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .frames import read_table
 from .substring_dedup import remove_repeated_passages
+from .suffix_dedup import remove_repeated_bytes
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(read_table(spark, sf_dir, "documents"), window=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup,)
+    f.__name__: f for f in (
+        op1_substring_dedup, op3_suffix_dedup,
+    )
 }
 
 
