@@ -37,3 +37,32 @@ def substring_bytes(rows, window):
         spans = sum(1 for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1]))
         out.append((i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))))
     return out
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower_ascii(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def decontaminate(rows, items, window=10):
+    """Returns (id, n_words, n_hit, n_items, sha of items, contaminated)."""
+    wins = {}
+    for i, t in items:
+        w = ALNUM.findall(lower_ascii(t))
+        for p in range(max(1, len(w) - window + 1) if w else 0):
+            wins.setdefault(tuple(w[p:p + window]), set()).add(i)
+    sizes = {len(w) for w in wins}
+    out = []
+    for i, t in rows:
+        w = ALNUM.findall(lower_ascii(t))
+        hit, found = [False] * len(w), set()
+        for n in sizes:
+            for p in range(len(w) - n + 1):
+                if (x := wins.get(tuple(w[p:p + n]))) is not None:
+                    hit[p:p + n] = [True] * n
+                    found |= x
+        found = sorted(str(x) for x in found if x is not None)
+        out.append((i, len(w), sum(hit), len(found), sha(",".join(found)), any(hit)))
+    return out
