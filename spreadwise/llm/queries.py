@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_benchmark_spans
 from .frames import read_table
+from .sentencepiece_codec import sentencepiece_round_trip
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_bytes
 
@@ -29,9 +30,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, installed alike on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_round_trip(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op3_suffix_dedup, op10_decontaminate,
+        op1_substring_dedup, op3_suffix_dedup, op4_sentencepiece, op10_decontaminate,
     )
 }
 
