@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_benchmark_spans
-from .frames import read_table
+from .frames import crc_mod, read_table
+from .language_id import identify_language
 from .sentencepiece_codec import sentencepiece_round_trip
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_bytes
@@ -40,9 +41,13 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_round_trip(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op3_suffix_dedup, op4_sentencepiece, op10_decontaminate,
+        op1_substring_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op10_decontaminate,
     )
 }
 
