@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_lm import score_texts
 from .decontaminate import find_benchmark_spans
 from .frames import crc_mod, read_table
 from .language_id import identify_language
@@ -45,9 +46,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op10_decontaminate,
+        op1_substring_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op6_lm_scoring,
+        op10_decontaminate,
     )
 }
 
