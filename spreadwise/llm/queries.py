@@ -11,6 +11,7 @@ from .byte_lm import score_texts
 from .decontaminate import find_benchmark_spans
 from .frames import crc_mod, read_table
 from .language_id import identify_language
+from .quality import judge_quality
 from .sentencepiece_codec import sentencepiece_round_trip
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_bytes
@@ -50,10 +51,17 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    out = judge_quality(read_table(spark, sf_dir, "documents")).withColumn("base_failed", failed)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      (~failed & F.col("kept")).alias("kept"), "p_good")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op6_lm_scoring,
-        op10_decontaminate,
+        op9_quality, op10_decontaminate,
     )
 }
 

@@ -66,3 +66,16 @@ def decontaminate(rows, items, window=10):
         found = sorted(str(x) for x in found if x is not None)
         out.append((i, len(w), sum(hit), len(found), sha(",".join(found)), any(hit)))
     return out
+
+
+def quality_counts(t):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of one text."""
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    count = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    again = set()
+    for i in range(len(w) - 2):
+        if count[tuple(w[i:i + 3])] > 1:
+            again |= {i, i + 1, i + 2}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again)
