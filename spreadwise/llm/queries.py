@@ -15,6 +15,7 @@ from .quality import judge_quality
 from .sentencepiece_codec import sentencepiece_round_trip
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_bytes
+from .toxicity import score_toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +59,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (~failed & F.col("kept")).alias("kept"), "p_good")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op6_lm_scoring,
-        op9_quality, op10_decontaminate,
+        op7_toxicity, op9_quality, op10_decontaminate,
     )
 }
 
