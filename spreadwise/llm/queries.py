@@ -11,6 +11,7 @@ from .byte_lm import score_texts
 from .decontaminate import find_benchmark_spans
 from .frames import crc_mod, read_table
 from .language_id import identify_language
+from .minhash_dedup import near_duplicate_classes
 from .quality import judge_quality
 from .sentencepiece_codec import sentencepiece_round_trip
 from .substring_dedup import remove_repeated_passages
@@ -23,6 +24,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(read_table(spark, sf_dir, "documents"), window=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,7 +70,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op6_lm_scoring,
+        op1_substring_dedup, op2_minhash_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op6_lm_scoring,
         op7_toxicity, op9_quality, op10_decontaminate,
     )
 }

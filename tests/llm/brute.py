@@ -79,3 +79,37 @@ def quality_counts(t):
         if count[tuple(w[i:i + 3])] > 1:
             again |= {i, i + 1, i + 2}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again)
+
+
+def shingle_weights(t, size=5):
+    w = WORD.findall(t or "")
+    return Counter(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else Counter()
+
+
+def jaccard(a, b):
+    either = sum((a | b).values())
+    return sum((a & b).values()) / either if either else 0.0
+
+
+def near_classes(rows, threshold=0.8):
+    """Least id of the class of each row (rows with the same id must have the same text)."""
+    texts = sorted({t for _, t in rows if WORD.search(t or "")})
+    sets = [shingle_weights(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if jaccard(a, sets[j]) >= threshold:
+                root[find(i)] = find(j)
+    at = {t: find(i) for i, t in enumerate(texts)}
+    key = lambda i: (i is not None, i)
+    least = {}
+    for i, t in rows:
+        if t in at:
+            c = at[t]
+            least[c] = min(least.get(c, key(i)), key(i), key=lambda x: (x[0], x[1] or 0))
+    return [(i, least[at[t]][1] if t in at else i) for i, t in rows]
