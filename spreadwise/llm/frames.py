@@ -10,28 +10,25 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 
 
+#: Spark drops the shuffle files of a query when it ends, instead of when the driver next collects garbage
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage (a lost executor re-reads the table), gives later joins a known size,
-    and lets Spark drop the shuffle files of the finished part.
+    and frees the disk that the finished part's shuffles took.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner remove the shuffle files of queries that have ended.
-
-    It acts when the driver's JVM collects garbage, which a small driver heap may put off for
-    half an hour; files of finished stages would fill the executors' disks meanwhile.
-    """
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
