@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import field, keyed, staged
+from .frames import field, keyed, row_key, staged
 from .superkmers import ragged
 from .text import NOT_ALNUM, Prefix, U, Words, as_signed, covered, lower_ascii, mix64, slices, sliding_min, utf8
 
@@ -199,6 +199,31 @@ def find_benchmark_spans(documents: DataFrame, benchmark: DataFrame, id_col: str
     words but is not listed; repeated items count once for each distinct id; empty tables give no
     rows or no hits.
     """
+    texts, merged = _matches(documents, benchmark, id_col, text_col, item_col, item_text_col, window, k)
+    empty_items, empty_spans = F.array().cast("array<string>"), F.array().cast(_SPANS)
+    out = texts.select("k1", "k2", "id", "n_words").join(merged, ["k1", "k2"], "left")
+    spans = F.coalesce("hit_spans", empty_spans)
+    return out.select(
+        F.col("id").alias(id_col), "n_words",
+        F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]).alias("n_hit"),
+        spans.alias("hit_spans"), F.coalesce("items", empty_items).alias("items"))
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5) -> DataFrame:
+    """The rows of ``documents``, with all their columns, without a word that ``find_benchmark_spans`` hits."""
+    _, merged = _matches(documents, benchmark, id_col, text_col, item_col, item_text_col, window, k)
+    hit = staged(merged.select(F.col("k1").alias("hit_k1"), F.col("k2").alias("hit_k2")), "contaminated")
+    k1, k2 = row_key(id_col, text_col)
+    return documents.join(hit, (k1 == F.col("hit_k1")) & (k2 == F.col("hit_k2")), "left_anti")
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
+
+
+def _matches(documents: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
+             window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """All texts ``(k1, k2, id, n_words)``, and matched ones ``(k1, k2, hit_spans, items)``."""
     spark = documents.sparkSession
     item_type = field(benchmark, item_col).dataType
     items = staged(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(
@@ -219,12 +244,4 @@ def find_benchmark_spans(documents: DataFrame, benchmark: DataFrame, id_col: str
         [*key, T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("item", item_type)]))
     by_text = matched.groupBy("k1", "k2").agg(
         F.collect_set(F.struct("lo", "hi")).alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    span = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
-    merged = by_text.mapInArrow(_merge, T.StructType([*key, T.StructField("hit_spans", span), T.StructField("items", T.ArrayType(T.StringType()))]))
-    empty_items, empty_spans = F.array().cast("array<string>"), F.array().cast(span)
-    out = texts.select("k1", "k2", "id", "n_words").join(merged, ["k1", "k2"], "left")
-    spans = F.coalesce("hit_spans", empty_spans)
-    return out.select(
-        F.col("id").alias(id_col), "n_words",
-        F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]).alias("n_hit"),
-        spans.alias("hit_spans"), F.coalesce("items", empty_items).alias("items"))
+    return texts, by_text.mapInArrow(_merge, T.StructType([*key, T.StructField("hit_spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))]))

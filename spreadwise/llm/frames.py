@@ -31,15 +31,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(k1, k2, id, text)``: a 96-bit key of each row that is never null.
-
-    The key is a hash of id and text, so it is the same in every scan of the table; rows equal in
-    both share a key and get equal results.
-    """
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A 96-bit key of a row that is never null: a hash of id and text, the same in every scan of the
+    table. Rows equal in both share a key and get equal results."""
     i, t = F.col(id_col), F.col(text_col)
-    return documents.select(F.xxhash64(i, t).alias("k1"), F.hash(t, i).alias("k2"),
-                            i.alias("id"), t.cast("string").alias("text"))
+    return F.xxhash64(i, t).alias("k1"), F.hash(t, i).alias("k2")
+
+
+def keyed(documents: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """``(k1, k2, id, text)``; with ``carry`` also ``rest``, a struct of all columns but the text."""
+    columns = [*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")]
+    if carry:
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("rest"))
+    return documents.select(*columns)
 
 
 def field(df: DataFrame, name: str):

@@ -244,3 +244,18 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
         F.col("id").alias(id_col), "node", F.when(blank, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
         F.when(blank, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
         (blank | (F.col("row") == F.col("head.row"))).alias("keep"))
+
+
+def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that ``near_duplicate_classes`` keeps: one
+    of each class, and every row without words."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    blank = ~text.rlike(r"[^\x20\x09-\x0D]")
+    heads = (near_duplicate_classes(documents, id_col, text_col, threshold).filter("keep")
+             .select(F.col(id_col).alias("head_id"), F.col("node").alias("head_node")).distinct())
+    rows = documents.filter(~blank).select(F.xxhash64(text).alias("head_node"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    same = F.col("l.head_node") == F.col("r.head_node")
+    kept = rows.alias("l").join(heads.alias("r"), same & F.col("l.row").getField(id_col).eqNullSafe(F.col("r.head_id")))
+    # of rows equal in id and text one stays
+    kept = kept.groupBy(F.col("l.head_node"), F.col("r.head_id")).agg(F.first("l.row").alias("row")).select("row.*")
+    return kept.unionByName(documents.filter(blank))

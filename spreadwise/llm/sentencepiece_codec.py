@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +122,9 @@ def _task(model_file: str, id_name: str, digests: bool):
                             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts])]
                     names = ["ids_sha256", "decoded_sha256"]
                 else:
-                    body = [pa.array([list(map(int, x.split(" "))) for x in ids], pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                    flat = np.fromstring(" ".join(ids), dtype=np.int32, sep=" ")
+                    cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    body = [pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array(texts, pa.string())]
                     names = ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), *body], names=[id_name, "n_tokens", *names])
     return run

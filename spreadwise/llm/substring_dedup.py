@@ -47,7 +47,10 @@ def _unfold(shape: Shape):
     return run
 
 
-def _cut(id_name: str, schema: pa.Schema):
+_RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+
+def _cut(id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -68,8 +71,8 @@ def _cut(id_name: str, schema: pa.Schema):
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[lo:hi].view(np.int8), [0]])))
                     removed.append([{"lo": int(s), "hi": int(e)} for s, e in edge.reshape(-1, 2)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n_words), pa.array(n_removed), pa.array(kept, schema.field("kept_text").type),
-                     pa.array(removed, schema.field("removed").type)], names=[id_name, "n_words", "n_removed", "kept_text", "removed"])
+                    [part.column("id"), pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.string()),
+                     pa.array(removed, _RANGES)], names=[id_name, "n_words", "n_removed", "kept_text", "removed"])
     return run
 
 
@@ -86,8 +89,31 @@ def remove_repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_
     nothing; a null id is an id like any other; rows equal in id and text are repeats of each other;
     an empty table gives an empty result.
     """
-    shape = Shape("word", window, k)
     docs = keyed(documents, id_col, text_col)
+    joined = docs.join(_repeated_spans(docs, window, k), ["k1", "k2"], "left").select("id", "text", "spans")
+    schema = T.StructType([
+        T.StructField(id_col, field(documents, id_col).dataType), T.StructField("n_words", T.LongType()),
+        T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()),
+        T.StructField("removed", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])))])
+    return joined.mapInArrow(_cut(id_col), schema)
+
+
+def cut_repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 18) -> DataFrame:
+    """The rows of ``documents``, with all their columns, after ``remove_repeated_passages``: a text
+    that loses words becomes its kept words joined by one space, any other text stays as it is."""
+    docs = keyed(documents, id_col, text_col, carry=True)
+    joined = docs.join(_repeated_spans(docs, window, k), ["k1", "k2"], "left")
+    # most rows have no span and need no Python
+    cut = joined.filter("spans is not null").select(F.col("rest").alias("id"), "text", "spans").mapInArrow(_cut("rest"), T.StructType([
+        field(docs, "rest"), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()),
+        T.StructField("removed", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])))]))
+    rows = cut.select("rest", F.col("kept_text").alias("text")).unionByName(joined.filter("spans is null").select("rest", "text"))
+    return rows.select(*[(F.col("text") if c == text_col else F.col("rest").getField(c)).alias(c) for c in documents.columns])
+
+
+def _repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """``(k1, k2, spans)``: word ranges covered by repeated windows, for texts that have any."""
+    shape = Shape("word", window, k)
     found = repeated_super_kmers(docs, shape)
     texts = docs.select("k1", "k2", "text")
     paths = (branching(found).select("a", "at.*", (F.col("c") == 1).alias("alone"))
@@ -97,11 +123,4 @@ def remove_repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_
     shared = edges.groupBy("a", "e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "e")
     single = (edges.filter("alone").join(shared, ["a", "e"], "left_semi")
               .select("k1", "k2", "lo", (F.col("lo") + window).alias("hi")))
-    spans = spans_by_text(whole_spans(found, shape).unionByName(single))
-    joined = docs.join(spans, ["k1", "k2"], "left").select("id", "text", "spans")
-    schema = T.StructType([
-        T.StructField(id_col, field(documents, id_col).dataType), T.StructField("n_words", T.LongType()),
-        T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()),
-        T.StructField("removed", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])))])
-    arrow = pa.schema([("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))])
-    return joined.mapInArrow(_cut(id_col, arrow), schema)
+    return spans_by_text(whole_spans(found, shape).unionByName(single))

@@ -170,6 +170,21 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int) -> Machine:
     return fit(doc, np.asarray(terms).astype(np.int64).view(U), found.column("label").to_numpy().astype(float))
 
 
+def _keep_clean(model, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(model.value.score(part.column(text_col)) < 0.5))
+    return run
+
+
+def _fitted(documents: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, sample_rows: int):
+    """The machine, fitted on rows that are not held out, as a broadcast variable."""
+    rows = documents.filter(~held_out).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    marked = labels.filter(~held_out).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    return documents.sparkSession.sparkContext.broadcast(train(rows, marked, sample_rows))
+
+
 def score_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", sample_rows: int = 10_000) -> DataFrame:
     """Score every whole text between 0 and 1; learn from labelled rows that are not ``held_out``.
@@ -182,10 +197,15 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, id
     labels of one kind only, every text gets the smoothed share of toxic labels; repeated rows are
     scored alike; other columns are not read; an empty table gives an empty result.
     """
-    spark = documents.sparkSession
+    model = _fitted(documents, labels, held_out, id_col, text_col, label_col, sample_rows)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
-    marked = labels.filter(~held_out).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    model = spark.sparkContext.broadcast(train(rows.filter("not held_out").select("id", "text"), marked, sample_rows))
     schema = T.StructType([T.StructField(id_col, field(documents, id_col).dataType), T.StructField("held_out", T.BooleanType()),
                            T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return rows.mapInArrow(_score(model, id_col), schema)
+
+
+def reject_toxic(documents: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
+                 label_col: str = "toxic", sample_rows: int = 10_000) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that ``score_toxicity`` does not mark."""
+    model = _fitted(documents, labels, held_out, id_col, text_col, label_col, sample_rows)
+    return documents.mapInArrow(_keep_clean(model, text_col), documents.schema)
