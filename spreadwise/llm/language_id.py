@@ -61,14 +61,24 @@ class Table:
         self.bits = max(4, int(4 * max(len(keys), 1) - 1).bit_length())
         self.key = np.full(1 << self.bits, _NONE, dtype=U)
         self.row = np.full(1 << self.bits, -1, dtype=np.int32)
+        self._put(keys, 0)
+
+    def _put(self, keys: np.ndarray, first: int) -> None:
         at, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             free = self.row[at] < 0
-            self.row[at[free]] = left[free]              # the last writer of a slot keeps it
+            self.row[at[free]] = left[free] + first      # the last writer of a slot keeps it
             self.key[at[free]] = keys[left[free]]
-            lost = self.row[at] != left
+            lost = self.row[at] != left + first
             at, left = (at[lost] + 1) & ((1 << self.bits) - 1), left[lost]
 
+    def extended(self, keys: np.ndarray, new: int) -> Table:
+        """The table with the last ``new`` of ``keys`` added, whose rows follow those it has."""
+        if 2 * len(keys) > 1 << self.bits:
+            return Table(keys)
+        self._put(keys[len(keys) - new:], len(keys) - new)
+        return self
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
 

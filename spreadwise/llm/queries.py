@@ -16,6 +16,7 @@ from .quality import judge_quality
 from .sentencepiece_codec import sentencepiece_round_trip
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_bytes
+from .token_file import token_file_round_trip
 from .toxicity import score_toxicity
 
 
@@ -57,6 +58,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_round_trip(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, digests=True)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = judge_quality(read_table(spark, sf_dir, "documents")).withColumn("base_failed", failed)
@@ -71,7 +76,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_minhash_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op6_lm_scoring,
-        op7_toxicity, op9_quality, op10_decontaminate,
+        op7_toxicity, op8_token_file, op9_quality, op10_decontaminate,
     )
 }
 
