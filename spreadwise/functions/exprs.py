@@ -105,3 +105,13 @@ def present(df: DataFrame, cols: Iterable[str]) -> list[str]:
     """Keep only the listed columns that exist, in list order."""
     have = set(df.columns)
     return [c for c in cols if c in have]
+
+
+def draw_key(*cols: str, seed: int = 42) -> Column:
+    """Text key of a seeded draw: md5 of the columns as text, so every engine draws alike."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))).cast("binary"))
+
+
+def uniform(key: Column) -> Column:
+    """A number in [0, 1) from the first 32 bits of a ``draw_key``."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)

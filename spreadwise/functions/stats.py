@@ -3,7 +3,7 @@
 ``percentile`` (exact) keeps every distinct value of a column in one aggregation buffer on one
 reducer, which does not survive a panel of 10^10 rows. This operator gives the **same** value
 (linear interpolation between the order statistics at ``floor`` and ``ceil`` of ``p*(n-1)``,
-as pandas ``quantile`` / NumPy / DuckDB ``quantile_cont``) in three distributed passes:
+as pandas ``quantile`` / NumPy / DuckDB ``quantile_cont``), at any size by the same plan:
 
 1. per column: ``count`` and a ``percentile_approx`` sketch at ``p -/+ delta`` (partial
    aggregation, sketch size bounded by ``accuracy``): a value bracket ``[a, b]`` that contains
@@ -11,10 +11,13 @@ as pandas ``quantile`` / NumPy / DuckDB ``quantile_cont``) in three distributed
 2. one aggregation keyed by ``(column, p, value)`` of the rows inside the bracket, plus one
    ``below`` group that only counts: ties collapse map-side, so a value held by a third of
    all rows is one row after the partial aggregate;
-3. a running count over the bracket's distinct values (bounded by ~10*n/accuracy per column
-   and probability) locates the two order statistics.
+3. the bracket is cut into ``BINS`` equal bins; running totals over the bins (at most
+   ``BINS`` + 1 rows) find the one or two bins that hold the wanted ranks;
+4. a running count over the distinct values of those bins alone (about ``10 n / (accuracy *
+   BINS)`` of them) locates the two order statistics.
 
-Columns with at most ``small_n`` values skip the bracket (all their distinct values fit one task).
+A bracket that should miss a rank raises an error; it never yields NULL, which later steps would
+take for "no bound".
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BINS = 4096
+
 
 def _long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("var"), F.col(c).cast("double").alias("x"))
@@ -33,45 +38,51 @@ def _long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   accuracy: int = 10000, small_n: int = 1_000_000) -> DataFrame:
+                   accuracy: int = 10000, margin: float = 5.0) -> DataFrame:
     """Long result ``(var, k, p, n, q)``: the exact linear quantile ``probs[k]`` of each column.
 
-    ``q`` is NULL for a column without values.
+    ``q`` is NULL for a column without values, and only there. ``margin``: half width of the
+    bracket in units of the sketch's error.
     """
     cols, probs = list(cols), [float(p) for p in probs]
     long = _long_form(df, cols)
-    delta = 5.0 / accuracy
-    brk = sorted({min(1.0, max(0.0, p + s * delta)) for p in probs for s in (-1, 1)})
-    sk = long.groupBy("var").agg(F.count("x").alias("n"),
-                                 F.percentile_approx("x", brk, accuracy).alias("ap"))
-    big = F.col("n") > F.lit(small_n)
-    tgt = sk.select(
-        "var", "n",
-        F.posexplode(F.array(*[
-            F.struct(F.lit(p).alias("p"),
-                     F.col("ap")[brk.index(min(1.0, max(0.0, p - delta)))].alias("a"),
-                     F.col("ap")[brk.index(min(1.0, max(0.0, p + delta)))].alias("b"))
-            for p in probs])).alias("k", "t"))
+    delta = margin / accuracy
+    ends = [(max(0.0, p - delta), min(1.0, p + delta)) for p in probs]
+    brk = sorted({x for e in ends for x in e})
+    sk = long.groupBy("var").agg(F.count("x").alias("n"), F.percentile_approx("x", brk, accuracy).alias("ap"))
+    tgt = sk.select("var", "n", F.posexplode(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.col("ap")[brk.index(lo)].alias("a"), F.col("ap")[brk.index(hi)].alias("b"))
+        for p, (lo, hi) in zip(probs, ends, strict=True)])).alias("k", "t"))
     pos = F.col("t.p") * (F.col("n") - 1)
-    tgt = tgt.select(
-        "var", "k", "n", F.col("t.p").alias("p"),
-        F.when(big, F.col("t.a")).alias("a"), F.when(big, F.col("t.b")).alias("b"),
-        F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"), (pos - F.floor(pos)).alias("frac"))
+    tgt = tgt.select("var", "k", "n", F.col("t.p").alias("p"), F.col("t.a").alias("a"), F.col("t.b").alias("b"),
+                     F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"), (pos - F.floor(pos)).alias("frac"))
     # tgt has len(cols) * len(probs) rows: a proven bound, safe to broadcast
-    j = long.join(F.broadcast(tgt.select("var", "k", "a", "b")), "var")
-    inside = F.col("a").isNull() | (F.col("x") >= F.col("a"))
-    cells = (j.filter(F.col("b").isNull() | (F.col("x") <= F.col("b")))
-             .groupBy("var", "k", F.when(inside, F.col("x")).alias("xb"))
-             .agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("var", "k").orderBy(F.col("xb").asc_nulls_first()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    cum = cells.withColumn("end", F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
-    hit = cum.filter(F.col("xb").isNotNull()).join(F.broadcast(tgt), ["var", "k"])
-    at = lambda r: F.max(F.when((F.col("start") <= F.col(r)) & (F.col(r) < F.col("end")), F.col("xb")))
+    j = long.join(F.broadcast(tgt.select("var", "k", "a", "b")), "var").filter(F.col("x") <= F.col("b"))
+    width = F.col("b") - F.col("a")
+    inside = F.col("x") >= F.col("a")
+    cells = j.groupBy("var", "k", F.when(inside, F.col("x")).alias("xb"), "a", "b").agg(F.count(F.lit(1)).alias("c"))
+    bin_ = (F.when(F.col("xb").isNull(), -1)
+            .when((width > 0) & (width < float("inf")), F.least(F.lit(BINS - 1), F.floor((F.col("xb") - F.col("a")) / width * BINS)))
+            .otherwise(0).cast("int"))
+    cells = cells.select("var", "k", "xb", "c", bin_.alias("bin"))
+    in_order = Window.partitionBy("var", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = (cells.groupBy("var", "k", "bin").agg(F.sum("c").alias("c"))
+            .withColumn("end", F.sum("c").over(in_order)).withColumn("start", F.col("end") - F.col("c")))
+    holds = lambda r: (F.col("start") <= F.col(r)) & (F.col(r) < F.col("end"))
+    # at most two bins for each row of tgt
+    wanted = (bins.filter("bin >= 0").join(F.broadcast(tgt.select("var", "k", "lo", "hi")), ["var", "k"])
+              .filter(holds("lo") | holds("hi")).select("var", "k", "bin", "lo", "hi", F.col("start").alias("before")))
+    near = cells.join(F.broadcast(wanted), ["var", "k", "bin"])
+    w = Window.partitionBy("var", "k", "bin").orderBy("xb").rowsBetween(Window.unboundedPreceding, 0)
+    hit = near.withColumn("end", F.col("before") + F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
+    at = lambda r: F.max(F.when(holds(r), F.col("xb")))
     picked = hit.groupBy("var", "k").agg(at("lo").alias("v_lo"), at("hi").alias("v_hi"))
     out = tgt.join(picked, ["var", "k"], "left")
-    q = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")
-    return out.select("var", "k", "p", "n", F.when(F.col("n") > 0, q).alias("q"))
+    missed = (F.col("n") > 0) & (F.col("v_lo").isNull() | F.col("v_hi").isNull())
+    q = (F.when(missed, F.raise_error(F.concat(F.lit("the bracket of a quantile misses its rank: "), F.col("var"))).cast("double"))
+         .when(F.col("n") > 0, F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(
+             F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))))
+    return out.select("var", "k", "p", "n", q.alias("q"))
 
 
 def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -85,11 +96,3 @@ def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     aggs = [F.max(F.when((F.col("var") == c) & (F.col("k") == k), F.col("q"))).alias(f"{c}_{nm}")
             for c in cols for k, nm in enumerate(names)]
     return t.agg(*aggs)
-
-
-def with_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   names: Sequence[str] | None = None, stats_from: DataFrame | None = None,
-                   **kw) -> DataFrame:
-    """Attach the quantiles (computed over ``stats_from`` or ``df``) to every row of ``df``."""
-    row = quantile_row(stats_from if stats_from is not None else df, cols, probs, names, **kw)
-    return df.crossJoin(F.broadcast(row))

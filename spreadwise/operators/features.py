@@ -92,7 +92,3 @@ def drawdown_features(df: DataFrame, return_unit: str = "as_is") -> DataFrame:
 
 def market_features(df: DataFrame) -> DataFrame:
     return drawdown_features(volatility_features(momentum_features(size_features(df))))
-
-
-def all_features(preprocessed: DataFrame) -> DataFrame:
-    return market_features(accounting_features(preprocessed))

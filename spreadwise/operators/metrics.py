@@ -4,9 +4,10 @@ Exact and distributed: nothing sorts the whole table in one task.
 
 * Ranking metrics (AUC, average precision, ROC / PR points) first collapse the table to one
   row per distinct score with its positive / negative counts (partial aggregation). Cumulative
-  counts over the distinct scores use a two-level prefix sum: per score bucket
-  ``floor(p * 4096)`` totals (at most 4,097 rows, broadcast) plus a running sum inside each
-  bucket (``partitionBy(bucket)``), so no window spans the whole table.
+  counts over the distinct scores use a two-level prefix sum: totals per score bucket (at most
+  ``BUCKETS`` + 1 rows) plus a running sum inside each bucket (``partitionBy(bucket)``), so no
+  window spans the whole table. The buckets' edges are quantiles of the distinct scores, so they
+  hold about equally many however the scores crowd and whatever range they have.
 * Threshold metrics count rows per "number of thresholds passed" (17 groups), then use
   suffix sums over those groups instead of a cross join with the threshold grid.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import count_if
 from ..schemas import THRESHOLD_GRID
 
-BUCKETS = 4096
+BUCKETS = 512
 
 
 def _z(x: Column) -> Column:
@@ -60,13 +61,14 @@ def cumulative(counts: DataFrame, by: Sequence[str] = (), descending: bool = Fal
     """Adds ``pos_before`` / ``neg_before``: counts strictly before each score in the chosen
     order (two-level prefix sum, see module doc)."""
     by = list(by)
-    b = F.floor(F.col("s") * BUCKETS)
-    c = counts.withColumn("b", -b if descending else b)
+    edges = counts.agg(F.percentile_approx("s", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("edges"))
+    b = F.size(F.filter("edges", lambda e: e < F.col("s")))
+    c = counts.crossJoin(F.broadcast(edges)).withColumn("b", -b if descending else b).drop("edges")   # one row
     key = -F.col("s") if descending else F.col("s")
     tot = c.groupBy(*by, "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wb = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1) if by else \
         Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    # bucket totals: <= 4097 rows per group
+    # bucket totals: at most BUCKETS rows per group
     tot = tot.select(*by, "b", F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("pos_b"),
                      F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("neg_b"))
     wi = Window.partitionBy(*by, "b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -143,8 +145,7 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 def spread_baseline(df: DataFrame, fit: DataFrame, col: str = "cds_spread") -> DataFrame:
     """Median and population std of ``col`` on ``fit`` (one broadcast row);
-    ``pred`` = above the median (missing -> 0), ``p`` = logistic of the z-score (missing -> 0.5),
-    rounded to 6 decimals so every engine sees the same ties."""
+    ``pred`` = above the median (missing -> 0), ``p`` = logistic of the z-score (missing -> 0.5)."""
     from ..functions.stats import quantile_row
     med = quantile_row(fit, [col], [0.5], names=["med"]).withColumnRenamed(f"{col}_med", "_med")
     sd = fit.agg(F.stddev_pop(col).alias("_sd"))
@@ -152,6 +153,4 @@ def spread_baseline(df: DataFrame, fit: DataFrame, col: str = "cds_spread") -> D
     x = F.col(col)
     z = (x - F.col("_med")) / (F.col("_sd") + F.lit(1e-6))
     p = F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), F.lit(0.5))
-    from ..functions.exprs import rnd
-    return j.withColumns({"pred": F.when(x > F.col("_med"), 1).otherwise(0),
-                          "p": rnd(p, 6)}).drop("_med", "_sd")
+    return j.withColumns({"pred": F.when(x > F.col("_med"), 1).otherwise(0), "p": p}).drop("_med", "_sd")

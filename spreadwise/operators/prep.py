@@ -113,15 +113,6 @@ def add_lags(panel: DataFrame) -> DataFrame:
     return panel.withColumns(new)
 
 
-def preprocess(merged: DataFrame) -> DataFrame:
-    """The whole of step 5 in the reference's order."""
-    df = forward_fill(merged)
-    df = winsorize(df)
-    df = drop_required(df)
-    df = fill_medians(df)
-    return add_lags(df)
-
-
 def fill_report(panel: DataFrame, cols: Sequence[str], fill) -> DataFrame:
     """Missing before / after / filled per column of ``fill(panel)``, in one aggregation
     (the before-flags ride along as extra columns; no join)."""

@@ -65,14 +65,6 @@ def breakdown(df: DataFrame) -> DataFrame:
                   count_if((a >= ABS_THRESHOLD) & (p >= PCT_THRESHOLD)).alias("abs_and_pct"))
 
 
-def change_stats(df: DataFrame) -> DataFrame:
-    lab = labelled(df)
-    a, p = F.col("future_cds_change_abs"), F.col("future_cds_change_pct")
-    return lab.agg(F.avg(a).alias("abs_mean"), F.median(a).alias("abs_median"),
-                   F.max(a).alias("abs_max"), F.min(a).alias("abs_min"),
-                   F.avg(p).alias("pct_mean"), F.median(p).alias("pct_median"), F.max(p).alias("pct_max"))
-
-
 def lost_at_end(df: DataFrame) -> DataFrame:
     return df.agg((F.count("cds_spread") - F.count("cds_spread_lead_4q")).alias("lost"))
 

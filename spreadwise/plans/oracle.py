@@ -93,7 +93,8 @@ def _build_ctes() -> list[tuple[str, str]]:
         FROM fmo f JOIN supplier s ON s.s_suppkey = f.gvkey WHERE f.gvkey % 5 <> 0""")
     # the dense wide matrix read back as cells (NULL where a firm had no month), plus `notes`
     add("wide_cells", """SELECT i.iqt, m.date, strftime(m.date, '%d.%m.%y') AS date_str, c.spread
-        FROM (SELECT DISTINCT iqt FROM cells) i CROSS JOIN (SELECT DISTINCT date FROM cells) m
+        FROM (SELECT DISTINCT iqt FROM cells) i CROSS JOIN (
+            SELECT CAST(unnest(generate_series(min(date_trunc('month', d)), max(date_trunc('month', d)), INTERVAL 1 MONTH)) AS DATE) AS date FROM li) m
         LEFT JOIN cells c ON c.iqt = i.iqt AND c.date = m.date
         UNION ALL
         SELECT i.iqt, CAST(NULL AS DATE), 'notes', CAST(s.s_nationkey + 1 AS DOUBLE)

@@ -2,11 +2,11 @@
 
 ``Stages`` builds the fixture inputs and chains the operators in the reference's step order.
 Stage boundaries where two or more branches read the same table (the merged panel, the
-preprocessed panel, the labelled dataset) are cut with ``checkpoint()`` into the shared folder
-named by ``spark.checkpoint.dir`` — never a local checkpoint — so a lost executor re-reads the
-stage table instead of recomputing from the raw scan. The merged panel is hash-partitioned on
-``gvkey`` before the cut; the partitioning survives the checkpoint, so every later firm
-window (lags, fills, rolling features, lead) runs without another shuffle.
+preprocessed panel, the labelled dataset) are cut: written as Parquet tables into the shared folder
+named by ``spark.checkpoint.dir`` and read back, so later queries scan only the columns they use and
+a lost executor re-reads the stage table instead of recomputing from the raw scan. From the merged
+to the labelled panel every window is partitioned by ``gvkey``: between two cuts Spark shuffles on it
+once.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import clean, features, merge, prep, target
-from ..session import apply_conf, scratch_dir
+from ..session import apply_conf, stage_table
 from ..sources import fixtures as fx
 
 
@@ -28,13 +28,8 @@ class Stages:
         self.spark, self.sf_dir, self.materialize = spark, sf_dir.rstrip("/"), materialize
 
     # ---- stage cut -------------------------------------------------------------------
-    def cut(self, df: DataFrame, by_firm: bool = False) -> DataFrame:
-        if by_firm:
-            df = df.repartition("gvkey")
-        if not self.materialize:
-            return df
-        scratch_dir(self.spark)
-        return df.checkpoint(eager=True)
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        return stage_table(df, name) if self.materialize else df
 
     # ---- raw inputs (fixture derivation) ---------------------------------------------
     @cached_property
@@ -75,7 +70,7 @@ class Stages:
     def merged(self) -> DataFrame:
         m = merge.merge_panel(self.fundamentals_clean, self.prices_clean, self.spreads_long,
                               self.raw_mapping)
-        return self.cut(m, by_firm=True)
+        return self.cut(m, "merged")
 
     # ---- step 5 ------------------------------------------------------------------------
     @cached_property
@@ -96,7 +91,7 @@ class Stages:
 
     @cached_property
     def preprocessed(self) -> DataFrame:
-        return self.cut(prep.add_lags(self.median_filled))
+        return self.cut(prep.add_lags(self.median_filled), "preprocessed")
 
     # ---- steps 6-7 ---------------------------------------------------------------------
     @cached_property
@@ -116,7 +111,7 @@ class Stages:
     # ---- step 9 ------------------------------------------------------------------------
     @cached_property
     def ml_dataset(self) -> DataFrame:
-        return self.cut(target.label_distress(self.ml_ready))
+        return self.cut(target.label_distress(self.ml_ready), "ml_dataset")
 
     @cached_property
     def target_table(self) -> DataFrame:
@@ -146,10 +141,5 @@ def numeric_columns(df: DataFrame, exclude=S.ID_COLS) -> list[str]:
             if f.name not in set(exclude) and isinstance(f.dataType, NumericType)]
 
 
-def merged_panel_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merged panel without a stage cut (used by the flagship query)."""
-    return Stages(spark, sf_dir, materialize=False).merged
-
-
 def year_quarter_bigint(df: DataFrame) -> DataFrame:
     return df.withColumns({"year": F.col("year").cast("long"), "quarter": F.col("quarter").cast("long")})

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import count_if
+from ..functions.exprs import draw_key, rnd, uniform
 from ..operators import metrics as M
 from .pipeline import Stages
+from .registry import REGISTRY as _R
 from .registry import query, sql_rnd
 
 # ---- score table: test rows, baseline fitted on test (as the reference does, T16) --------
@@ -44,14 +45,20 @@ def _auc_sql(src: str, by: str = "") -> str:
 
 
 def scored(st: Stages) -> DataFrame:
-    """All labelled rows scored by the baseline fitted on the test rows."""
-    test = st.split.filter(F.col("split") == "test")
-    return M.spread_baseline(st.split, fit=test).withColumn("label", F.col(S.LABEL).cast("long"))
+    """All labelled rows scored by the baseline fitted on the test rows, staged once. The score is
+    rounded here, for the comparison of engines, not in the operator."""
+    table = st.__dict__.get("_scored")
+    if table is None:
+        test = st.split.filter(F.col("split") == "test")
+        rows = M.spread_baseline(st.split, fit=test)
+        st._scored = table = st.cut(rows.select("gvkey", "company_name", "date", "split", F.col(S.LABEL).cast("long").alias("label"),
+                                                "pred", rnd(F.col("p"), 6).alias("p")), "scores")
+    return table
 
 
 def test_scores(st: Stages) -> DataFrame:
     s = scored(st).filter(F.col("split") == "test")
-    return s.select("gvkey", "date", F.year("date").cast("long").alias("year"), "label", "pred", "p",
+    return s.select("gvkey", "company_name", "date", F.year("date").cast("long").alias("year"), "label", "pred", "p",
                     F.when(F.col("p") >= 0.5, 1).otherwise(0).alias("pred05"))
 
 
@@ -177,8 +184,8 @@ def eval_gap(st: Stages) -> DataFrame:
 
 
 @query("eval_report", [("overall_auc", 6), ("best_year", "k"), ("best_year_auc", 6), ("worst_year", "k"),
-                       ("worst_year_auc", 6), ("yearly_auc_std", 6)], f"""
-    SELECT (SELECT auc FROM ({_auc_sql('scores')})) AS overall_auc, arg_max(year, auc) AS best_year, max(auc) AS best_year_auc,
+                       ("worst_year_auc", 6), ("yearly_auc_std", 6), ("average_precision", 6)], f"""
+    SELECT (SELECT sum(pos / P * (tp / (tp + fp))) FROM cum_desc) AS average_precision, (SELECT auc FROM ({_auc_sql('scores')})) AS overall_auc, arg_max(year, auc) AS best_year, max(auc) AS best_year_auc,
            arg_min(year, auc) AS worst_year, min(auc) AS worst_year_auc, stddev_samp(auc) AS yearly_auc_std
     FROM ({_BY_YEAR_SQL})""", extra_ctes=SCORE_CTES)
 def eval_report(st: Stages) -> DataFrame:
@@ -186,7 +193,9 @@ def eval_report(st: Stages) -> DataFrame:
     r = y.agg(F.max_by("year", F.struct("auc", F.col("year"))).alias("best_year"), F.max("auc").alias("best_year_auc"),
               F.min_by("year", F.struct("auc", F.col("year"))).alias("worst_year"), F.min("auc").alias("worst_year_auc"),
               F.stddev_samp("auc").alias("yearly_auc_std"))
-    return M.auc(test_scores(st)).select(F.col("auc").alias("overall_auc")).crossJoin(r)
+    t = test_scores(st)
+    return (M.auc(t).select(F.col("auc").alias("overall_auc")).crossJoin(r)
+            .crossJoin(M.average_precision(t).select("average_precision")))
 
 
 @query("baseline_majority", [("model", "s"), ("majority_label", "k"), ("accuracy", 6), ("precision", 6),
@@ -209,47 +218,104 @@ def baseline_majority(st: Stages) -> DataFrame:
                     "precision", "recall", "f1", F.lit(0.5).alias("auc"))
 
 
-def _draw(key_cols, seed: int):
-    """Seeded uniform draw in [0, 1) from a hash of the row key (same at any partitioning)."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(1000000)) / 1e6
+DRAW_CTES = SCORE_CTES + """,
+draws AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', CAST(gvkey AS VARCHAR), CAST(date AS VARCHAR), '42')), 1, 8) AS BIGINT)
+    / CAST(4294967296 AS DOUBLE) AS u FROM scores)"""
 
 
-@query("baseline_random", [("model", "s"), ("accuracy", 6), ("precision", 6), ("recall", 6), ("f1", 6), ("auc", 6)])
+def _draw_sql(model: str, pred: str, auc: str) -> str:
+    return f"""SELECT '{model}' AS model, (tp + tn) / n AS accuracy, coalesce(tp / NULLIF(tp + fp, 0), 0) AS precision,
+    coalesce(tp / NULLIF(tp + fn, 0), 0) AS recall, coalesce(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0) AS f1, {auc} AS auc
+    FROM (SELECT count_if(label = 0 AND NOT {pred}) AS tn, count_if(label = 0 AND {pred}) AS fp,
+          count_if(label = 1 AND NOT {pred}) AS fn, count_if(label = 1 AND {pred}) AS tp,
+          CAST(count(*) AS DOUBLE) AS n FROM draws)"""
+
+
+_BASE = [("model", "s"), ("accuracy", 6), ("precision", 6), ("recall", 6), ("f1", 6), ("auc", 6)]
+_DRAWN = "(u < (SELECT avg(label) FROM scores))"
+_STRATIFIED_AUC = f"(SELECT auc FROM ({_auc_sql(f'(SELECT label, CASE WHEN {_DRAWN} THEN 1 ELSE 0 END AS p FROM draws)')}))"
+
+
+@query("baseline_random", _BASE, _draw_sql("Random", "(u < 0.5)", "0.5"), extra_ctes=DRAW_CTES)
 def baseline_random(st: Stages) -> DataFrame:
     """M10 coin flip: draw < 0.5 -> 1; its probability is the constant 0.5 (AUC 0.5)."""
-    s = test_scores(st).withColumn("pred_r", (_draw(["gvkey", "date"], 42) < 0.5).cast("int"))
+    s = test_scores(st).withColumn("pred_r", (uniform(draw_key("gvkey", "date")) < 0.5).cast("int"))
     c = M.with_rates(M.confusion(s, pred="pred_r"))
     return c.select(F.lit("Random").alias("model"), "accuracy", "precision", "recall", "f1", F.lit(0.5).alias("auc"))
 
 
-@query("baseline_stratified", [("model", "s"), ("accuracy", 6), ("precision", 6), ("recall", 6), ("f1", 6), ("auc", 6)])
+@query("baseline_stratified", _BASE, _draw_sql("Stratified", _DRAWN, _STRATIFIED_AUC), extra_ctes=DRAW_CTES)
 def baseline_stratified(st: Stages) -> DataFrame:
     """M10 stratified: draw < prevalence -> 1; the 0/1 draw is also the score."""
     s = test_scores(st)
     prev = s.agg(F.avg("label").alias("prev"))
-    d = s.crossJoin(F.broadcast(prev)).withColumn("pred_s", (_draw(["gvkey", "date"], 42) < F.col("prev")).cast("int"))
+    d = s.crossJoin(F.broadcast(prev)).withColumn("pred_s", (uniform(draw_key("gvkey", "date")) < F.col("prev")).cast("int"))
     c = M.with_rates(M.confusion(d, pred="pred_s"))
     a = M.auc(d.withColumn("ps", F.col("pred_s").cast("double")), score="ps").select("auc")
     return c.crossJoin(a).select(F.lit("Stratified").alias("model"), "accuracy", "precision", "recall", "f1", "auc")
 
 
-@query("eval_benchmark", [("Model", "s"), ("Type", "s"), ("Accuracy", 6), ("Precision", 6), ("Recall", 6),
-                          ("F1", 6), ("AUC", 6)])
-def eval_benchmark(st: Stages) -> DataFrame:
-    """The baselines and the four fitted models in one table, sorted by AUC; models are
-    scored at their default cut-off, as the reference does."""
-    parts = [baseline_random(st), baseline_majority(st).drop("majority_label"), baseline_stratified(st),
-             eval_metrics(st)]
+def _baselines(st: Stages) -> DataFrame:
+    """A43 rows of the four baselines."""
     out = None
-    for p in parts:
+    for p in (baseline_random(st), baseline_majority(st).drop("majority_label"), baseline_stratified(st), eval_metrics(st)):
         p = p.select(F.col("model").alias("Model"), F.lit("Baseline").alias("Type"),
                      F.col("accuracy").alias("Accuracy"), F.col("precision").alias("Precision"),
                      F.col("recall").alias("Recall"), F.col("f1").alias("F1"), F.col("auc").alias("AUC"))
         out = p if out is None else out.unionByName(p)
-    from .q_ml import estimators, fitted, model_rows
-    for name in estimators(1):
-        fitted(st, name)
-    models = model_rows(st)
-    if models is not None:
-        out = out.unionByName(models)
-    return out.orderBy(F.desc("AUC"), "Model")
+    return out
+
+
+def improvement(rows: DataFrame, names: tuple[str, ...] = ("AUC", "F1", "Precision", "Recall", "Accuracy")) -> DataFrame:
+    """The model of the largest AUC against the baseline of the largest AUC (ties: first by
+    name), by metric: both values, their difference, and it in percent of the baseline's (0 where
+    that is not positive). ``rows``: ``(Model, Type, metrics)``."""
+    pick = lambda kind: F.min_by(F.struct("Model", *names), F.when(F.col("Type") == kind, F.struct(-F.col("AUC"), F.col("Model"))))
+    row = rows.agg(pick("ML Model").alias("m"), pick("Baseline").alias("b"))
+    long = row.select(F.explode(F.array(*[
+        F.struct(F.lit(x).alias("Metric"), F.col("m.Model").alias("Model"), F.col("b.Model").alias("Baseline"),
+                 F.col(f"m.{x}").alias("Model_Value"), F.col(f"b.{x}").alias("Baseline_Value")) for x in names])).alias("r")).select("r.*")
+    gain = F.col("Model_Value") - F.col("Baseline_Value")
+    return long.withColumn("Improvement", gain).withColumn(
+        "Improvement_Pct", F.when(F.col("Baseline_Value") > 0, F.lit(100.0) * gain / F.col("Baseline_Value")).otherwise(F.lit(0.0)))
+
+
+IMPROVEMENT = [("Metric", "s"), ("Model", "s"), ("Baseline", "s"), ("Model_Value", 6), ("Baseline_Value", 6), ("Improvement", 6),
+               ("Improvement_Pct", 4)]
+_ALL_BASE = " UNION ALL ".join(f"SELECT model, accuracy, precision, recall, f1, auc FROM ({x})" for x in (
+    _R["baseline_random"].sql, _R["baseline_majority"].sql, _R["baseline_stratified"].sql, _R["eval_metrics"].sql))
+
+
+@query("eval_improvement_spread", IMPROVEMENT, " UNION ALL ".join(
+    f"""SELECT '{m}' AS Metric, a.model AS Model, b.model AS Baseline, a.{c} AS Model_Value, b.{c} AS Baseline_Value,
+    a.{c} - b.{c} AS Improvement, CASE WHEN b.{c} > 0 THEN 100.0 * (a.{c} - b.{c}) / b.{c} ELSE 0 END AS Improvement_Pct
+    FROM (SELECT * FROM bench WHERE model = 'CDS-Only') a, (SELECT * FROM bench WHERE model <> 'CDS-Only' ORDER BY auc DESC, model LIMIT 1) b"""
+    for m, c in (("AUC", "auc"), ("F1", "f1"), ("Precision", "precision"), ("Recall", "recall"), ("Accuracy", "accuracy"))),
+       extra_ctes=DRAW_CTES + f",\nbench AS ({_ALL_BASE})")
+def eval_improvement_spread(st: Stages) -> DataFrame:
+    """A44 on closed-form scores: the spread score against the three naive baselines."""
+    rows = _baselines(st)
+    return improvement(rows.withColumn("Type", F.when(F.col("Model") == "CDS-Only", "ML Model").otherwise(F.col("Type"))))
+
+
+@query("eval_improvement", IMPROVEMENT)
+def eval_improvement(st: Stages) -> DataFrame:
+    """The best fitted model against the best baseline, by metric."""
+    return improvement(eval_benchmark(st))
+
+
+@query("eval_compare", [("Model", "s"), ("rank", "k"), ("Accuracy", 6), ("Precision", 6), ("Recall", 6), ("F1", 6), ("AUC", 6)])
+def eval_compare(st: Stages) -> DataFrame:
+    """The fitted models ranked by AUC (name breaks ties); one row a model."""
+    from .q_ml import model_rows
+    w = Window.orderBy(F.desc("AUC"), "Model")          # as many rows as there are models
+    return model_rows(st).withColumn("rank", F.row_number().over(w)).drop("Type")
+
+
+@query("eval_benchmark", [("Model", "s"), ("Type", "s"), ("Accuracy", 6), ("Precision", 6), ("Recall", 6),
+                          ("F1", 6), ("AUC", 6)])
+def eval_benchmark(st: Stages) -> DataFrame:
+    """The baselines and the four fitted models in one table, sorted by AUC; models are
+    scored at their default cut-off, as the reference does."""
+    from .q_ml import model_rows
+    return _baselines(st).unionByName(model_rows(st)).orderBy(F.desc("AUC"), "Model")

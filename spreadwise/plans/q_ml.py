@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.exprs import count_if
+from ..functions.exprs import draw_key
 from ..functions.stats import quantile_row
 from ..session import scratch_dir
 from .pipeline import Stages
@@ -74,7 +74,7 @@ def model_input(st: Stages) -> DataFrame:
     if key is None:
         df = with_weights(scaled(st))
         df = VectorAssembler(inputCols=st.feature_cols, outputCol="features").transform(df)
-        st._model_input = key = st.cut(df)
+        st._model_input = key = st.cut(df, "model_input")
     return key
 
 
@@ -87,10 +87,10 @@ def estimators(n_train: int):
         "Random Forest": RandomForestClassifier(
             numTrees=100, maxDepth=5, minInstancesPerNode=25, featureSubsetStrategy="sqrt",
             weightCol="w_balanced", seed=SEED),
-        "XGBoost": GBTClassifier(
+        "Boosted Trees": GBTClassifier(
             maxIter=75, maxDepth=3, stepSize=0.03, subsamplingRate=0.6, featureSubsetStrategy="0.6",
             weightCol="w_spw", seed=SEED),
-        "LightGBM": GBTClassifier(
+        "Boosted Trees, Large Leaves": GBTClassifier(
             maxIter=75, maxDepth=3, stepSize=0.03, subsamplingRate=0.6, featureSubsetStrategy="0.6",
             minInstancesPerNode=100, weightCol="w_spw", seed=SEED),
     }
@@ -114,12 +114,11 @@ def scores(st: Stages, name: str) -> DataFrame:
                       vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("long").alias("pred"))
 
 
-def model_rows(st: Stages) -> DataFrame | None:
-    """A42 rows for the models fitted in this session (S13: absent models are skipped)."""
+def model_rows(st: Stages) -> DataFrame:
+    """A42 rows of the four fitted models, at their default cut-off as in the reference."""
     from ..operators import metrics as M
-    models = st.__dict__.get("_models", {})
     out = None
-    for name in models:
+    for name in estimators(1):
         s = scores(st, name).filter(F.col("split") == "test")
         c = M.with_rates(M.confusion(s, pred="pred")).crossJoin(M.auc(s).select("auc"))
         r = c.select(F.lit(name).alias("Model"), F.lit("ML Model").alias("Type"), F.col("accuracy").alias("Accuracy"),
@@ -183,12 +182,12 @@ def ml_random_forest(st: Stages) -> DataFrame:
 
 @query("ml_gbt", SCORE_SPEC)
 def ml_gbt(st: Stages) -> DataFrame:
-    return scores(st, "XGBoost")
+    return scores(st, "Boosted Trees")
 
 
 @query("ml_gbt_large_leaf", SCORE_SPEC)
 def ml_gbt_large_leaf(st: Stages) -> DataFrame:
-    return scores(st, "LightGBM")
+    return scores(st, "Boosted Trees, Large Leaves")
 
 
 @query("ml_score", SCORE_SPEC)
@@ -200,7 +199,7 @@ def ml_score(st: Stages) -> DataFrame:
 def ml_importance(st: Stages) -> DataFrame:
     """Tree-model feature importances ranked (name tie-break)."""
     out = None
-    for name in ("Random Forest", "XGBoost"):
+    for name in ("Random Forest", "Boosted Trees", "Boosted Trees, Large Leaves"):
         imp = fitted(st, name).featureImportances.toArray().tolist()  # one value per feature column
         df = st.spark.createDataFrame([(f, float(v)) for f, v in zip(st.feature_cols, imp)], "feature string, importance double")
         w = Window.orderBy(F.desc("importance"), "feature")
@@ -209,12 +208,31 @@ def ml_importance(st: Stages) -> DataFrame:
     return out
 
 
-@query("ml_folds", [("label", "k"), ("fold", "k"), ("rows", "k")])
+MD5_KEY = f"md5(concat_ws('|', CAST(gvkey AS VARCHAR), CAST(date AS VARCHAR), '{SEED}'))"
+
+
+def stratified_folds(df: DataFrame, label: str, key, folds: int = 3) -> DataFrame:
+    """M8: ``fold`` of each row such that within a label the folds differ by at most one row.
+
+    Rows of a label are dealt in the order of ``key`` (a hash as hex text). The rank is a prefix sum
+    over 4,096 hash buckets plus the rank inside a bucket, so no task sorts a whole label.
+    """
+    d = df.withColumn("_key", key).withColumn("_b", F.substring("_key", 1, 3))
+    size = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)    # <= 4096 rows a label
+    size = size.select(label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(label, "_b").orderBy("_key")
+    ranked = d.withColumn("_r", F.row_number().over(inside)).join(size, [label, "_b"])
+    return ranked.withColumn("fold", (F.col("_before") + F.col("_r") - 1) % folds).drop("_key", "_b", "_r", "_before")
+
+
+@query("ml_folds", [("gvkey", "k"), ("date", "d"), ("label", "k"), ("fold", "k")],
+       f"""SELECT gvkey, date, distress_flag AS label,
+       (row_number() OVER (PARTITION BY distress_flag ORDER BY {MD5_KEY}) - 1) % 3 AS fold FROM split_tbl WHERE split = 'train'""")
 def ml_folds(st: Stages) -> DataFrame:
-    """M8: 3 hash folds of the train rows (stratified in expectation, same at any partitioning)."""
+    """M8: three exactly stratified folds of the train rows."""
     tr = st.split.filter(F.col("split") == "train")
-    f = tr.withColumn("fold", F.pmod(F.xxhash64("gvkey", "date", F.lit(SEED)), F.lit(3)))
-    return f.groupBy(F.col(S.LABEL).alias("label"), "fold").agg(F.count(F.lit(1)).alias("rows"))
+    return stratified_folds(tr, S.LABEL, draw_key("gvkey", "date", seed=SEED)).select("gvkey", "date", F.col(S.LABEL).alias("label"), "fold")
 
 
 @query("ml_model_roundtrip", SCORE_SPEC)
@@ -232,38 +250,40 @@ def ml_model_roundtrip(st: Stages) -> DataFrame:
 
 
 # ---------------------------------------------------------------- attribution ---------------
-def sample_rows(st: Stages, n: int = 1000) -> DataFrame:
-    """Up to ``n`` test rows by a seeded hash order (deterministic at any partitioning)."""
-    t = model_input(st).filter(F.col("split") == "test")
-    return t.orderBy(F.xxhash64("gvkey", "date", F.lit(SEED)), "gvkey", "date").limit(n)
+def test_input(st: Stages) -> DataFrame:
+    """Every test row of the model input: attributions leave none out."""
+    return model_input(st).filter(F.col("split") == "test")
 
 
-def linear_attribution(st: Stages, sample: DataFrame) -> DataFrame:
+def linear_attribution(st: Stages, rows: DataFrame) -> DataFrame:
     """Exact attribution of a linear model, ``coef_j * (x_j - mean_j)`` on the log-odds
     scale, as a long table ``(gvkey, date, feature, value, attribution)``."""
     lr = fitted(st, "Logistic Regression")
     coefs = lr.coefficients.toArray().tolist()
     feats = st.feature_cols
     means = model_input(st).filter(F.col("split") == "train").agg(*[F.avg(c).alias(c) for c in feats])
-    j = sample.crossJoin(F.broadcast(means.select(*[F.col(c).alias(f"{c}__m") for c in feats])))
+    j = rows.crossJoin(F.broadcast(means.select(*[F.col(c).alias(f"{c}__m") for c in feats])))
     return j.select("gvkey", "date", F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"),
                  (F.lit(float(b)) * (F.col(c) - F.col(f"{c}__m"))).alias("attribution"))
         for c, b in zip(feats, coefs)])).alias("r")).select("gvkey", "date", "r.*")
 
 
-@query("attr_sample", [("gvkey", "k"), ("date", "d"), ("label", "k")])
+@query("attr_sample", [("gvkey", "k"), ("date", "d"), ("label", "k")],
+       f"SELECT gvkey, date, distress_flag AS label FROM split_tbl WHERE split = 'test' ORDER BY {MD5_KEY} LIMIT 1000")
 def attr_sample(st: Stages) -> DataFrame:
-    return sample_rows(st).select("gvkey", "date", F.col(S.LABEL).cast("long").alias("label"))
+    """Up to 1000 test rows by a seeded hash order. The sampling operator; nothing else uses it."""
+    t = st.split.filter(F.col("split") == "test")
+    return t.orderBy(draw_key("gvkey", "date", seed=SEED)).limit(1000).select("gvkey", "date", F.col(S.LABEL).cast("long").alias("label"))
 
 
 @query("attr_linear", [("gvkey", "k"), ("date", "d"), ("feature", "s"), ("value", 6), ("attribution", 6)])
 def attr_linear(st: Stages) -> DataFrame:
-    return linear_attribution(st, sample_rows(st))
+    return linear_attribution(st, test_input(st))
 
 
 def attr_summary_df(st: Stages) -> DataFrame:
-    a = linear_attribution(st, sample_rows(st))
+    a = linear_attribution(st, test_input(st))
     return a.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs_shap"),
                                     F.avg("attribution").alias("mean_shap"),
                                     F.stddev_pop("attribution").alias("std_shap"))
@@ -288,7 +308,7 @@ def attr_top5(st: Stages) -> DataFrame:
 def attr_dependence(st: Stages) -> DataFrame:
     """Value / attribution pairs of the top 2 features."""
     top2 = attr_summary_df(st).orderBy(F.desc("mean_abs_shap"), "feature").limit(2).select("feature")
-    return linear_attribution(st, sample_rows(st)).join(F.broadcast(top2), "feature")
+    return linear_attribution(st, test_input(st)).join(F.broadcast(top2), "feature")
 
 
 def _ranked(df: DataFrame, score: str) -> DataFrame:
@@ -355,8 +375,6 @@ def attr_examples(st: Stages) -> DataFrame:
     """Two example rows per category (ordered by firm and date) of the baseline scores."""
     from .q_eval import test_scores
     s = test_scores(st).withColumn("pred", F.col("pred05"))
-    names = st.ml_dataset.select("gvkey", "date", "company_name")
-    s = s.join(names, ["gvkey", "date"])
     cats = F.array_compact(F.array(
         F.when((F.col("label") == 1) & (F.col("pred") == 1), F.lit("True Positive")),
         F.when((F.col("label") == 0) & (F.col("pred") == 1), F.lit("False Positive")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -317,14 +317,67 @@ def feature_list(st: Stages) -> DataFrame:
                  F.col(c).alias("non_null")) for i, c in enumerate(feats)])).alias("r")).select("r.*")
 
 
-SINK_COLS = ["gvkey", "date", "year", "quarter", "cds_spread", "distress_flag", "split"]
+from .q_pipeline import spec_of  # noqa: E402
 
+SINK_COLS = [*S.ML_DATASET_COLS, "split"]
 
-@query("sink_roundtrip", [("gvkey", "k"), ("date", "d"), ("year", "k"), ("quarter", "k"), ("cds_spread", 4),
-                          ("distress_flag", 1), ("split", "s")],
-       "SELECT gvkey, date, year, quarter, cds_spread, distress_flag, split FROM split_tbl")
+
+@query("sink_roundtrip", [(c, 1) if c == "distress_flag" else (c, k) for c, k in spec_of(SINK_COLS)],
+       f"SELECT {', '.join(SINK_COLS)} FROM split_tbl")
 def sink_roundtrip(st: Stages) -> DataFrame:
-    """The split table written as Parquet partitioned by ``year`` into the shared folder, read back."""
+    """The whole split table written as Parquet partitioned by ``year`` into the shared folder, read back."""
     path = f"{scratch_dir(st.spark).rstrip('/')}/tables/split-{uuid.uuid4().hex}"
-    st.split.select(*SINK_COLS).write.mode("overwrite").partitionBy("year").parquet(path)
+    st.split.select(*SINK_COLS).write.partitionBy("year").parquet(path)
     return st.spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------- correlations (A22-A24, O3) ----
+def _corr_sql(a: str, b: str) -> str:
+    """Pearson r over the rows where both are present; NULL where one of them does not vary."""
+    return (f"CASE WHEN stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END) <> 0 "
+            f"THEN covar_pop({a}, {b}) / (stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END)) END")
+
+
+CORR_COLS = [c for c in S.FEATURES_COMPLETE_COLS if c not in S.ID_COLS]
+_CORR_PAIRS = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
+_CORR_CTES = ("corr_row AS (SELECT " + ", ".join(f"{_corr_sql(a, b)} AS c{i}" for i, (a, b) in enumerate(_CORR_PAIRS)) + " FROM features_complete),\n"
+              "corr_all AS (" + " UNION ALL ".join(f"SELECT {i} AS pair, '{a}' AS feature1, '{b}' AS feature2, c{i} AS corr FROM corr_row"
+                                                   for i, (a, b) in enumerate(_CORR_PAIRS)) + ")")
+HIGH_CORR = 0.9
+
+
+def correlations(st: Stages) -> DataFrame:
+    """A22 over the numeric columns after step 7, staged: one row a pair."""
+    table = st.__dict__.get("_correlations")
+    if table is None:
+        rows = st.cut(st.features_complete.select(*CORR_COLS), "features_complete")
+        st._correlations = table = st.cut(P.corr_matrix(rows, CORR_COLS), "correlations")
+    return table
+
+
+@query("feat_corr_matrix", [("pair", "k"), ("feature1", "s"), ("feature2", "s"), ("corr", 6)],
+       "SELECT pair, feature1, feature2, corr FROM corr_all", extra_ctes=_CORR_CTES)
+def feat_corr_matrix(st: Stages) -> DataFrame:
+    """Pairwise-complete Pearson correlation of every pair of columns."""
+    return correlations(st)
+
+
+@query("feat_corr_high", [("feature1", "s"), ("feature2", "s"), ("corr", 6)],
+       f"SELECT feature1, feature2, corr FROM corr_all WHERE abs(corr) > {HIGH_CORR}", extra_ctes=_CORR_CTES)
+def feat_corr_high(st: Stages) -> DataFrame:
+    """The pairs whose correlation exceeds 0.9 in size."""
+    return correlations(st).filter(F.abs("corr") > HIGH_CORR).drop("pair")
+
+
+@query("feat_corr_target", [("rank", "k"), ("feature", "s"), ("abs_corr", 6)],
+       """SELECT rank, feature, abs_corr FROM (SELECT row_number() OVER (ORDER BY abs_corr DESC, feature) AS rank, feature, abs_corr FROM (
+    SELECT CASE WHEN feature1 = 'cds_spread' THEN feature2 ELSE feature1 END AS feature, abs(corr) AS abs_corr FROM corr_all
+    WHERE corr IS NOT NULL AND 'cds_spread' IN (feature1, feature2))) WHERE rank <= 9""", extra_ctes=_CORR_CTES)
+def feat_corr_target(st: Stages) -> DataFrame:
+    """The 9 columns most correlated with the spread; the reference's top 10 starts with
+    the spread itself, which it skips."""
+    name = F.when(F.col("feature1") == "cds_spread", F.col("feature2")).otherwise(F.col("feature1"))
+    c = (correlations(st).filter(F.col("corr").isNotNull() & F.lit("cds_spread").isin(F.col("feature1"), F.col("feature2")))
+         .select(name.alias("feature"), F.abs("corr").alias("abs_corr")))
+    w = Window.orderBy(F.desc("abs_corr"), "feature")          # one row a column
+    return c.withColumn("rank", F.row_number().over(w)).filter("rank <= 9")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of this package relies on. ANSI stays on (Spark 4 default);
 # the code uses try_cast / try_divide / nullif wherever a value may be bad.
@@ -42,6 +43,14 @@ def apply_conf(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table into the shared folder and read it back: later queries read
+    only the columns they need, and a lost executor re-reads the table."""
+    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage tables.
 

@@ -94,10 +94,10 @@ def fx_fundamentals(spark: SparkSession, sf_dir: str, duplicates: bool = True) -
         k.alias("_k"),
     )
     if duplicates:
-        dup = (out.filter((F.col("gvkey") + F.col("_k")) % DUP_MOD == 0)
-               .withColumn("atq", F.col("atq") * 2)
-               .withColumn("ingest_id", F.col("ingest_id") + 1))
-        out = out.unionByName(dup)
+        # a duplicate comes out of the same scan as its original
+        copies = F.when((F.col("gvkey") + F.col("_k")) % DUP_MOD == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        out = out.withColumn("_copy", F.explode(copies))
+        out = out.withColumns({"atq": F.col("atq") * (F.col("_copy") + 1), "ingest_id": F.col("ingest_id") + F.col("_copy")}).drop("_copy")
     return out.drop("_k")
 
 
@@ -157,9 +157,11 @@ def fx_spreads_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide spread matrix as the raw file delivers it: all text, dates as headers, newest first,
     plus one column ``notes`` whose header is not a date."""
     cells = fx_spread_cells(spark, sf_dir)
-    # The header list is the file's schema: one entry per month, bounded by the date range.
-    months = [r["date"] for r in cells.select("date").distinct().orderBy(F.desc("date")).collect()]
-    headers = [m.strftime("%d.%m.%y") for m in months]
+    # The header list is the file's schema: one entry per month of the date range, newest first.
+    first, last = read_table(spark, sf_dir, "lineitem").agg(*[
+        F.add_months(F.trunc(F.to_date(f("l_shipdate")), "month"), SHIFT_MONTHS) for f in (F.min, F.max)]).first()
+    months = [] if first is None else range(last.year * 12 + last.month - 1, first.year * 12 + first.month - 2, -1)
+    headers = [f"01.{m % 12 + 1:02d}.{m // 12 % 100:02d}" for m in months]
     wide = (cells.withColumn("hdr", spread_header(F.col("date")))
             .groupBy("iqt").pivot("hdr", headers).agg(F.first(F.col("spread").cast("string"))))
     sup = read_table(spark, sf_dir, "supplier").select(
