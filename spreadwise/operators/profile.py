@@ -141,31 +141,24 @@ def coverage(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return rows_of(row, cols, {"nn": "non_null", "pct": "coverage_pct"})
 
 
-def corr_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson correlation per pair with pairwise deletion; a constant column gives NULL.
+def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson correlation of all pairs ``i < j`` of columns in order, pairwise deletion.
 
     ``covar_pop / (stddev_pop(x | y present) * stddev_pop(y | x present))`` equals the
-    pairwise-complete Pearson r and never divides by zero (T12).
+    pairwise-complete Pearson r, gives NULL for a constant column and never divides by zero (T12).
+    A row becomes one small row per pair, which the partial aggregate folds at once: one scan and
+    one aggregate of fixed size for any number of columns, and only pairs are shuffled.
     """
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a), F.col(b)
-        aggs += [F.covar_pop(x, y).alias(f"p{i}__cov"),
-                 F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"p{i}__sa"),
-                 F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"p{i}__sb")]
-    row = df.agg(*aggs)
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
-                 (F.col(f"p{i}__cov") / F.nullif(F.col(f"p{i}__sa") * F.col(f"p{i}__sb"), F.lit(0.0))).alias("corr"))
-        for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
-
-
-def corr_matrix(df: DataFrame, cols: Sequence[str], chunk: int = 96) -> DataFrame:
-    """All pairs ``i < j`` in column order, in aggregation chunks of ``chunk`` pairs (keeps each
-    generated aggregate small); the caller persists ``df`` when it is expensive to recompute."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    out = None
-    for s in range(0, len(pairs), chunk):
-        part = corr_pairs(df, pairs[s:s + chunk]).withColumn("pair", F.col("pair") + s)
-        out = part if out is None else out.unionByName(part)
-    return out
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    left, right = (F.array(*[F.lit(p[s]) for p in pairs]) for s in (0, 1))
+    at = lambda values, k: F.get(values, k)
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v")).select(
+        "v", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("pair"))
+    rows = rows.select("pair", at(F.col("v"), at(left, F.col("pair"))).alias("x"), at(F.col("v"), at(right, F.col("pair"))).alias("y"))
+    rows = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    stats = rows.groupBy("pair").agg(F.covar_pop("x", "y").alias("cov"), (F.stddev_pop("x") * F.stddev_pop("y")).alias("sd"))
+    names = F.array(*[F.lit(c) for c in cols])
+    every = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))     # a pair without common rows is NULL
+    return every.join(stats, "pair", "left").select(
+        "pair", at(names, at(left, F.col("pair"))).alias("feature1"), at(names, at(right, F.col("pair"))).alias("feature2"),
+        (F.col("cov") / F.nullif(F.col("sd"), F.lit(0.0))).alias("corr"))

@@ -150,26 +150,26 @@ def clean_lineage(st: Stages) -> DataFrame:
     return out
 
 
-@query("clean_validation", [("dataset", "s"), ("rows", "k"), ("non_null", "k"), ("spread_min", 4),
+@query("clean_validation", [("dataset", "s"), ("rows", "k"), ("non_null", "k"), ("niq_non_null", 0), ("spread_min", 4),
                             ("spread_max", 4), ("spread_median", 4)], """
-    SELECT 'fundamentals' AS dataset, count(*) AS rows, count(atq) AS non_null,
+    SELECT 'fundamentals' AS dataset, count(*) AS rows, count(atq) AS non_null, count(niq) AS niq_non_null,
            NULL AS spread_min, NULL AS spread_max, NULL AS spread_median FROM fund_clean
-    UNION ALL SELECT 'prices', count(*), count(prccm), NULL, NULL, NULL FROM price_clean
-    UNION ALL SELECT 'spreads', count(*), count(cds_spread), min(cds_spread), max(cds_spread),
+    UNION ALL SELECT 'prices', count(*), count(prccm), NULL, NULL, NULL, NULL FROM price_clean
+    UNION ALL SELECT 'spreads', count(*), count(cds_spread), NULL, min(cds_spread), max(cds_spread),
            median(cds_spread) FROM spreads_long""")
 def clean_validation(st: Stages) -> DataFrame:
     from ..functions.stats import quantile_row
     nul = F.lit(None).cast("double")
     f = st.fundamentals_clean.agg(F.lit("fundamentals").alias("dataset"), F.count(F.lit(1)).alias("rows"),
-                                  F.count("atq").alias("non_null"), nul.alias("spread_min"),
+                                  F.count("atq").alias("non_null"), F.count("niq").alias("niq_non_null"), nul.alias("spread_min"),
                                   nul.alias("spread_max"), nul.alias("spread_median"))
     p = st.prices_clean.agg(F.lit("prices").alias("dataset"), F.count(F.lit(1)).alias("rows"),
-                            F.count("prccm").alias("non_null"), nul.alias("spread_min"),
+                            F.count("prccm").alias("non_null"), nul.cast("long").alias("niq_non_null"), nul.alias("spread_min"),
                             nul.alias("spread_max"), nul.alias("spread_median"))
     s = st.spreads_long
     med = quantile_row(s, ["cds_spread"], [0.5], names=["med"])
     sa = s.agg(F.lit("spreads").alias("dataset"), F.count(F.lit(1)).alias("rows"),
-               F.count("cds_spread").alias("non_null"), F.min("cds_spread").alias("spread_min"),
+               F.count("cds_spread").alias("non_null"), nul.cast("long").alias("niq_non_null"), F.min("cds_spread").alias("spread_min"),
                F.max("cds_spread").alias("spread_max")).crossJoin(med) \
         .withColumnRenamed("cds_spread_med", "spread_median")
     return f.unionByName(p).unionByName(sa)

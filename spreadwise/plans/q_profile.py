@@ -317,6 +317,22 @@ def feature_list(st: Stages) -> DataFrame:
                  F.col(c).alias("non_null")) for i, c in enumerate(feats)])).alias("r")).select("r.*")
 
 
+GROUPS = [("ids", S.ID_COLS), ("accounting", S.ACCOUNTING_FEATURES), ("market", S.MARKET_FEATURES), ("lagged", S.LAGGED_FEATURES),
+          ("target source", S.TARGET_SOURCE), ("removed", [c for c in S.FEATURES_COMPLETE_COLS if c not in S.SELECTED_COLS])]
+
+
+@query("feature_groups", [("grp", "s"), ("columns", "k"), ("non_null", "k")], " UNION ALL ".join(
+    f"SELECT '{g}' AS grp, {len(cols)} AS columns, {' + '.join(f'count({c})' for c in cols)} AS non_null FROM features_complete"
+    for g, cols in GROUPS))
+def feature_groups(st: Stages) -> DataFrame:
+    """Columns of each group, the ones that the selection removes among them, and their values."""
+    have = st.features_complete.columns
+    row = st.features_complete.agg(*[F.count(c).alias(c) for c in have])
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(g).alias("grp"), F.lit(len([c for c in cols if c in have])).alias("columns"),
+                 sum((F.col(c) for c in cols if c in have), F.lit(0)).alias("non_null")) for g, cols in GROUPS])).alias("r")).select("r.*")
+
+
 from .q_pipeline import spec_of  # noqa: E402
 
 SINK_COLS = [*S.ML_DATASET_COLS, "split"]
