@@ -13,11 +13,13 @@ Signatures are cut into bands of ``ROWS``; texts that agree in a band are candid
 their shingles, and classes are the connected components of the links.
 
 Hot groups. Equal texts are one node from the start. In a bucket of over ``CROWD`` nodes no pairs
-are listed. There, the weight that each node shares with no other node of such buckets bounds its
-similarity to any of them: J(x, y) <= shared(x) / (size(x) + alone(y)). Nodes that can reach 0.8 with
-nobody go; the others are compared with the bucket's node of least ``alone``; and only pairs that
-are then still in different components, and whose bounds allow a link, are listed and checked. No
-pair that could link two components is left out.
+are listed. There each node is first compared with the bucket's most central one, that with the least
+weight that no other such node shares. What then lies in different components is joined exactly, by
+prefixes: with the shingles of a node in order of how many nodes hold them, rarest first, two nodes
+that reach the threshold share a shingle among the first (1 - threshold) of either's weight, early
+enough to leave room for the overlap that they need. Pairs that share one, in different components,
+are checked; no other pair can link two components. Near copies differ in rare shingles, so few
+pairs remain: the join lists them by the links that are missing, not by the square of the group.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -203,32 +205,37 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     near = (F.col("size") >= F.col("size_v") * threshold) & (F.col("size_v") >= F.col("size") * threshold)
     pairs = few.withColumnRenamed("node", "u").join(other, "band").filter((F.col("u") < F.col("v")) & near).select("u", "v")
 
-    crowded = members.filter(F.col("c") > crowd)
-    cells = (texts.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "text")
-             .mapInArrow(_shingle_rows, "node long, key long, w long"))
-    single = cells.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("node").alias("node"), F.max("w").alias("w")).filter("c = 1")
-    alone = single.groupBy("node").agg(F.sum("w").alias("alone"))
-    crowded = (crowded.join(alone, "node", "left").select("band", "node", "size", F.coalesce("alone", F.lit(0)).alias("alone"))
-               .filter(F.col("size") - F.col("alone") >= threshold * F.col("size")))
-    crowded = staged(crowded, "crowded")
-    centre = crowded.groupBy("band").agg(F.min(F.struct("alone", "node")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    spokes = (crowded.join(centre.select("band", F.col("m.node").alias("v")), "band").filter(F.col("node") != F.col("v"))
+    crowded = members.filter(F.col("c") > crowd).select("band", "node", "size")
+    cells = staged(texts.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "text")
+                   .mapInArrow(_shingle_rows, "node long, key long, w long"), "shingles")
+    cells = cells.join(cells.groupBy("key").agg(F.count(F.lit(1)).alias("holders")), "key")
+    by_node = Window.partitionBy("node").orderBy("holders", "key").rowsBetween(Window.unboundedPreceding, -1)   # a text's shingles
+    sizes = cells.groupBy("node").agg(F.sum("w").alias("size"), F.sum(F.when(F.col("holders") == 1, F.col("w")).otherwise(0)).alias("alone"))
+    able = sizes.filter(F.col("size") - F.col("alone") >= threshold * F.col("size"))
+    prefix = staged(cells.withColumn("before", F.coalesce(F.sum("w").over(by_node), F.lit(0))).join(able, "node")
+                    .filter(F.col("before") <= F.col("size") * (1 - threshold) + 1e-9).select("key", "node", "before", "size"), "prefixes")
+    central = crowded.join(able.select("node", "alone"), "node")
+    centre = central.groupBy("band").agg(F.min(F.struct("alone", "node")).alias("m"))
+    spokes = (central.join(centre.select("band", F.col("m.node").alias("v")), "band").filter(F.col("node") != F.col("v"))
               .select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")))
     links = verified(pairs.union(spokes).distinct(), texts, threshold)
     named = components(links)
 
-    # crowded buckets that still hold several components
-    left = crowded.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = left.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
-    left = staged(left.join(mixed, "band"), "mixed")
-    a, b = left.alias("a"), left.alias("b")
-    size = lambda x: F.col(f"{x}.size")
-    bound = lambda x, y: size(x) - F.col(f"{x}.alone") >= threshold * (size(x) + F.col(f"{y}.alone"))
-    rest = (a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-                   & bound("a", "b") & bound("b", "a") & (size("a") >= size("b") * threshold) & (size("b") >= size("a") * threshold))
-            .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
-    if not left.isEmpty():
-        links = links.union(verified(rest.distinct(), texts, threshold))
+    # exact join of what is still apart; of two components that meet under a shingle, one is not its most frequent
+    held = prefix.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    most = (held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    held = held.join(most.select("key", F.col("m.component").alias("usual")), "key")
+    a, b = held.filter("component <> usual").alias("a"), held.alias("b")
+    room = F.least(F.col("a.size") - F.col("a.before"), F.col("b.size") - F.col("b.before"))
+    apart = ((F.col("a.component") != F.col("b.component"))
+             & (room >= (F.col("a.size") + F.col("b.size")) * (threshold / (1 + threshold)) - 1e-9)
+             & (F.col("a.size") >= F.col("b.size") * threshold) & (F.col("b.size") >= F.col("a.size") * threshold))
+    rest = (a.join(b, (F.col("a.key") == F.col("b.key")) & apart)
+            .select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct())
+    more = verified(rest, texts, threshold)
+    if not more.isEmpty():
+        links = links.union(more)
         named = components(links)
 
     # the row number makes one of several equal rows the least
