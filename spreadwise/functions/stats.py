@@ -49,9 +49,13 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     delta = margin / accuracy
     ends = [(max(0.0, p - delta), min(1.0, p + delta)) for p in probs]
     brk = sorted({x for e in ends for x in e})
-    sk = long.groupBy("var").agg(F.count("x").alias("n"), F.percentile_approx("x", brk, accuracy).alias("ap"))
+    sk = long.groupBy("var").agg(F.count("x").alias("n"), F.percentile_approx("x", brk, accuracy).alias("ap"),
+                                 F.min("x").alias("least"), F.max("x").alias("most"))
+    # the margin must hold the sketch's error and the step between the two order statistics
+    few = (F.col("n") * delta < 2) & F.lit(margin > 0)
     tgt = sk.select("var", "n", F.posexplode(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.col("ap")[brk.index(lo)].alias("a"), F.col("ap")[brk.index(hi)].alias("b"))
+        F.struct(F.lit(p).alias("p"), F.when(few, F.col("least")).otherwise(F.col("ap")[brk.index(lo)]).alias("a"),
+                 F.when(few, F.col("most")).otherwise(F.col("ap")[brk.index(hi)]).alias("b"))
         for p, (lo, hi) in zip(probs, ends, strict=True)])).alias("k", "t"))
     pos = F.col("t.p") * (F.col("n") - 1)
     tgt = tgt.select("var", "k", "n", F.col("t.p").alias("p"), F.col("t.a").alias("a"), F.col("t.b").alias("b"),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.exprs import draw_key
 from ..functions.stats import quantile_row
+from ..operators import attribution as A
 from ..session import scratch_dir
 from .pipeline import Stages
 from .registry import query
@@ -167,6 +168,7 @@ def ml_class_weights(st: Stages) -> DataFrame:
                     ((F.col("n") - F.col("positives")) / F.col("positives")).alias("scale_pos_weight"))
 
 
+MODELS = ("Logistic Regression", "Random Forest", "Boosted Trees", "Boosted Trees, Large Leaves")
 SCORE_SPEC = [("gvkey", "k"), ("date", "d"), ("split", "s"), ("label", "k"), ("p", 6), ("pred", "k")]
 
 
@@ -255,18 +257,31 @@ def test_input(st: Stages) -> DataFrame:
     return model_input(st).filter(F.col("split") == "test")
 
 
+def train_means(st: Stages) -> DataFrame:
+    return model_input(st).filter(F.col("split") == "train").agg(*[F.avg(c).alias(c) for c in st.feature_cols])
+
+
 def linear_attribution(st: Stages, rows: DataFrame) -> DataFrame:
-    """Exact attribution of a linear model, ``coef_j * (x_j - mean_j)`` on the log-odds
-    scale, as a long table ``(gvkey, date, feature, value, attribution)``."""
+    """Exact attribution of the fitted linear model on the log-odds scale."""
     lr = fitted(st, "Logistic Regression")
-    coefs = lr.coefficients.toArray().tolist()
-    feats = st.feature_cols
-    means = model_input(st).filter(F.col("split") == "train").agg(*[F.avg(c).alias(c) for c in feats])
-    j = rows.crossJoin(F.broadcast(means.select(*[F.col(c).alias(f"{c}__m") for c in feats])))
-    return j.select("gvkey", "date", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"),
-                 (F.lit(float(b)) * (F.col(c) - F.col(f"{c}__m"))).alias("attribution"))
-        for c, b in zip(feats, coefs)])).alias("r")).select("gvkey", "date", "r.*")
+    return A.linear_attribution(rows, train_means(st), lr.coefficients.toArray().tolist(), st.feature_cols)
+
+
+def boosted(st: Stages, name: str):
+    """Leaf terms of a fitted boosted model, made once."""
+    table = st.__dict__.setdefault("_terms", {})
+    if name not in table:
+        table[name] = A.boosted_terms(fitted(st, name), model_input(st).filter(F.col("split") == "train"))
+    return table[name]
+
+
+def tree_attribution(st: Stages, name: str) -> DataFrame:
+    """Attribution of every test row on the log-odds scale (twice the raw score)."""
+    return A.tree_attribution(test_input(st), boosted(st, name), st.feature_cols, scale=2.0)
+
+
+# fixed coefficients: the same operator with a score that SQL can state
+FIXED = [round((-1) ** i * (i + 1) / 50, 2) for i in range(len(FEATS))]
 
 
 @query("attr_sample", [("gvkey", "k"), ("date", "d"), ("label", "k")],
@@ -282,13 +297,17 @@ def attr_linear(st: Stages) -> DataFrame:
     return linear_attribution(st, test_input(st))
 
 
-def attr_summary_df(st: Stages) -> DataFrame:
-    a = linear_attribution(st, test_input(st))
+def summarise(a: DataFrame) -> DataFrame:
+    """Mean |attribution|, mean and population std by feature."""
     return a.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs_shap"),
                                     F.avg("attribution").alias("mean_shap"),
                                     F.stddev_pop("attribution").alias("std_shap"))
 
 
+def attr_summary_df(st: Stages) -> DataFrame:
+    return summarise(linear_attribution(st, test_input(st)))
+
+
 @query("attr_summary", [("feature", "s"), ("mean_abs_shap", 6), ("mean_shap", 6), ("std_shap", 6)])
 def attr_summary(st: Stages) -> DataFrame:
     """Mean |attribution|, mean, population std per feature, sorted by the first."""
@@ -316,22 +335,65 @@ def _ranked(df: DataFrame, score: str) -> DataFrame:
     return df.select(F.row_number().over(w).alias("rank"), "feature")
 
 
-@query("attr_rank_compare", [("rank", "k"), ("linear_feature", "s"), ("tree_feature", "s"), ("match", "k")])
+BOOSTED = ("Boosted Trees", "Boosted Trees, Large Leaves")
+
+
+@query("attr_tree", [("gvkey", "k"), ("date", "d"), ("feature", "s"), ("value", 6), ("attribution", 6)])
+def attr_tree(st: Stages) -> DataFrame:
+    """Path-dependent Shapley values of the boosted model for every test row."""
+    return tree_attribution(st, BOOSTED[0])
+
+
+@query("attr_tree_check", [("model", "s"), ("rows", "k"), ("off", "k")],
+       " UNION ALL ".join(f"SELECT '{m}' AS model, count(*) AS rows, 0 AS off FROM split_tbl WHERE split = 'test'" for m in BOOSTED))
+def attr_tree_check(st: Stages) -> DataFrame:
+    """Attributions and base value must add up to the log-odds of every row: rows where they do not."""
+    out = None
+    for name in BOOSTED:
+        total = tree_attribution(st, name).groupBy("gvkey", "date").agg(F.sum("attribution").alias("total"))
+        p = scores(st, name).filter(F.col("split") == "test").select("gvkey", "date", "p")
+        gap = F.abs(F.col("total") + 2.0 * A.base_value(boosted(st, name)) - F.log(F.col("p") / (1 - F.col("p"))))
+        r = p.join(total, ["gvkey", "date"], "left").agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows"),
+                                                        F.count(F.when(F.coalesce(gap > 1e-6, F.lit(True)), 1)).alias("off"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def tree_summary(st: Stages, name: str) -> DataFrame:
+    return summarise(tree_attribution(st, name))
+
+
+@query("attr_rank_compare", [("rank", "k"), ("first_feature", "s"), ("second_feature", "s"), ("match", "k")])
 def attr_rank_compare(st: Stages) -> DataFrame:
-    """Rank-aligned comparison of the linear attribution ranking and the forest importance ranking."""
-    a = _ranked(attr_summary_df(st), "mean_abs_shap").withColumnRenamed("feature", "linear_feature")
-    imp = ml_importance(st).filter(F.col("model") == "Random Forest").select("rank", F.col("feature").alias("tree_feature"))
-    return a.join(imp, "rank").withColumn("match", (F.col("linear_feature") == F.col("tree_feature")).cast("long"))
+    """The attribution rankings of the two boosted models side by side."""
+    a, b = (_ranked(tree_summary(st, m), "mean_abs_shap").withColumnRenamed("feature", c)
+            for m, c in zip(BOOSTED, ("first_feature", "second_feature"), strict=True))
+    return a.join(b, "rank").withColumn("match", (F.col("first_feature") == F.col("second_feature")).cast("long"))
 
 
 @query("attr_agreement", [("top_k", "k"), ("overlap", "k")])
 def attr_agreement(st: Stages) -> DataFrame:
-    """Size of the overlap of the two top-10 lists."""
-    a = _ranked(attr_summary_df(st), "mean_abs_shap").filter(F.col("rank") <= 10).select("feature")
-    b = ml_importance(st).filter((F.col("model") == "Random Forest") & (F.col("rank") <= 10)).select("feature")
+    """Size of the overlap of the two models' top-10 lists."""
+    a, b = (_ranked(tree_summary(st, m), "mean_abs_shap").filter(F.col("rank") <= 10).select("feature") for m in BOOSTED)
     return a.join(b, "feature").agg(F.lit(10).alias("top_k"), F.count(F.lit(1)).alias("overlap"))
 
 
+@query("ml_fit_checks", [("model", "s"), ("split", "s"), ("rows", "k"), ("bad_p", "k"), ("bad_pred", "k")],
+       " UNION ALL ".join(f"SELECT '{m}' AS model, split, count(*) AS rows, 0 AS bad_p, 0 AS bad_pred FROM split_tbl GROUP BY split"
+                          for m in MODELS))
+def ml_fit_checks(st: Stages) -> DataFrame:
+    """Every fitted model scores every labelled row, with p in [0, 1] and the decision that p implies."""
+    out = None
+    for name in estimators(1):
+        s = scores(st, name)
+        r = s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"),
+                                   F.count(F.when(~F.coalesce((F.col("p") >= 0) & (F.col("p") <= 1), F.lit(False)), 1)).alias("bad_p"),
+                                   F.count(F.when((F.col("p") > 0.5).cast("long") != F.col("pred"), 1)).alias("bad_pred"))
+        r = r.withColumn("model", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 TOP5_SQL_CTE = ("sc_imp AS (SELECT gvkey, date, split, " + ", ".join(
     f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM split_tbl WHERE split = 'train')) AS {c}" for c in FEATS)
     + " FROM split_tbl),\nsc_mom AS (SELECT " + ", ".join(
@@ -341,6 +403,26 @@ TOP5_SQL_CTE = ("sc_imp AS (SELECT gvkey, date, split, " + ", ".join(
     + " FROM sc_imp, sc_mom WHERE split = 'test') UNPIVOT (z FOR feature IN (" + ", ".join(FEATS) + ")))")
 
 
+_FIXED_SQL = ("SELECT gvkey, date, feature, z AS value, z * CASE feature " + " ".join(f"WHEN '{c}' THEN {b}" for c, b in zip(FEATS, FIXED))
+              + " END AS attribution FROM sc_long")
+
+
+@query("attr_linear_fixed", [("gvkey", "k"), ("date", "d"), ("feature", "s"), ("value", 6), ("attribution", 6)], _FIXED_SQL, extra_ctes=TOP5_SQL_CTE)
+def attr_linear_fixed(st: Stages) -> DataFrame:
+    """M13a with fixed coefficients, on all test rows."""
+    return A.linear_attribution(test_input(st), train_means(st), FIXED, st.feature_cols)
+
+
+@query("attr_summary_fixed", [("rank", "k"), ("feature", "s"), ("mean_abs_shap", 6), ("mean_shap", 6), ("std_shap", 6)],
+       f"""SELECT row_number() OVER (ORDER BY mean_abs_shap DESC, feature) AS rank, * FROM (
+       SELECT feature, avg(abs(attribution)) AS mean_abs_shap, avg(attribution) AS mean_shap, stddev_pop(attribution) AS std_shap
+       FROM ({_FIXED_SQL}) GROUP BY feature)""", extra_ctes=TOP5_SQL_CTE)
+def attr_summary_fixed(st: Stages) -> DataFrame:
+    """A48 / O6 with fixed coefficients."""
+    w = Window.orderBy(F.desc("mean_abs_shap"), "feature")          # one row a feature
+    return summarise(attr_linear_fixed(st)).withColumn("rank", F.row_number().over(w))
+
+
 @query("attr_row_top5", [("gvkey", "k"), ("date", "d"), ("rank", "k"), ("feature", "s"), ("scaled_value", 6)],
        """SELECT gvkey, date, rank, feature, z AS scaled_value FROM (
           SELECT *, row_number() OVER (PARTITION BY gvkey, date ORDER BY abs(z) DESC, feature) AS rank FROM sc_long)
