@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +19,7 @@ from .. import schemas as S
 from ..functions.exprs import draw_key
 from ..functions.stats import quantile_row
 from ..operators import attribution as A
+from ..operators.model_store import load_models, prepare, save_bundle
 from ..session import scratch_dir
 from .pipeline import Stages
 from .registry import query
@@ -237,18 +237,44 @@ def ml_folds(st: Stages) -> DataFrame:
     return stratified_folds(tr, S.LABEL, draw_key("gvkey", "date", seed=SEED)).select("gvkey", "date", F.col(S.LABEL).alias("label"), "fold")
 
 
+def stored(st: Stages) -> str:
+    """Folder with the imputer, the scaler and the four models, written once."""
+    root = st.__dict__.get("_stored")
+    if root is None:
+        root = f"{scratch_dir(st.spark).rstrip('/')}/models/bundle-{uuid.uuid4().hex}"
+        models = {name: fitted(st, name) for name in MODELS}
+        save_bundle(root, train_medians(st), scale_moments(imputed(st), st.feature_cols), models)
+        st._stored = root
+    return root
+
+
+def reloaded_scores(st: Stages, names=None) -> dict[str, DataFrame]:
+    """Raw labelled rows, prepared with the stored statistics and scored by the stored models."""
+    root = stored(st)
+    models, _ = load_models(st.spark, root, names or MODELS)
+    data = prepare(st.spark, root, st.split, st.feature_cols)
+    return {name: m.transform(data).select("gvkey", "date", "split", F.col(S.LABEL).cast("long").alias("label"),
+                                           vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("long").alias("pred"))
+            for name, m in models.items()}
+
+
 @query("ml_model_roundtrip", SCORE_SPEC)
 def ml_model_roundtrip(st: Stages) -> DataFrame:
-    """A pipeline model with its tuned threshold saved to the shared folder and loaded back."""
-    data = model_input(st)
-    train = data.filter(F.col("split") == "train")
-    lr = estimators(train.count())["Logistic Regression"].setThreshold(0.45)
-    model = Pipeline(stages=[lr]).fit(train)
-    path = f"{scratch_dir(st.spark).rstrip('/')}/models/lr-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    out = PipelineModel.load(path).transform(data)
-    return out.select("gvkey", "date", "split", F.col(S.LABEL).cast("long").alias("label"),
-                      vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("long").alias("pred"))
+    """Scores of the stored logistic model and statistics."""
+    return reloaded_scores(st, MODELS[:1])[MODELS[0]]
+
+
+@query("ml_roundtrip_check", [("model", "s"), ("rows", "k"), ("different", "k")],
+       " UNION ALL ".join(f"SELECT '{m}' AS model, count(*) AS rows, 0 AS different FROM split_tbl" for m in MODELS))
+def ml_roundtrip_check(st: Stages) -> DataFrame:
+    """Rows that a stored and loaded model scores otherwise than the model in memory."""
+    out = None
+    for name, again in reloaded_scores(st).items():
+        both = scores(st, name).join(again.select("gvkey", "date", F.col("p").alias("p2"), F.col("pred").alias("pred2")), ["gvkey", "date"], "left")
+        same = (F.abs(F.col("p") - F.col("p2")) < 1e-9) & (F.col("pred") == F.col("pred2"))
+        r = both.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows"), F.count(F.when(~F.coalesce(same, F.lit(False)), 1)).alias("different"))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 # ---------------------------------------------------------------- attribution ---------------

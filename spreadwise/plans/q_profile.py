@@ -13,7 +13,10 @@ from ..functions.stats import quantile_row
 from ..operators import clean
 from ..operators import profile as P
 from ..session import scratch_dir
+from ..sources import csv_files as C
 from .pipeline import Stages
+from .q_pipeline import spec_of
+from .registry import REGISTRY as _R
 from .registry import query, sql_rnd
 
 COMP_VARS = ["atq", "ltq", "niq", "saleq", "cheq", "dlttq"]
@@ -333,7 +336,6 @@ def feature_groups(st: Stages) -> DataFrame:
                  sum((F.col(c) for c in cols if c in have), F.lit(0)).alias("non_null")) for g, cols in GROUPS])).alias("r")).select("r.*")
 
 
-from .q_pipeline import spec_of  # noqa: E402
 
 SINK_COLS = [*S.ML_DATASET_COLS, "split"]
 
@@ -347,6 +349,56 @@ def sink_roundtrip(st: Stages) -> DataFrame:
     return st.spark.read.parquet(path)
 
 
+# ---------------------------------------------------------------- CSV (S1-S5, S10) --------------
+def _through_csv(st: Stages, df: DataFrame, kind: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A table written in the dialect of a raw file into the shared folder and read back as text."""
+    path = f"{scratch_dir(st.spark).rstrip('/')}/csv/{kind}-{uuid.uuid4().hex}"
+    C.write_csv(df, path, kind)
+    return C.read_csv(st.spark, path, kind, extra)
+
+
+def _same_as(name: str, csv_name: str):
+    return query(csv_name, _R[name].spec, _R[name].sql, _R[name].extra_ctes)
+
+
+@_same_as("src_fundamentals", "csv_fundamentals")
+def csv_fundamentals(st: Stages) -> DataFrame:
+    """Semicolons, Latin-1."""
+    df = st.raw_fundamentals.select(*C.COLUMNS["fundamentals"], "ingest_id")
+    return clean.coerce_fundamentals(_through_csv(st, df, "fundamentals", ("ingest_id",)))
+
+
+@_same_as("src_prices", "csv_prices")
+def csv_prices(st: Stages) -> DataFrame:
+    """Commas, header."""
+    return clean.coerce_prices(_through_csv(st, st.raw_prices.select(*C.COLUMNS["prices"], "ingest_id"), "prices", ("ingest_id",)))
+
+
+@_same_as("cds_long", "csv_spreads")
+def csv_spreads(st: Stages) -> DataFrame:
+    """S3: the wide matrix, whose header line holds the dates."""
+    return clean.spreads_long(_through_csv(st, st.raw_spreads_wide, "spreads"))
+
+
+@_same_as("src_mapping", "csv_mapping")
+def csv_mapping(st: Stages) -> DataFrame:
+    """No header."""
+    return _through_csv(st, st.raw_mapping.select(*C.COLUMNS["mapping"], "ingest_id"), "mapping", ("ingest_id",))
+
+
+@_same_as("link_cusip", "csv_firm_master")
+def csv_firm_master(st: Stages) -> DataFrame:
+    """Semicolons; blanks around values stay for the link step to trim."""
+    df = _through_csv(st, st.raw_firm_master.select(*C.COLUMNS["firm_master"], "ingest_id"), "firm_master", ("ingest_id",))
+    return clean.link_cusip(df.withColumn("ingest_id", F.col("ingest_id").cast("long")))
+
+
+@_same_as("profile_metadata", "csv_metadata")
+def csv_metadata(st: Stages) -> DataFrame:
+    """The key / value sink."""
+    return _through_csv(st, profile_metadata(st), "report")
+
+
 # ---------------------------------------------------------------- correlations (A22-A24, O3) ----
 def _corr_sql(a: str, b: str) -> str:
     """Pearson r over the rows where both are present; NULL where one of them does not vary."""
