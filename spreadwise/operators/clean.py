@@ -74,11 +74,16 @@ def unpivot_spreads(wide: DataFrame, id_col: str | None = None) -> DataFrame:
     return w.unpivot(["iqt"], [f"`{c}`" for c in vals], "date_str", "value")
 
 
-def parse_spread_cells(cells: DataFrame) -> DataFrame:
-    """Parse ``dd.MM.yy`` (bad header -> NULL date) and the value (bad -> NULL)."""
+def parse_spread_cells(cells: DataFrame, latest_year: int = 2099) -> DataFrame:
+    """Parse ``dd.MM.yy`` (bad header -> NULL date) and the value (bad -> NULL).
+
+    Two-digit years lie in 2000-2099; those after ``latest_year`` (T11) belong to the century before.
+    """
+    date = F.to_date(F.try_to_timestamp(F.col("date_str"), F.lit("dd.MM.yy")))
+    if latest_year < 2099:
+        date = F.when(F.year(date) > latest_year, F.add_months(date, -1200)).otherwise(date)
     return cells.select(
-        "iqt", "date_str",
-        F.to_date(F.try_to_timestamp(F.col("date_str"), F.lit("dd.MM.yy"))).alias("date"),
+        "iqt", "date_str", date.alias("date"),
         to_double(F.col("value")).alias("cds_spread"))
 
 

@@ -45,10 +45,11 @@ def winsor_bounds(panel: DataFrame, cols: Sequence[str] = WINSOR_COLS) -> DataFr
 
 
 def winsorize(panel: DataFrame, cols: Sequence[str] = WINSOR_COLS,
-              bounds: DataFrame | None = None) -> DataFrame:
-    """Clip each column to its p1 / p99 over all rows (NULL stays NULL)."""
+              bounds: DataFrame | None = None, fit_on: Column | None = None) -> DataFrame:
+    """Clip each column to its p1 / p99 over all rows, or over those that ``fit_on`` selects.
+    NULL stays NULL."""
     cols = present(panel, cols)
-    b = bounds if bounds is not None else winsor_bounds(panel, cols)
+    b = bounds if bounds is not None else winsor_bounds(panel if fit_on is None else panel.filter(fit_on), cols)
     j = panel.crossJoin(F.broadcast(b))
     return j.withColumns({c: clip(c, F.col(f"{c}_p1"), F.col(f"{c}_p99")) for c in cols}) \
             .select(*panel.columns)
@@ -90,11 +91,14 @@ def required_report(panel: DataFrame, cols: Sequence[str] = REQUIRED_COLS) -> Da
         for i, c in enumerate(cols)])).alias("r")).select("r.*")
 
 
-def fill_medians(panel: DataFrame, cols: Sequence[str] = MEDIAN_FILL_COLS) -> DataFrame:
-    """Missing -> firm median, then -> overall median of the firm-filled column."""
+def fill_medians(panel: DataFrame, cols: Sequence[str] = MEDIAN_FILL_COLS, fit_on: Column | None = None) -> DataFrame:
+    """Missing -> firm median, then -> overall median of the firm-filled column.
+
+    ``fit_on``: condition of the rows that the overall medians are taken from (T16), all by default.
+    """
     cols = present(panel, cols)
     firm = panel.withColumns({c: F.coalesce(F.col(c), F.median(c).over(firm_all())) for c in cols})
-    med = quantile_row(firm, cols, [0.5], names=["med"])
+    med = quantile_row(firm if fit_on is None else firm.filter(fit_on), cols, [0.5], names=["med"])
     j = firm.crossJoin(F.broadcast(med))
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_med")) for c in cols}) \
             .select(*panel.columns)

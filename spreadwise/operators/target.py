@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if
-from ..schemas import ABS_THRESHOLD, LABEL, LEAD_QUARTERS, PCT_THRESHOLD, SPLIT_DATE
+from ..schemas import ABS_THRESHOLD, LABEL, LEAD_QUARTERS, PCT_THRESHOLD
 from .prep import firm
 
+DEFAULT_SPLIT_DATE = "2021-01-01"      # fixed value
+
 
 def label_distress(panel: DataFrame, strict: bool = False) -> DataFrame:
     """``lead(spread, 4)``, absolute and relative change, and the flag.
@@ -69,7 +71,7 @@ def lost_at_end(df: DataFrame) -> DataFrame:
     return df.agg((F.count("cds_spread") - F.count("cds_spread_lead_4q")).alias("lost"))
 
 
-def temporal_split(df: DataFrame, split_date: str = SPLIT_DATE) -> DataFrame:
+def temporal_split(df: DataFrame, split_date: str = DEFAULT_SPLIT_DATE) -> DataFrame:
     """Labelled rows with ``split`` = train (date < split_date) / test."""
     return labelled(df).withColumn(
         "split", F.when(F.col("date") < F.lit(split_date).cast("date"), "train").otherwise("test"))

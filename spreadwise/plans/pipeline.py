@@ -120,7 +120,7 @@ class Stages:
     # ---- step 10 -----------------------------------------------------------------------
     @cached_property
     def split(self) -> DataFrame:
-        return target.temporal_split(self.ml_dataset)
+        return target.temporal_split(self.ml_dataset, S.SPLIT_DATE)
 
     @cached_property
     def feature_cols(self) -> list[str]:

@@ -34,7 +34,8 @@ _STAGES: dict[tuple[str, str], Stages] = {}
 
 
 def stages_for(spark: SparkSession, sf_dir: str) -> Stages:
-    """One ``Stages`` per (application, data dir): stage tables are cut once and shared."""
+    """One ``Stages`` per (application, data dir): stage tables are cut once and shared, until
+    ``refresh`` drops them."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     st = _STAGES.get(key)
     if st is None or st.spark is not spark:
@@ -42,6 +43,12 @@ def stages_for(spark: SparkSession, sf_dir: str) -> Stages:
     return st
 
 
+def refresh(spark: SparkSession, sf_dir: str) -> None:
+    """Forget the stage tables, scores and models made from ``sf_dir``; the next query derives them
+    anew from the tables as they are then."""
+    _STAGES.pop((spark.sparkContext.applicationId, sf_dir.rstrip("/")), None)
+
+
 def finalize(df: DataFrame, spec: Spec) -> DataFrame:
     out = []
     for name, kind in spec:

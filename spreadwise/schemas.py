@@ -69,7 +69,7 @@ PCT_THRESHOLD = 0.25
 # step 10
 LABEL = "distress_flag"
 METADATA_COLS = ["cds_spread", "cds_spread_lead_4q", "future_cds_change_abs", "future_cds_change_pct"]
-SPLIT_DATE = "2014-01-01"       # test panel (the reference uses 2021-01-01 on its own data)
+SPLIT_DATE = "2014-01-01"       # of the test panel; the operator has its own default
 
 # step 12
 THRESHOLD_GRID = [0.1 + i * 0.05 for i in range(16)]   # 0.10 ... 0.85, float error kept (T17)

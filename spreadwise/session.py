@@ -39,7 +39,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def apply_conf(spark: SparkSession) -> None:
-    """Pin the settings results depend on (time zone) on a session we did not build."""
+    """Pin the one setting that results depend on, the time zone, on a session we did not build. It
+    stays UTC for the caller afterwards: queries are lazy and run later."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 

@@ -156,3 +156,16 @@ def test_improvement_compares_the_rows_of_the_largest_auc(spark):
     got = {r.Metric: tuple(r)[1:] for r in improvement(df, ("AUC", "F1")).collect()}
     assert got["AUC"][:2] == ("m2", "b0") and math.isclose(got["AUC"][-1], 40.0)
     assert math.isclose(got["F1"][-2], -0.3) and math.isclose(got["F1"][-1], -75.0)
+
+
+def test_parameters_of_fitting_rows_and_centuries(spark):
+    from spreadwise.operators import clean, prep
+    df = spark.createDataFrame([(1, "2010-03-31", 1.0, "a"), (1, "2010-06-30", None, "a"), (2, "2010-03-31", None, "a"), (3, "2011-03-31", 9.0, "b")],
+                               "gvkey long, date string, niq double, part string")
+    got = {r.gvkey: r.niq for r in prep.fill_medians(df, ["niq"], fit_on=F.col("part") == "a").filter("gvkey = 2").collect()}
+    assert got == {2: 1.0}
+    many = spark.range(101).select(F.col("id").cast("double").alias("price"), (F.col("id") <= 50).alias("old"))
+    assert prep.winsorize(many, ["price"], fit_on=F.col("old")).agg(F.max("price")).first()[0] == 49.5
+    cells = spark.createDataFrame([("A", "01.02.98", "1"), ("A", "01.02.15", "2")], "iqt string, date_str string, value string")
+    assert sorted(r.date.year for r in clean.parse_spread_cells(cells, latest_year=2050).collect()) == [1998, 2015]
+    assert sorted(r.date.year for r in clean.parse_spread_cells(cells).collect()) == [2015, 2098]
