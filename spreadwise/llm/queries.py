@@ -12,6 +12,7 @@ from .decontaminate import find_benchmark_spans
 from .frames import crc_mod, read_table
 from .language_id import identify_language
 from .minhash_dedup import near_duplicate_classes
+from .oracle import SQL
 from .quality import judge_quality
 from .sentencepiece_codec import sentencepiece_round_trip
 from .substring_dedup import remove_repeated_passages
@@ -86,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
