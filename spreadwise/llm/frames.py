@@ -46,6 +46,13 @@ def keyed(documents: DataFrame, id_col: str, text_col: str, carry: bool = False)
     return documents.select(*columns)
 
 
+def reshuffled(key: str) -> Column:
+    """The key as a computed column. A grouped table is already dealt out by its key, and Spark joins it
+    as it lies; a computed key makes it deal out both sides for the join alone, and only such a join
+    may it split where one key is hot. The table is small next to what it is joined with."""
+    return F.bitwise_not(F.bitwise_not(F.col(key))).alias(key)
+
+
 def field(df: DataFrame, name: str):
     return next(f for f in df.schema.fields if f.name == name)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import staged
+from .frames import reshuffled, staged
 from .text import BYTE_CODES, Prefix, U, Words, as_signed, mix64, slices, sliding_min, utf8
 
 PIECE = 1 << 21
@@ -141,7 +141,7 @@ def repeated_super_kmers(docs: DataFrame, shape: Shape) -> DataFrame:
     shuffled; the semi-join that follows may be split by the adaptive skew join.
     """
     anchors = docs.select("k1", "k2", "text").mapInArrow(_emit_anchors(shape), "a long, k1 long, x long")
-    often = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a")
+    often = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(reshuffled("a"))
     wanted = (anchors.join(often, "a", "left_semi")
               .groupBy("k1", F.shiftright("x", 32).cast("int").alias("k2"))
               .agg(F.collect_set(F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))).alias("ordinals")))
@@ -159,7 +159,7 @@ def classes(found: DataFrame) -> DataFrame:
 
 def whole_spans(found: DataFrame, shape: Shape) -> DataFrame:
     """Spans ``(k1, k2, lo, hi)`` of the super-k-mers whose whole content occurs at least twice."""
-    often = found.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "s")
+    often = found.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(reshuffled("a"), reshuffled("s"))
     return found.join(often, ["a", "s"], "left_semi").select(
         "k1", "k2", F.col("first").alias("lo"),
         (F.col("first") + F.col("n") - 1 + shape.window).alias("hi"))
