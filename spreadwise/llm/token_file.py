@@ -3,14 +3,15 @@
 Coder. Ids are cut into blocks of ``BLOCK`` that are coded and checksummed independently, from a
 fresh state. In a block the next id is predicted by order: the id that last followed the same two
 ids, the id that last followed the same one id, and a cache of the block's ids (order 0). A
-carry-less range coder codes which of the four holds (order 2, order 1, cached, new), then, for the
-last two, the cache slot or the id itself. The probabilities of the four come from adaptive counts
+carry-less range coder codes which of the four holds (order 2, order 1, cached, new). For the last
+two, the cache slot (a byte) or the id itself follows; these are as good as uniform, for which coding
+gains nothing, so they stand beside the coded kinds as plain numbers. The probabilities of the four come from adaptive counts
 of three sources that are mixed by adding them: counts under the confidence of the order-2 guess,
 under that of the order-1 guess, and over the whole block. Encoder and decoder run the same steps
 for all blocks of a chunk side by side in NumPy vectors.
 
 File. A table of chunks in order; each holds whole documents (their ids and token counts), and for
-each block its number of ids, its checksum and its coded words. Spark writes it as Parquet files, so
+each block its number of ids, its checksum and its bytes. Spark writes it as Parquet files, so
 a lost task is written again as a whole.
 """
 
@@ -32,18 +33,17 @@ from .text import WHITE, U, Words, slices, utf8
 
 BLOCK = 2048
 CHUNK_IDS = 1 << 23
-ORDER1, ORDER2, CACHE = 1024, 2048, 1024           # slots of a block's tables
+ORDER1, ORDER2, CACHE = 1024, 2048, 256           # slots of a block's tables
 NOTHING = 0xFFFF
-TOP, BOTTOM = U(1 << 48), U(1 << 32)
+TOP, BOTTOM = U(1 << 56), U(1 << 48)          # two kinds narrow the range by less than 2^32
 TABLE_ENTRIES = 2_000_000
 _STEP = U(16)
 _ADD = np.array([16, 16 << 16, 16 << 32, 16 << 48], dtype=U)
 _ONES, _HIGH, _HALF = U(0x0001000100010001), U(0xF800F800F800F800), U(0x7FFF7FFF7FFF7FFF)
 _FIELD, _TOTAL = U(0xFFFF), U(48)
 _SURER = np.array([1, 2, 3, 3], dtype=np.uint32)
-# by kind: place in the packed counts, bits of what follows it, and which of id and slot that is
-_SHIFT, _PAYLOAD_BITS = np.array([0, 16, 32, 48], dtype=U), np.array([0, 0, 10, 16], dtype=U)
-_ID_MASK, _SLOT_MASK = np.array([0, 0, 0, 0xFFFF]), np.array([0, 0, CACHE - 1, 0])
+_BYTE, _TOP_BYTE = U(8), U(56)
+_SHIFT = np.array([0, 16, 32, 48], dtype=U)            # place of a kind in the packed counts
 # by hits of order 2 (4), order 1 (2) and the cache (1)
 _FIRST_HIT = np.array([3, 2, 1, 1, 0, 0, 0, 0], dtype=np.uint8)
 
@@ -115,20 +115,23 @@ class State:
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Coded words of each block of an id array."""
+    """Each block of an id array: the numbers of plain ids and of slots, the plain ids, the slots, and
+    the coded kinds."""
     if not len(ids):
         return []
     lanes = -(-len(ids) // BLOCK)
-    grid = np.zeros(lanes * BLOCK, dtype=np.int64)
+    grid = np.zeros(lanes * BLOCK, dtype=np.uint16)
     grid[:len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     last = len(ids) - (lanes - 1) * BLOCK
+    steps = BLOCK if lanes > 1 else last
     s = State(lanes)
-    out = np.zeros((lanes, 2 * BLOCK), dtype=np.uint16)
+    kinds, plain = np.zeros((BLOCK, lanes), dtype=np.uint8), np.zeros((BLOCK, lanes), dtype=np.uint8)
+    out = np.zeros((lanes, 2 * BLOCK + 64), dtype=np.uint8)
     at = np.zeros(lanes, dtype=np.int64)
-    for t in range(BLOCK if lanes > 1 else last):
+    for t in range(steps):
         n = lanes if t < last else lanes - 1
-        x = grid[t, :n]
+        x = grid[t, :n].astype(np.int64)
         wide = x.astype(np.uint32)
         counts, sums = s.predict(n, t)
         slot = s.slots(n, x)
@@ -137,24 +140,39 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         hits += (s.cache.take(slot, mode="clip") == wide).view(np.uint8)
         kind = _FIRST_HIT.take(hits)
         s.narrow(n, counts, sums, s.range[:n] // (sums >> _TOTAL), _SHIFT.take(kind))
-        r = s.range[:n] >> _PAYLOAD_BITS.take(kind)
-        s.low[:n] += r * (x & _ID_MASK.take(kind) | slot & _SLOT_MASK.take(kind)).view(U)
-        s.range[:n] = r
         s.learn(n, x, wide, kind, slot)
-        need = s.unsettled(None, n)
-        while len(need):
-            if (t & 63) == 0 and at.max() >= out.shape[1] - 512:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
-            low = s.low[need]
-            out[need, at[need]] = low >> _TOTAL
-            at[need] += 1
-            s.low[need] = low << _STEP
-            s.range[need] <<= _STEP
-            need = s.unsettled(need, n)
-    for shift in (48, 32, 16, 0):
-        out[np.arange(lanes), at] = s.low >> U(shift) & _FIELD
+        kinds[t, :n], plain[t, :n] = kind, slot - s.base0[:n]
+        if t & 1 or t >= steps - 2 or t >= last - 2:
+            need = s.unsettled(None, n)
+            while len(need):
+                low = s.low[need]
+                out[need, at[need]] = low >> _TOP_BYTE
+                at[need] += 1
+                s.low[need] = low << _BYTE
+                s.range[need] <<= _BYTE
+                need = s.unsettled(need, n)
+    for shift in range(56, -8, -8):
+        out[np.arange(lanes), at] = s.low >> U(shift) & U(0xFF)
         at += 1
-    return [out[i, :at[i]].astype("<u2").tobytes() for i in range(lanes)]
+    if last < BLOCK:
+        kinds[last:, -1] = 0
+    kinds, plain, grid = kinds.T, plain.T, grid.T
+    new, cached = kinds == 3, kinds == 2
+    new_ids, slots = grid[new].astype("<u2"), plain[cached]                 # in block order
+    n_new, n_cached = new.sum(axis=1), cached.sum(axis=1)
+    new_at, slot_at = np.concatenate([[0], np.cumsum(n_new)]), np.concatenate([[0], np.cumsum(n_cached)])
+    head = np.stack([n_new, n_cached], axis=1).astype("<u2")
+    return [b"".join((head[i].tobytes(), new_ids[new_at[i]:new_at[i + 1]].tobytes(), slots[slot_at[i]:slot_at[i + 1]].tobytes(), out[i, :at[i]].tobytes()))
+            for i in range(lanes)]
+
+
+def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Parts behind each other, each followed by a zero, and where each begins."""
+    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])])
+    out = np.zeros(begin[-1], dtype=parts[0].dtype)
+    for x, lo in zip(parts, begin.tolist(), strict=False):
+        out[lo:lo + len(x)] = x
+    return out, begin[:-1]
 
 
 def decode_blocks(blocks: list[bytes], sizes: list[int]) -> np.ndarray:
@@ -162,45 +180,48 @@ def decode_blocks(blocks: list[bytes], sizes: list[int]) -> np.ndarray:
     lanes = len(blocks)
     if not lanes:
         return np.zeros(0, np.uint16)
-    width = max(map(len, blocks)) // 2 + 8
-    words = np.zeros((lanes, width), dtype=U)
-    for i, b in enumerate(blocks):
-        words[i, :len(b) // 2] = np.frombuffer(b, "<u2")
-    flat, at = words.ravel(), np.arange(lanes) * width
+    new, slots, coded = [], [], []
+    for b in blocks:
+        n_new, n_cached = np.frombuffer(b, "<u2", 2).tolist()
+        new.append(np.frombuffer(b, "<u2", n_new, 4)), slots.append(np.frombuffer(b, np.uint8, n_cached, 4 + 2 * n_new))
+        coded.append(np.frombuffer(b, np.uint8, offset=4 + 2 * n_new + n_cached))
+    new, new_at = _padded(new)
+    slots, slot_at = _padded(slots)
+    flat, at = _padded(coded)
+    new, slots, flat = new.astype(np.uint32), slots.astype(np.int64), flat.astype(U)
     s = State(lanes)
     code = np.zeros(lanes, dtype=U)
-    for _ in range(4):
-        code = code << _STEP | flat[at]
+    for _ in range(8):
+        code = code << _BYTE | flat[at]
         at += 1
     out = np.zeros((BLOCK, lanes), dtype=np.uint16)
-    for t in range(BLOCK if lanes > 1 else sizes[-1]):
-        n = lanes if t < sizes[-1] else lanes - 1
+    last = sizes[-1]
+    steps = BLOCK if lanes > 1 else last
+    for t in range(steps):
+        n = lanes if t < last else lanes - 1
         counts, sums = s.predict(n, t)
         r = s.range[:n] // (sums >> _TOTAL)
         target = (code[:n] - s.low[:n]) // r
         kind = (target >= (sums & _FIELD)).view(np.uint8) + (target >= (sums >> _STEP & _FIELD)).view(np.uint8)
         kind += (target >= (sums >> U(32) & _FIELD)).view(np.uint8)
         s.narrow(n, counts, sums, r, _SHIFT.take(kind))
-        bits = _PAYLOAD_BITS.take(kind)
-        r = s.range[:n] >> bits
-        value = (code[:n] - s.low[:n]) // r
-        value &= (U(1) << bits) - U(1)                       # zero where there is no payload
-        s.low[:n] += r * value
-        s.range[:n] = r
-        cached = s.cache.take(s.base0[:n] + (value.view(np.int64) & CACHE - 1), mode="clip")
-        wide = np.where(kind < 2, np.where(kind == 0, s.two, s.one) >> np.uint32(2), np.where(kind == 2, cached, value.astype(np.uint32)))
+        cached = s.cache.take(s.base0[:n] + slots.take(slot_at[:n], mode="clip"), mode="clip")
+        wide = np.where(kind < 2, np.where(kind == 0, s.two, s.one) >> np.uint32(2), np.where(kind == 2, cached, new.take(new_at[:n], mode="clip")))
+        new_at[:n] += kind == 3
+        slot_at[:n] += kind == 2
         x = wide.astype(np.int64)
         s.learn(n, x, wide, kind, s.slots(n, x))
         out[t, :n] = wide
-        need = s.unsettled(None, n)
-        while len(need):
-            s.low[need] <<= _STEP
-            s.range[need] <<= _STEP
-            place = at[need]
-            code[need] = code[need] << _STEP | flat.take(place, mode="clip")
-            at[need] = place + 1
-            need = s.unsettled(need, n)
-    return out.T.ravel()[:(lanes - 1) * BLOCK + sizes[-1]]
+        if t & 1 or t >= steps - 2 or t >= last - 2:
+            need = s.unsettled(None, n)
+            while len(need):
+                s.low[need] <<= _BYTE
+                s.range[need] <<= _BYTE
+                place = at[need]
+                code[need] = code[need] << _BYTE | flat.take(place, mode="clip")
+                at[need] = place + 1
+                need = s.unsettled(need, n)
+    return out.T.ravel()[:(lanes - 1) * BLOCK + last]
 
 
 class Tokenizer:
