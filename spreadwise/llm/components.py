@@ -28,3 +28,14 @@ def components(links: DataFrame) -> DataFrame:
         names = names.select("node", "component")
         if not changed:
             return names
+
+
+def joined_components(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` after further ``links(u, v)``: only the graph between the components is walked."""
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    alone = ends.join(named, "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = staged(named.select("node", "component").union(alone), "named")
+    end = lambda x: every.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    between = links.join(end("u"), "u").join(end("v"), "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")).filter("u <> v").distinct()
+    above = components(between).select(F.col("node").alias("component"), F.col("component").alias("above"))
+    return every.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))

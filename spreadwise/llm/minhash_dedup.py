@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined_components
 from .frames import staged
 from .text import MASK, Prefix, U, Words, as_signed, mix64, slices, utf8
 
@@ -235,8 +235,7 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
             .select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct())
     more = verified(rest, texts, threshold)
     if not more.isEmpty():
-        links = links.union(more)
-        named = components(links)
+        named = joined_components(named, more)
 
     # the row number makes one of several equal rows the least
     places = staged(docs.select("id", "node", (~F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("blank"),

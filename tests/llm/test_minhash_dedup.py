@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from spreadwise.llm import minhash_dedup as M
-from spreadwise.llm.components import components
+from spreadwise.llm.components import components, joined_components
 from spreadwise.llm.queries import queries
 
 from . import brute
@@ -85,3 +85,7 @@ def test_components_against_union_find(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in links)}
     assert Counter(got.values())[1000] == 101
+    # the same in two parts
+    frame = lambda part: spark.createDataFrame(part, "u long, v long")
+    again = joined_components(components(frame(links[::2])), frame(links[1::2]))
+    assert {r.node: r.component for r in again.collect() if r.node in got} == got
