@@ -30,4 +30,44 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
     sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-SQL = {"op1_substring_dedup": OP1, "op10_decontaminate": OP10}
+# crc32 of an ASCII string, bit by bit; repairs walk the finite automaton of (s?(ua)+)?: 0 nothing, 1 s, 2 u, 3 a
+_CRC = ("xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(c)::UBIGINT for c in string_split({0}, '')]), lambda acc, b: list_reduce(list_prepend("
+        "xor(acc, b), [0::UBIGINT for i in range(8)]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END)), 4294967295::UBIGINT)")
+OP11 = f"""WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (SELECT conv_id, turn, role, text, {_CRC.format('k')} % 20 AS k FROM base),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE k <> 0),
+numbered AS (SELECT conv_id, turn, role, text, row_number() OVER c AS p, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    left(lag(role) OVER c, 1) || left(role, 1) AS pair FROM damaged
+    WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+faults AS (SELECT conv_id, turn, role, text, p, pair, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM numbered),
+ins(f, t, c, piece, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []),
+    (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:'])),
+tok(f, x, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edit(letter, c, x, role) AS (VALUES ('K', 0, '', ''), ('R', 2, 'u', 'user'), ('R', 2, 'a', 'assistant')),
+option AS (SELECT ins.f, tok.t, ins.c + edit.c AS c, ins.piece || edit.letter AS piece, ins.lines, tok.x, edit.role
+    FROM ins JOIN tok ON tok.f = ins.t JOIN edit ON edit.x IN ('', tok.x)),
+walk AS (SELECT conv_id, 0::BIGINT AS p, 0 AS state, struct_pack(cost := 0, audit := '', lines := []::VARCHAR[]) AS best FROM (SELECT DISTINCT conv_id FROM damaged)
+  UNION ALL
+  SELECT conv_id, p, state, min(best) FROM (
+    SELECT w.conv_id, r.p, o.t AS state, struct_pack(cost := w.best.cost + o.c + CASE WHEN r.fault = 'truncated' THEN 1 ELSE 0 END,
+        audit := w.best.audit || o.piece, lines := list_append(w.best.lines || o.lines, CASE WHEN o.role = '' THEN r.role ELSE o.role END || ':' || r.text)) AS best
+    FROM walk w JOIN faults r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.p = w.p + 1 AND r.fault NOT IN ('blank', 'duplicate')
+    JOIN option o ON o.f = w.state AND (o.role <> '' OR o.x = left(r.role, 1))
+    UNION ALL
+    SELECT w.conv_id, r.p, w.state, struct_pack(cost := w.best.cost + 3, audit := w.best.audit || 'D', lines := w.best.lines)
+    FROM walk w JOIN faults r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.p = w.p + 1) GROUP BY conv_id, p, state),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id),
+done AS (SELECT w.conv_id, min(struct_pack(cost := w.best.cost + i.c, audit := w.best.audit || i.piece, lines := w.best.lines || i.lines)) AS best
+    FROM walk w JOIN counts n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.p JOIN ins i ON i.f = w.state AND i.t IN (0, 3) GROUP BY w.conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+    CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+    coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+SQL = {"op1_substring_dedup": OP1, "op10_decontaminate": OP10, "op11_conversation_repair": OP11}

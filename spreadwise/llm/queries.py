@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_lm import score_texts
+from .conversation_repair import damage_conversations, repair_conversations, repaired_digests
 from .decontaminate import find_benchmark_spans
 from .frames import crc_mod, read_table
 from .language_id import identify_language
@@ -74,10 +75,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    summary, edits = repair_conversations(damage_conversations(conversations), "conv")
+    every = conversations.select("conv_id").distinct()
+    of = lambda df, name: df.withColumnRenamed("conv", name)
+    out = (every.join(of(summary, "of"), F.col("conv_id").eqNullSafe(F.col("of")), "left")
+           .join(of(repaired_digests(edits, "conv"), "left_of"), F.col("conv_id").eqNullSafe(F.col("left_of")), "left"))
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_minhash_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op6_lm_scoring,
-        op7_toxicity, op8_token_file, op9_quality, op10_decontaminate,
+        op7_toxicity, op8_token_file, op9_quality, op10_decontaminate, op11_conversation_repair,
     )
 }
 

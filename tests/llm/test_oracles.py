@@ -9,7 +9,7 @@ from .conftest import SF
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = queries()[name](spark, SF)
     want = con.execute(oracle_sql()[name])
