@@ -70,4 +70,16 @@ SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
     coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
-SQL = {"op1_substring_dedup": OP1, "op10_decontaminate": OP10, "op11_conversation_repair": OP11}
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ALNUM} AS ts FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {ALNUM} AS ts FROM benchmark),
+item AS (SELECT DISTINCT q, item_id, t FROM (SELECT q, item_id, unnest(ts) AS t FROM b)),
+s AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+p AS (SELECT r, doc_id, t, m, count(*) AS tf FROM (SELECT r, doc_id, unnest(ts) AS t, 50 + (50 * len(ts) * n) // l AS m FROM d, s WHERE len(ts) > 0)
+    WHERE t IN (SELECT t FROM item) GROUP BY r, doc_id, t, m),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t, n),
+score AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM item JOIN w USING (t) JOIN p USING (t) GROUP BY q, item_id, r, doc_id HAVING score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score) WHERE rank <= 50"""
+
+SQL = {"op13_ranked_search": OP13, "op1_substring_dedup": OP1, "op10_decontaminate": OP10, "op11_conversation_repair": OP11}
