@@ -14,6 +14,7 @@ from .frames import crc_mod, read_table
 from .language_id import identify_language
 from .minhash_dedup import near_duplicate_classes
 from .oracle import SQL
+from .personal_data import KINDS, find_personal_data
 from .quality import judge_quality
 from .ranked_search import search_ranked
 from .sentencepiece_codec import sentencepiece_round_trip
@@ -87,6 +88,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter(F.transform(base, lambda s: s["kind"]), F.lit(kind).eqNullSafe)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return out.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
 
@@ -95,7 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_minhash_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op6_lm_scoring,
         op7_toxicity, op8_token_file, op9_quality, op10_decontaminate, op11_conversation_repair,
-        op13_ranked_search,
+        op12_personal_data, op13_ranked_search,
     )
 }
 
