@@ -211,11 +211,15 @@ def find_benchmark_spans(documents: DataFrame, benchmark: DataFrame, id_col: str
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5) -> DataFrame:
-    """The rows of ``documents``, with all their columns, without a word that ``find_benchmark_spans`` hits."""
+    """The rows of ``documents``, with all their columns, without a word that ``find_benchmark_spans`` hits.
+
+    Rows with null or empty text stay, repeated rows stay or go together, an empty table (of either kind) drops
+    nothing, and columns of any name pass through. A very long text is judged whole.
+    """
     _, merged = _matches(documents, benchmark, id_col, text_col, item_col, item_text_col, window, k)
-    hit = staged(merged.select(F.col("k1").alias("hit_k1"), F.col("k2").alias("hit_k2")), "contaminated")
-    k1, k2 = row_key(id_col, text_col)
-    return documents.join(hit, (k1 == F.col("hit_k1")) & (k2 == F.col("hit_k2")), "left_anti")
+    hit = staged(merged.select("k1", "k2"), "contaminated")
+    rows = documents.select(*row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    return rows.join(hit, ["k1", "k2"], "left_anti").select("row.*")
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))

@@ -35,7 +35,8 @@ def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """A 96-bit key of a row that is never null: a hash of id and text, the same in every scan of the
     table. Rows equal in both share a key and get equal results."""
     i, t = F.col(id_col), F.col(text_col)
-    return F.xxhash64(i, t).alias("k1"), F.hash(t, i).alias("k2")
+    nulls = i.isNull().cast("int") + 2 * t.isNull().cast("int")      # Spark's hashes pass over nulls
+    return F.xxhash64(nulls, i, t).alias("k1"), F.hash(nulls, t, i).alias("k2")
 
 
 def keyed(documents: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import field, staged
-from .text import BYTE_CODES, WHITE, Prefix, U, Words, mix64, separator_table, slices, utf8
+from .text import WHITE, Prefix, U, Words, mix64, separator_table, slices, span_hashes, utf8
 
 SYMBOLS = separator_table(b"#*$%&|<>")
 PLAIN = separator_table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -70,7 +70,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     i = np.searchsorted(feed, words.starts[at])
     lo = np.maximum(np.concatenate([[-1], feed])[i] + 1, offsets[doc])
     hi = np.minimum(np.concatenate([feed, [len(data)]])[i], offsets[doc + 1])
-    lines = mix64(Prefix(BYTE_CODES[data]).of(lo, hi) ^ (hi - lo).astype(U))
+    lines = span_hashes(data, lo, hi)
     out["n_dup_lines"] = out["n_lines"] - per(doc[np.unique(_pairs(doc, lines), return_index=True)[1]])
     last = np.concatenate([at[1:], [len(words)]])[:len(at)] - 1
     out["n_ended_lines"] = per(doc, LINE_END[data[words.ends[last] - 1]] if len(at) else None)

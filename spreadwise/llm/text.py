@@ -1,7 +1,9 @@
 """Vectorised text helpers that run inside tasks: Arrow string columns -> NumPy arrays.
 
-All hashes are 64-bit polynomial hashes (arithmetic modulo 2^64 over mixed symbols) with a
-final avalanche, computed by prefix sums, so the hash of any window costs O(1).
+Words and lines of at most 16 bytes are hashed by mixing their bytes as two numbers, longer ones by XXH3. Windows of symbols (words, bytes) have
+64-bit polynomial hashes (arithmetic modulo 2^64 over mixed symbols) with a final avalanche, computed
+by prefix sums, so the hash of any window costs O(1). A polynomial modulo 2^64 is weak on long sequences of
+two symbols, so it is never used over the bytes of a word or line, which may be of any length.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 U = np.uint64
 MASK = (1 << 64) - 1
@@ -113,6 +116,25 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + upper.astype(np.uint8) * np.uint8(32)
 
 
+#: masks that keep the first 0 to 8 bytes of a little-endian number
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings [start, end); equal bytes give equal hashes wherever they stand."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))       # the eight bytes from any place
+    out = mix64((eight[starts] & _KEEP[np.minimum(size, 8)]) + size.astype(U) * U(BASE))
+    long = np.flatnonzero(size > 8)
+    out[long] = mix64(out[long] ^ (eight[starts[long] + 8] & _KEEP[np.minimum(size[long] - 8, 8)]) * U(INVERSE))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = np.fromiter((xxh3_64_intdigest(view[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), U, len(long))
+    return out
+
+
 class Words:
     """Words of many texts at once: byte ranges, the text of each word, and word hashes."""
 
@@ -136,17 +158,7 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        out = np.empty(len(self), dtype=U)
-        at = 0
-        while at < len(self):
-            end = int(np.searchsorted(self.ends, self.starts[at] + CHUNK_BYTES, side="right"))
-            end = min(max(end, at + 1), len(self))
-            lo, hi = int(self.starts[at]), int(self.ends[end - 1])
-            p = Prefix(BYTE_CODES[self.data[lo:hi]])
-            s, e = self.starts[at:end] - lo, self.ends[at:end] - lo
-            out[at:end] = mix64(p.of(s, e) ^ (e - s).astype(U))
-            at = end
-        return out
+        return span_hashes(self.data, self.starts, self.ends)
 
     def code_points(self) -> np.ndarray:
         """Code points of each word."""
