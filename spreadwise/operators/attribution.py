@@ -163,7 +163,10 @@ def tree_attribution(rows: DataFrame, terms: list[LeafTerm], feats: Sequence[str
 
 
 def boosted_terms(model, train: DataFrame) -> list[LeafTerm]:
-    """Leaf terms of a boosted or bagged ensemble of ``pyspark.ml`` on its raw score."""
-    leaves = [leaf for i, (t, w) in enumerate(zip(model.trees, model.treeWeights, strict=True)) for leaf in leaves_of(i, t.toDebugString, w)]
+    """Leaf terms of an ensemble on its raw score: one of ``boosting`` (log-odds), or of ``pyspark.ml``."""
+    if hasattr(model, "treeWeights"):
+        leaves = [leaf for i, (t, w) in enumerate(zip(model.trees, model.treeWeights, strict=True)) for leaf in leaves_of(i, t.toDebugString, w)]
+    else:
+        leaves = model.leaves()
     return leaf_terms(leaves, covers(train, leaves))
 

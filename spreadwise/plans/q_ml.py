@@ -8,10 +8,10 @@ Fitted models are rows-checked and have their own unit tests.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ from .. import schemas as S
 from ..functions.exprs import draw_key
 from ..functions.stats import quantile_row
 from ..operators import attribution as A
-from ..operators.model_store import load_models, prepare, save_bundle
+from ..operators import boosting as B
+from ..operators.model_store import Scorer, load_models, prepare, save_bundle
 from ..session import scratch_dir
 from .pipeline import Stages
 from .registry import query
@@ -88,17 +89,30 @@ def estimators(n_train: int):
         "Random Forest": RandomForestClassifier(
             numTrees=100, maxDepth=5, minInstancesPerNode=25, featureSubsetStrategy="sqrt",
             weightCol="w_balanced", seed=SEED),
-        "Boosted Trees": GBTClassifier(
-            maxIter=75, maxDepth=3, stepSize=0.03, subsamplingRate=0.6, featureSubsetStrategy="0.6",
-            weightCol="w_spw", seed=SEED),
-        "Boosted Trees, Large Leaves": GBTClassifier(
-            maxIter=75, maxDepth=3, stepSize=0.03, subsamplingRate=0.6, featureSubsetStrategy="0.6",
-            minInstancesPerNode=100, weightCol="w_spw", seed=SEED),
     }
 
 
+#: M5 and M6: the first splits whole levels, the second the best leaf first with many rows in each
+BOOSTED_SETTINGS = {
+    "Boosted Trees": B.Settings(trees=75, depth=3, rate=0.03, rows=0.6, columns=0.6, l1=2.0, l2=2.0, min_hessian=10.0),
+    "Boosted Trees, Large Leaves": B.Settings(trees=75, depth=3, rate=0.03, rows=0.6, columns=0.6, l1=2.0, l2=2.0, min_rows=100, leaves=7),
+}
+BOOSTED = tuple(BOOSTED_SETTINGS)
+MODELS = ("Logistic Regression", "Random Forest", *BOOSTED)
+
+
+def boosting_rows(st: Stages) -> DataFrame:
+    """Train rows as the booster takes them: an even draw, exactly stratified folds, the weights of A32."""
+    tr = model_input(st).filter(F.col("split") == "train")
+    rows = stratified_folds(tr, S.LABEL, draw_key("gvkey", "date", seed=SEED))
+    return rows.withColumns({"draw": F.pmod(F.xxhash64("gvkey", "date", F.lit(SEED)), F.lit(B.PRIME)), "weight": F.col("w_spw")})
+
+
 def fitted(st: Stages, name: str):
     models = st.__dict__.setdefault("_models", {})
+    if name in BOOSTED and name not in models:
+        rows = boosting_rows(st)
+        models |= zip(BOOSTED, B.fit_many(rows, st.feature_cols, [B.Job(s) for s in BOOSTED_SETTINGS.values()], SEED), strict=True)
     if name not in models:
         data = model_input(st)
         train = data.filter(F.col("split") == "train")
@@ -109,18 +123,24 @@ def fitted(st: Stages, name: str):
 
 def scores(st: Stages, name: str) -> DataFrame:
     """M9: probability of class 1 and the 0/1 decision per labelled row."""
-    m = fitted(st, name)
-    out = m.transform(model_input(st))
-    return out.select("gvkey", "date", "split", F.col(S.LABEL).cast("long").alias("label"),
-                      vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("long").alias("pred"))
+    return score_table(Scorer(fitted(st, name)), model_input(st))
+
+
+def score_table(scorer: Scorer, rows: DataFrame) -> DataFrame:
+    return scorer.score(rows).select("gvkey", "date", "split", F.col(S.LABEL).cast("long").alias("label"), "p", "pred")
 
 
 def model_rows(st: Stages) -> DataFrame:
     """A42 rows of the four fitted models, at their default cut-off as in the reference."""
+    return metric_rows({name: scores(st, name) for name in MODELS})
+
+
+def metric_rows(tables: Mapping[str, DataFrame]) -> DataFrame | None:
+    """Test metrics of score tables by model; None without any."""
     from ..operators import metrics as M
     out = None
-    for name in estimators(1):
-        s = scores(st, name).filter(F.col("split") == "test")
+    for name, table in tables.items():
+        s = table.filter(F.col("split") == "test")
         c = M.with_rates(M.confusion(s, pred="pred")).crossJoin(M.auc(s).select("auc"))
         r = c.select(F.lit(name).alias("Model"), F.lit("ML Model").alias("Type"), F.col("accuracy").alias("Accuracy"),
                      F.col("precision").alias("Precision"), F.col("recall").alias("Recall"), F.col("f1").alias("F1"),
@@ -168,7 +188,6 @@ def ml_class_weights(st: Stages) -> DataFrame:
                     ((F.col("n") - F.col("positives")) / F.col("positives")).alias("scale_pos_weight"))
 
 
-MODELS = ("Logistic Regression", "Random Forest", "Boosted Trees", "Boosted Trees, Large Leaves")
 SCORE_SPEC = [("gvkey", "k"), ("date", "d"), ("split", "s"), ("label", "k"), ("p", 6), ("pred", "k")]
 
 
@@ -202,7 +221,8 @@ def ml_importance(st: Stages) -> DataFrame:
     """Tree-model feature importances ranked (name tie-break)."""
     out = None
     for name in ("Random Forest", "Boosted Trees", "Boosted Trees, Large Leaves"):
-        imp = fitted(st, name).featureImportances.toArray().tolist()  # one value per feature column
+        m = fitted(st, name)
+        imp = m.importances() if name in BOOSTED else m.featureImportances.toArray().tolist()  # one value per feature column
         df = st.spark.createDataFrame([(f, float(v)) for f, v in zip(st.feature_cols, imp)], "feature string, importance double")
         w = Window.orderBy(F.desc("importance"), "feature")
         df = df.select(F.lit(name).alias("model"), F.row_number().over(w).alias("rank"), "feature", "importance")
@@ -253,9 +273,7 @@ def reloaded_scores(st: Stages, names=None) -> dict[str, DataFrame]:
     root = stored(st)
     models, _ = load_models(st.spark, root, names or MODELS)
     data = prepare(st.spark, root, st.split, st.feature_cols)
-    return {name: m.transform(data).select("gvkey", "date", "split", F.col(S.LABEL).cast("long").alias("label"),
-                                           vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("long").alias("pred"))
-            for name, m in models.items()}
+    return {name: score_table(m, data) for name, m in models.items()}
 
 
 @query("ml_model_roundtrip", SCORE_SPEC)
@@ -302,8 +320,8 @@ def boosted(st: Stages, name: str):
 
 
 def tree_attribution(st: Stages, name: str) -> DataFrame:
-    """Attribution of every test row on the log-odds scale (twice the raw score)."""
-    return A.tree_attribution(test_input(st), boosted(st, name), st.feature_cols, scale=2.0)
+    """Attribution of every test row on the log-odds scale."""
+    return A.tree_attribution(test_input(st), boosted(st, name), st.feature_cols)
 
 
 # fixed coefficients: the same operator with a score that SQL can state
@@ -361,9 +379,6 @@ def _ranked(df: DataFrame, score: str) -> DataFrame:
     return df.select(F.row_number().over(w).alias("rank"), "feature")
 
 
-BOOSTED = ("Boosted Trees", "Boosted Trees, Large Leaves")
-
-
 @query("attr_tree", [("gvkey", "k"), ("date", "d"), ("feature", "s"), ("value", 6), ("attribution", 6)])
 def attr_tree(st: Stages) -> DataFrame:
     """Path-dependent Shapley values of the boosted model for every test row."""
@@ -378,7 +393,7 @@ def attr_tree_check(st: Stages) -> DataFrame:
     for name in BOOSTED:
         total = tree_attribution(st, name).groupBy("gvkey", "date").agg(F.sum("attribution").alias("total"))
         p = scores(st, name).filter(F.col("split") == "test").select("gvkey", "date", "p")
-        gap = F.abs(F.col("total") + 2.0 * A.base_value(boosted(st, name)) - F.log(F.col("p") / (1 - F.col("p"))))
+        gap = F.abs(F.col("total") + A.base_value(boosted(st, name)) - F.log(F.col("p") / (1 - F.col("p"))))
         r = p.join(total, ["gvkey", "date"], "left").agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows"),
                                                         F.count(F.when(F.coalesce(gap > 1e-6, F.lit(True)), 1)).alias("off"))
         out = r if out is None else out.unionByName(r)
@@ -410,7 +425,7 @@ def attr_agreement(st: Stages) -> DataFrame:
 def ml_fit_checks(st: Stages) -> DataFrame:
     """Every fitted model scores every labelled row, with p in [0, 1] and the decision that p implies."""
     out = None
-    for name in estimators(1):
+    for name in MODELS:
         s = scores(st, name)
         r = s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"),
                                    F.count(F.when(~F.coalesce((F.col("p") >= 0) & (F.col("p") <= 1), F.lit(False)), 1)).alias("bad_p"),

@@ -50,13 +50,13 @@ def test_stored_models_score_alike_and_absent_ones_are_named(spark, tmp_path):
     scaled = VectorAssembler(inputCols=feats, outputCol="features").transform(
         filled.crossJoin(mom).withColumns({c: (F.col(c) - F.col(f"{c}_mu")) / F.col(f"{c}_sd") for c in feats}))
     model = LogisticRegression(maxIter=20).setThreshold(0.45).fit(scaled)
-    save_bundle(str(tmp_path / "m"), med, mom, {"First Model": model})
+    save_bundle(str(tmp_path / "m"), med, mom, {"First Model": model}, {"First Model": 0.45})
     found, absent = load_models(spark, str(tmp_path / "m"), ["First Model", "Other, Model"])
     assert list(found) == ["First Model"] and absent == ["Other, Model"]
-    again = found["First Model"].transform(prepare(spark, str(tmp_path / "m"), raw, feats))
-    key = lambda df: {r.gvkey: (round(r.probability[1], 9), r.prediction) for r in df.collect()}
-    assert key(again) == key(model.transform(scaled))
-    assert found["First Model"].stages[0].getThreshold() == 0.45
+    again = found["First Model"].score(prepare(spark, str(tmp_path / "m"), raw, feats))
+    want = {r.gvkey: (round(r.probability[1], 9), r.prediction) for r in model.transform(scaled).collect()}
+    assert {r.gvkey: (round(r.p, 9), r.pred) for r in again.collect()} == want
+    assert found["First Model"].threshold == 0.45 and found["First Model"].model.stages[0].getThreshold() == 0.45
 
 
 def test_random_search_is_reproducible_and_ranks_by_exact_auc(spark):
