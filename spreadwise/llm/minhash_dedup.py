@@ -15,8 +15,8 @@ their shingles, and classes are the connected components of the links.
 Hot groups. Equal texts are one node from the start. In a bucket of over ``CROWD`` nodes no pairs
 are listed. There each node is first compared with the bucket's most central one, that with the least
 weight that no other such node shares. What then lies in different components is joined exactly, by
-prefixes: with the shingles of a node in order of how many nodes hold them, rarest first, two nodes
-that reach the threshold share a shingle among the first (1 - threshold) of either's weight, early
+prefixes: with the shingles of a node in one order for all, rarest first by a fixed table of hashed
+counters (a bad count costs candidates, never a link), two nodes that reach the threshold share a shingle among the first (1 - threshold) of either's weight, early
 enough to leave room for the overlap that they need. Pairs that share one, in different components,
 are checked; no other pair can link two components. Near copies differ in rare shingles, so few
 pairs remain: the join lists them by the links that are missing, not by the square of the group.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, joined_components
@@ -38,6 +38,7 @@ from .text import MASK, Prefix, U, Words, as_signed, mix64, slices, utf8
 SHINGLE = 5
 COORDINATES, ROWS = 200, 5
 CROWD = 24
+COUNTERS = 1 << 20          # of the shingles of texts in large buckets; they decide an order only
 SLACK = 4.0
 _MAX_WIDTH = 256
 
@@ -138,11 +139,40 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(at)), pa.array(total[at]), lists], ["node", "size", "bands"])
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(key: np.ndarray) -> np.ndarray:
+    return (key % U(COUNTERS)).astype(np.int64)
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a task hold a shingle of each bucket."""
+    total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         for part in slices(batch, "text", 1 << 19):
-            doc, key, weight = weighted(*shingles(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(doc)), pa.array(as_signed(key)), pa.array(weight)], ["node", "key", "w"])
+            total += np.bincount(_bucket(weighted(*shingles(part.column("text")))[1]), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+
+def _prefixes(holders, threshold: float):
+    """The rarest shingles of each text, up to (1 - threshold) of its weight, and the weight of all that no
+    other text has (as far as the counters tell). Texts that this weight keeps from any partner have none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 19):
+                doc, key, weight = weighted(*shingles(part.column("text")))
+                often = holders.value[_bucket(key)]
+                order = np.lexsort((key, often, doc))
+                doc, key, weight, often = doc[order], key[order], weight[order], often[order]
+                size = np.bincount(doc, weights=weight, minlength=part.num_rows)
+                alone = np.bincount(doc, weights=weight * (often == 1), minlength=part.num_rows)
+                upto = np.cumsum(weight) - weight
+                before = upto - upto[np.searchsorted(doc, doc)]
+                keep = (before <= size[doc] * (1 - threshold) + 1e-9) & (size - alone >= threshold * size)[doc]
+                doc = doc[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node").take(pa.array(doc)), pa.array(as_signed(key[keep])), pa.array(before[keep].astype(np.int64)),
+                     pa.array(size[doc].astype(np.int64)), pa.array(alone[doc].astype(np.int64))], ["node", "key", "before", "size", "alone"])
+    return run
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -206,15 +236,14 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     pairs = few.withColumnRenamed("node", "u").join(other, "band").filter((F.col("u") < F.col("v")) & near).select("u", "v")
 
     crowded = members.filter(F.col("c") > crowd).select("band", "node", "size")
-    cells = staged(texts.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "text")
-                   .mapInArrow(_shingle_rows, "node long, key long, w long"), "shingles")
-    cells = cells.join(cells.groupBy("key").agg(F.count(F.lit(1)).alias("holders")), "key")
-    by_node = Window.partitionBy("node").orderBy("holders", "key").rowsBetween(Window.unboundedPreceding, -1)   # a text's shingles
-    sizes = cells.groupBy("node").agg(F.sum("w").alias("size"), F.sum(F.when(F.col("holders") == 1, F.col("w")).otherwise(0)).alias("alone"))
-    able = sizes.filter(F.col("size") - F.col("alone") >= threshold * F.col("size"))
-    prefix = staged(cells.withColumn("before", F.coalesce(F.sum("w").over(by_node), F.lit(0))).join(able, "node")
-                    .filter(F.col("before") <= F.col("size") * (1 - threshold) + 1e-9).select("key", "node", "before", "size"), "prefixes")
-    central = crowded.join(able.select("node", "alone"), "node")
+    in_crowds = texts.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "text")
+    counted = in_crowds.mapInArrow(_holders, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()     # <= COUNTERS rows
+    holders = np.zeros(COUNTERS, np.uint32)
+    holders[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), (1 << 32) - 1)
+    holders = documents.sparkSession.sparkContext.broadcast(holders)
+    prefix = staged(in_crowds.mapInArrow(_prefixes(holders, threshold), "node long, key long, before long, size long, alone long"), "prefixes")
+    able = prefix.groupBy("node").agg(F.first("alone").alias("alone"))
+    central = crowded.join(able, "node")
     centre = central.groupBy("band").agg(F.min(F.struct("alone", "node")).alias("m"))
     spokes = (central.join(centre.select("band", F.col("m.node").alias("v")), "band").filter(F.col("node") != F.col("v"))
               .select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")))
@@ -222,7 +251,7 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     named = components(links)
 
     # exact join of what is still apart; of two components that meet under a shingle, one is not its most frequent
-    held = prefix.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = prefix.drop("alone").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     most = (held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     held = held.join(most.select("key", F.col("m.component").alias("usual")), "key")
