@@ -74,8 +74,8 @@ def split_faults(rows: DataFrame, model: BoostedTrees, job: Job, seed: int = 42)
     point = F.lit(POINT)
     shrunk = lambda g: F.signum(g) * F.greatest(F.abs(g) - s.l1, F.lit(0.0))
     part = lambda g, h: F.pow(shrunk(g), 2) / (h + s.l2)
-    sums = cells.select("tree", "node", "feature", "bin", *[(F.sum(c).over(w) / d).alias(name) for name, w in (("l", upto), ("t", whole))
-                                                            for c, d in (("g", point), ("h", point), ("n", F.lit(1.0))) for name in [f"{name}{c}"]])
+    sums = cells.select("tree", "node", "feature", "bin", *[(F.sum(c).over(w) / d).alias(f"{side}{c}") for side, w in (("l", upto), ("t", whole))
+                                                            for c, d in (("g", point), ("h", point), ("n", F.lit(1.0)))])
     rest = {c: F.col(f"t{c}") - F.col(f"l{c}") for c in "ghn"}
     allowed = ((F.least(F.col("lh"), rest["h"]) >= s.min_hessian) & (F.least(F.col("ln"), rest["n"]) >= max(s.min_rows, 1)))
     gain = F.when(allowed, part(F.col("lg"), F.col("lh")) + part(rest["g"], rest["h"]) - part(F.col("tg"), F.col("th")))

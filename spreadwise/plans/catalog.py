@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_eval, q_ml, q_pipeline, q_profile  # noqa: F401  (registers queries)
+from . import q_eval, q_ml, q_models, q_pipeline, q_profile  # noqa: F401  (registers queries)
 from .registry import REGISTRY, oracle_text, spark_callable
 
 

@@ -99,6 +99,8 @@ BOOSTED_SETTINGS = {
 }
 BOOSTED = tuple(BOOSTED_SETTINGS)
 MODELS = ("Logistic Regression", "Random Forest", *BOOSTED)
+#: decision thresholds that are stored with the models; the others have 0.5
+STORED_THRESHOLDS = dict.fromkeys(BOOSTED, 0.45)
 
 
 def boosting_rows(st: Stages) -> DataFrame:
@@ -263,7 +265,7 @@ def stored(st: Stages) -> str:
     if root is None:
         root = f"{scratch_dir(st.spark).rstrip('/')}/models/bundle-{uuid.uuid4().hex}"
         models = {name: fitted(st, name) for name in MODELS}
-        save_bundle(root, train_medians(st), scale_moments(imputed(st), st.feature_cols), models)
+        save_bundle(root, train_medians(st), scale_moments(imputed(st), st.feature_cols), models, STORED_THRESHOLDS)
         st._stored = root
     return root
 
@@ -289,7 +291,7 @@ def ml_roundtrip_check(st: Stages) -> DataFrame:
     out = None
     for name, again in reloaded_scores(st).items():
         both = scores(st, name).join(again.select("gvkey", "date", F.col("p").alias("p2"), F.col("pred").alias("pred2")), ["gvkey", "date"], "left")
-        same = (F.abs(F.col("p") - F.col("p2")) < 1e-9) & (F.col("pred") == F.col("pred2"))
+        same = (F.abs(F.col("p") - F.col("p2")) < 1e-9) & ((F.col("p") > STORED_THRESHOLDS.get(name, 0.5)).cast("long") == F.col("pred2"))
         r = both.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows"), F.count(F.when(~F.coalesce(same, F.lit(False)), 1)).alias("different"))
         out = r if out is None else out.unionByName(r)
     return out
