@@ -1,102 +1,141 @@
-"""Exact quantiles that stay distributed.
+"""Exact quantiles that stay distributed and read their input twice.
 
 ``percentile`` (exact) keeps every distinct value of a column in one aggregation buffer on one
 reducer, which does not survive a panel of 10^10 rows. This operator gives the **same** value
 (linear interpolation between the order statistics at ``floor`` and ``ceil`` of ``p*(n-1)``,
-as pandas ``quantile`` / NumPy / DuckDB ``quantile_cont``), at any size by the same plan:
-
-1. per column: ``count`` and a ``percentile_approx`` sketch at ``p -/+ delta`` (partial
-   aggregation, sketch size bounded by ``accuracy``): a value bracket ``[a, b]`` that contains
-   the wanted ranks (error of the sketch <= n/accuracy ranks, bracket margin 5x that);
-2. one aggregation keyed by ``(column, p, value)`` of the rows inside the bracket, plus one
-   ``below`` group that only counts: ties collapse map-side, so a value held by a third of
-   all rows is one row after the partial aggregate;
-3. the bracket is cut into ``BINS`` equal bins; running totals over the bins (at most
-   ``BINS`` + 1 rows) find the one or two bins that hold the wanted ranks;
-4. a running count over the distinct values of those bins alone (about ``10 n / (accuracy *
-   BINS)`` of them) locates the two order statistics.
-
-A bracket that should miss a rank raises an error; it never yields NULL, which later steps would
-take for "no bound".
+as pandas ``quantile`` / NumPy / DuckDB ``quantile_cont``), at any size by the same plan, for all
+columns and probabilities at once:
+
+1. first read: one row with ``count``, least, greatest and a ``percentile_approx`` sketch of each column, asked at
+   ``STEPS`` + 1 points from ``p - delta`` to ``p + delta``. They bracket the wanted ranks (error of the sketch
+   <= n/accuracy ranks, bracket margin 5x that) and cut the bracket into bins of about as many rows each,
+   however the values are spread;
+2. second read: rows inside a bracket counted by ``(column, p, bin, value)``, plus one ``below`` group that only
+   counts. Ties collapse map-side, so a value held by a third of all rows is one row after the partial aggregate.
+   The counts (about ``10 n / accuracy`` distinct values for each column and probability) are a staged table;
+3. the bins' totals tell which one or two bins hold the ranks; a running count over the values of those bins alone
+   (about ``n / accuracy`` of them) locates the two order statistics.
+
+What reaches the driver is bounded by columns x probabilities x ``STEPS``. The result is a small local table:
+plans that use it hold values and read nothing again. A bracket that should miss a rank raises an error; it never
+yields NULL, which later steps would take for "no bound".
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+from ..session import stage_table
+
+STEPS = 10
 
 
-def _long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("var"), F.col(c).cast("double").alias("x"))
-                      for c in cols])
-    return (df.select(F.explode(pairs).alias("r")).select("r.var", "r.x")
-            .filter(F.col("x").isNotNull() & ~F.isnan("x")))
+def _value(c: str) -> Column:
+    """The column as a double; NaN counts as missing."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _targets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int, margin: float) -> list[dict]:
+    """First read: for each column and probability, n, the wanted ranks and the edges of the bins."""
+    delta = margin / accuracy
+    points = [[min(1.0, max(0.0, p + delta * (2 * i / STEPS - 1))) for i in range(STEPS + 1)] for p in probs]
+    asked = sorted({x for own in points for x in own})
+    row = df.select(*[_value(c).alias(f"x{i}") for i, c in enumerate(cols)]).agg(*[a for i in range(len(cols)) for a in (
+        F.count(f"x{i}").alias(f"n{i}"), F.min(f"x{i}").alias(f"least{i}"), F.max(f"x{i}").alias(f"most{i}"),
+        F.percentile_approx(f"x{i}", asked, accuracy).alias(f"ap{i}"))]).first()
+    out = []
+    for i, c in enumerate(cols):
+        n = row[f"n{i}"]
+        for k, p in enumerate(probs):
+            t = {"var": c, "col": i, "k": k, "p": p, "n": n, "edges": []}
+            if n:
+                at = p * (n - 1)
+                t |= {"lo": floor(at), "hi": ceil(at), "frac": at - floor(at)}
+                # the margin must hold the sketch's error and the step between the two order statistics
+                few = n * delta < 2 and margin > 0
+                edges = sorted({float(row[f"ap{i}"][asked.index(x)]) for x in points[k]})
+                t["edges"] = [float(row[f"least{i}"]), *(edges[1:-1] if len(edges) > 2 else []), float(row[f"most{i}"])] if few else edges
+            out.append(t)
+    return out
 
 
-def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   accuracy: int = 10000, margin: float = 5.0) -> DataFrame:
-    """Long result ``(var, k, p, n, q)``: the exact linear quantile ``probs[k]`` of each column.
+def _cells(df: DataFrame, cols: Sequence[str], targets: list[dict]) -> DataFrame:
+    """Second read: ``(t, bin, x, c)``; bin i holds the values above edge i - 1 up to edge i (bin 0: edge 0 itself), bin -1 is all below."""
+    entries = []
+    for t, target in enumerate(targets):
+        if target["n"]:
+            x, edges = F.col(f"x{target['col']}"), target["edges"]
+            bin_ = F.when(x < edges[0], -1)
+            for i, e in enumerate(edges):
+                bin_ = bin_.when(x <= e, i)
+            entries.append(F.when(x <= edges[-1], F.struct(F.lit(t).alias("t"), bin_.alias("bin"), F.when(x >= edges[0], x).alias("x"))))
+    if not entries:
+        return df.sparkSession.createDataFrame([], "t int, bin int, x double, c long")
+    values = df.select(*[_value(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    return values.select(F.explode(F.array_compact(F.array(*entries))).alias("r")).groupBy("r.t", "r.bin", "r.x").agg(F.count(F.lit(1)).alias("c"))
 
-    ``q`` is NULL for a column without values, and only there. ``margin``: half width of the
-    bracket in units of the sketch's error.
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10000, margin: float = 5.0) -> list[dict]:
+    """``var, k, p, n, q`` of each column and probability: the exact linear quantile, None for a column without values.
+
+    ``margin``: half width of the bracket in units of the sketch's error.
     """
     cols, probs = list(cols), [float(p) for p in probs]
-    long = _long_form(df, cols)
-    delta = margin / accuracy
-    ends = [(max(0.0, p - delta), min(1.0, p + delta)) for p in probs]
-    brk = sorted({x for e in ends for x in e})
-    sk = long.groupBy("var").agg(F.count("x").alias("n"), F.percentile_approx("x", brk, accuracy).alias("ap"),
-                                 F.min("x").alias("least"), F.max("x").alias("most"))
-    # the margin must hold the sketch's error and the step between the two order statistics
-    few = (F.col("n") * delta < 2) & F.lit(margin > 0)
-    tgt = sk.select("var", "n", F.posexplode(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.when(few, F.col("least")).otherwise(F.col("ap")[brk.index(lo)]).alias("a"),
-                 F.when(few, F.col("most")).otherwise(F.col("ap")[brk.index(hi)]).alias("b"))
-        for p, (lo, hi) in zip(probs, ends, strict=True)])).alias("k", "t"))
-    pos = F.col("t.p") * (F.col("n") - 1)
-    tgt = tgt.select("var", "k", "n", F.col("t.p").alias("p"), F.col("t.a").alias("a"), F.col("t.b").alias("b"),
-                     F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"), (pos - F.floor(pos)).alias("frac"))
-    # tgt has len(cols) * len(probs) rows: a proven bound, safe to broadcast
-    j = long.join(F.broadcast(tgt.select("var", "k", "a", "b")), "var").filter(F.col("x") <= F.col("b"))
-    width = F.col("b") - F.col("a")
-    inside = F.col("x") >= F.col("a")
-    cells = j.groupBy("var", "k", F.when(inside, F.col("x")).alias("xb"), "a", "b").agg(F.count(F.lit(1)).alias("c"))
-    bin_ = (F.when(F.col("xb").isNull(), -1)
-            .when((width > 0) & (width < float("inf")), F.least(F.lit(BINS - 1), F.floor((F.col("xb") - F.col("a")) / width * BINS)))
-            .otherwise(0).cast("int"))
-    cells = cells.select("var", "k", "xb", "c", bin_.alias("bin"))
-    in_order = Window.partitionBy("var", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = (cells.groupBy("var", "k", "bin").agg(F.sum("c").alias("c"))
-            .withColumn("end", F.sum("c").over(in_order)).withColumn("start", F.col("end") - F.col("c")))
-    holds = lambda r: (F.col("start") <= F.col(r)) & (F.col(r) < F.col("end"))
-    # at most two bins for each row of tgt
-    wanted = (bins.filter("bin >= 0").join(F.broadcast(tgt.select("var", "k", "lo", "hi")), ["var", "k"])
-              .filter(holds("lo") | holds("hi")).select("var", "k", "bin", "lo", "hi", F.col("start").alias("before")))
-    near = cells.join(F.broadcast(wanted), ["var", "k", "bin"])
-    w = Window.partitionBy("var", "k", "bin").orderBy("xb").rowsBetween(Window.unboundedPreceding, 0)
-    hit = near.withColumn("end", F.col("before") + F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
-    at = lambda r: F.max(F.when(holds(r), F.col("xb")))
-    picked = hit.groupBy("var", "k").agg(at("lo").alias("v_lo"), at("hi").alias("v_hi"))
-    out = tgt.join(picked, ["var", "k"], "left")
-    missed = (F.col("n") > 0) & (F.col("v_lo").isNull() | F.col("v_hi").isNull())
-    q = (F.when(missed, F.raise_error(F.concat(F.lit("the bracket of a quantile misses its rank: "), F.col("var"))).cast("double"))
-         .when(F.col("n") > 0, F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(
-             F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))))
-    return out.select("var", "k", "p", "n", q.alias("q"))
+    targets = _targets(df, cols, probs, accuracy, margin)
+    cells = stage_table(_cells(df, cols, targets), "quantile_cells")
+    start: dict[int, dict[int, int]] = {}
+    total: dict[int, int] = {}
+    for r in cells.groupBy("t", "bin").agg(F.sum("c").alias("c")).orderBy("t", "bin").collect():     # targets x (STEPS + 2) rows
+        start.setdefault(r.t, {})[r.bin] = total.get(r.t, 0)
+        total[r.t] = total.get(r.t, 0) + r.c
+    wanted, ranks = [], []
+    for t, target in enumerate(targets):
+        if not target["n"]:
+            continue
+        for rank in {target["lo"], target["hi"]}:
+            held = [b for b, s in start.get(t, {}).items() if s <= rank and b >= 0]
+            if rank >= total.get(t, 0) or not held:
+                raise ValueError(f"the bracket of a quantile misses its rank: {target['var']}")
+            wanted.append((t, max(held)))
+            ranks.append((t, rank - start[t][max(held)]))
+    found: dict[tuple[int, int], float] = {}
+    if wanted:
+        spark = df.sparkSession
+        # at most two rows a target on either table
+        near = cells.join(F.broadcast(spark.createDataFrame(sorted(set(wanted)), "t int, bin int")), ["t", "bin"])
+        asked = spark.createDataFrame([(t, b, r, r + start[t][b]) for (t, b), (_, r) in zip(wanted, ranks, strict=True)], "t int, bin int, rank long, whole long")
+        upto = Window.partitionBy("t", "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        near = near.withColumn("end", F.sum("c").over(upto))
+        hit = near.join(F.broadcast(asked), ["t", "bin"]).filter((F.col("end") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("end")))
+        found = {(r.t, r.whole): r.x for r in hit.select("t", "whole", "x").collect()}
+    out = []
+    for t, target in enumerate(targets):
+        q = None
+        if target["n"]:
+            a, b = found[t, target["lo"]], found[t, target["hi"]]
+            q = a if a == b else a + (b - a) * target["frac"]
+        out.append({k: target[k] for k in ("var", "k", "p", "n")} | {"q": q})
+    return out
+
+
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10000, margin: float = 5.0) -> DataFrame:
+    """Long result ``(var, k, p, n, q)`` of ``quantiles``."""
+    rows = [(r["var"], r["k"], r["p"], r["n"], r["q"]) for r in quantiles(df, cols, probs, accuracy, margin)]
+    return df.sparkSession.createDataFrame(rows, "var string, k int, p double, n long, q double")
 
 
 def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                  names: Sequence[str] | None = None, **kw) -> DataFrame:
     """One row, one column per (col, prob): ``{col}_{name}`` (name defaults to ``q{k}``).
 
-    A single row, so it is broadcast back onto the data it came from.
+    A single row of values, so it is broadcast back onto the data it came from.
     """
     names = list(names) if names else [f"q{k}" for k in range(len(probs))]
-    t = quantile_table(df, cols, probs, **kw)
-    aggs = [F.max(F.when((F.col("var") == c) & (F.col("k") == k), F.col("q"))).alias(f"{c}_{nm}")
-            for c in cols for k, nm in enumerate(names)]
-    return t.agg(*aggs)
+    found = {(r["var"], r["k"]): r["q"] for r in quantiles(df, cols, probs, **kw)}
+    one = df.sparkSession.range(1, numPartitions=1)
+    return one.select(*[F.lit(found[c, k]).cast("double").alias(f"{c}_{nm}") for c in cols for k, nm in enumerate(names)])

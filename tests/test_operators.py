@@ -13,17 +13,32 @@ from spreadwise.operators import clean, features, merge, metrics, prep, target
 D = dt.date
 
 
-def test_quantiles_match_pandas_both_paths(spark):
-    rng = np.random.default_rng(3)
-    pdf = pd.DataFrame({"a": rng.lognormal(3, 2, 5000), "b": np.where(rng.random(5000) < 0.4, 7.0, rng.normal(size=5000))})
+@pytest.mark.parametrize("n", [1, 2, 5, 4_999, 10_000, 60_000])     # below, at and above what the sketch holds
+def test_quantiles_match_pandas(spark, n):
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({"a": rng.lognormal(3, 2, n), "b": np.where(rng.random(n) < 0.4, 7.0, rng.normal(size=n)),
+                        "c": np.where(rng.random(n) < 0.999, rng.normal(size=n), 1e300), "d": 3.0})
     pdf.loc[::13, "a"] = np.nan
-    df = spark.createDataFrame(pdf)
-    probs = [0.0, 0.01, 0.5, 0.99, 1.0]
-    for small in (0, 10 ** 9):       # bracketed path and all-values path
-        got = {(r.var, r.k): r.q for r in quantile_table(df, ["a", "b"], probs, small_n=small).collect()}
-        for c in "ab":
-            for k, p in enumerate(probs):
-                assert got[(c, k)] == pytest.approx(pdf[c].quantile(p), rel=1e-12)
+    probs = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    got = {(r.var, r.k): r.q for r in quantile_table(spark.createDataFrame(pdf).repartition(7), list("abcd"), probs).collect()}
+    for c in "abcd":
+        for k, p in enumerate(probs):
+            want = pdf[c].quantile(p)
+            assert got[(c, k)] == pytest.approx(want, rel=1e-12) if want == want else got[(c, k)] is None
+
+
+def test_quantiles_read_their_input_twice(spark, tmp_path):
+    spark.range(2_000).selectExpr("id % 97 * 1.0 as a", "id * 1.0 as b").write.parquet(f"{tmp_path}/t")
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.read.parquet(f"{tmp_path}/t").coalesce(1)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    row = quantile_row(df.mapInArrow(counted, df.schema), ["a", "b"], [0.1, 0.5, 0.9])
+    assert seen.value == 2 * 2_000
+    assert "Scan" not in row._jdf.queryExecution().executedPlan().toString() and row.count() == 1 and seen.value == 2 * 2_000
 
 
 def test_quantile_of_empty_column_is_null(spark):
