@@ -5,12 +5,13 @@ Stage boundaries where two or more branches read the same table (the merged pane
 preprocessed panel, the labelled dataset) are cut: written as Parquet tables into the shared folder
 named by ``spark.checkpoint.dir`` and read back, so later queries scan only the columns they use and
 a lost executor re-reads the stage table instead of recomputing from the raw scan. From the merged
-to the labelled panel every window is partitioned by ``gvkey``: between two cuts Spark shuffles on it
-once.
+to the labelled panel every window is partitioned by ``gvkey``: these tables are bucketed by it, so
+only the write of the first one shuffles on it.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import clean, features, merge, prep, target
-from ..session import apply_conf, stage_table
+from ..session import apply_conf, bucketed_table, delete_folder, scratch_dir, stage_table
 from ..sources import fixtures as fx
 
 
@@ -28,9 +29,23 @@ class Stages:
         self.spark, self.sf_dir, self.materialize = spark, sf_dir.rstrip("/"), materialize
 
     # ---- stage cut -------------------------------------------------------------------
+    @cached_property
+    def folder(self) -> str:
+        """Where the stage tables of this derivation lie."""
+        return f"{scratch_dir(self.spark).rstrip('/')}/tables/stages-{uuid.uuid4().hex}"
+
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         return stage_table(df, name) if self.materialize else df
 
+    def cut_by_firm(self, df: DataFrame, name: str) -> DataFrame:
+        """A cut whose table is bucketed by firm, in the order of its dates."""
+        return bucketed_table(df, self.folder, name, "gvkey", ["date"]) if self.materialize else df
+
+    def drop(self) -> None:
+        """Delete the stage tables; what was built on them cannot be read any more."""
+        if "folder" in self.__dict__:
+            delete_folder(self.spark, self.folder)
+
     # ---- raw inputs (fixture derivation) ---------------------------------------------
     @cached_property
     def raw_fundamentals(self) -> DataFrame:
@@ -70,7 +85,7 @@ class Stages:
     def merged(self) -> DataFrame:
         m = merge.merge_panel(self.fundamentals_clean, self.prices_clean, self.spreads_long,
                               self.raw_mapping)
-        return self.cut(m, "merged")
+        return self.cut_by_firm(m, "merged")
 
     # ---- step 5 ------------------------------------------------------------------------
     @cached_property
@@ -91,7 +106,7 @@ class Stages:
 
     @cached_property
     def preprocessed(self) -> DataFrame:
-        return self.cut(prep.add_lags(self.median_filled), "preprocessed")
+        return self.cut_by_firm(prep.add_lags(self.median_filled), "preprocessed")
 
     # ---- steps 6-7 ---------------------------------------------------------------------
     @cached_property
@@ -111,7 +126,7 @@ class Stages:
     # ---- step 9 ------------------------------------------------------------------------
     @cached_property
     def ml_dataset(self) -> DataFrame:
-        return self.cut(target.label_distress(self.ml_ready), "ml_dataset")
+        return self.cut_by_firm(target.label_distress(self.ml_ready), "ml_dataset")
 
     @cached_property
     def target_table(self) -> DataFrame:

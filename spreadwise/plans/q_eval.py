@@ -136,7 +136,11 @@ _BY_YEAR_SQL = f"""SELECT c.year, n AS n_obs, tp + fn AS n_distress, (tp + fn) /
 
 
 def _by_year(st: Stages) -> DataFrame:
-    s = test_scores(st)
+    return by_year(test_scores(st))
+
+
+def by_year(s: DataFrame) -> DataFrame:
+    """Metrics of ``(year, label, p, pred05)`` by year, for years with a positive row."""
     c = M.with_rates(M.confusion(s, pred="pred05", by=["year"]))
     a = M.auc(s, by=["year"]).select("year", "auc")
     return c.join(a, "year").filter(F.col("tp") + F.col("fn") > 0).select(

@@ -99,6 +99,7 @@ BOOSTED_SETTINGS = {
 }
 BOOSTED = tuple(BOOSTED_SETTINGS)
 MODELS = ("Logistic Regression", "Random Forest", *BOOSTED)
+TREES = MODELS[1:]
 #: decision thresholds that are stored with the models; the others have 0.5
 STORED_THRESHOLDS = dict.fromkeys(BOOSTED, 0.45)
 
@@ -222,7 +223,7 @@ def ml_score(st: Stages) -> DataFrame:
 def ml_importance(st: Stages) -> DataFrame:
     """Tree-model feature importances ranked (name tie-break)."""
     out = None
-    for name in ("Random Forest", "Boosted Trees", "Boosted Trees, Large Leaves"):
+    for name in TREES:
         m = fitted(st, name)
         imp = m.importances() if name in BOOSTED else m.featureImportances.toArray().tolist()  # one value per feature column
         df = st.spark.createDataFrame([(f, float(v)) for f, v in zip(st.feature_cols, imp)], "feature string, importance double")

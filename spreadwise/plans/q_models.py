@@ -13,6 +13,7 @@ from .. import schemas as S
 from ..operators import boosting as B
 from ..operators import certificates as K
 from ..operators import feature_file as FF
+from ..operators import metrics as M
 from ..operators import search, unsupervised
 from ..operators.model_store import load_models, prepare
 from ..session import scratch_dir
@@ -124,6 +125,38 @@ def eval_benchmark_absent(st: Stages) -> DataFrame:
     return benchmark_of(st, f"{scratch_dir(st.spark).rstrip('/')}/models/none-{uuid.uuid4().hex}")
 
 
+@query("eval_by_year_models", [("model", "s"), *q_eval.BY_YEAR])
+def eval_by_year_models(st: Stages) -> DataFrame:
+    """Yearly test metrics of every fitted model."""
+    out = None
+    for name in MODELS:
+        s = q_ml.scores(st, name).filter(F.col("split") == "test").withColumn("year", F.year("date").cast("long")).withColumn("pred05", F.col("pred"))
+        r = q_eval.by_year(s).withColumn("model", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("eval_report_models", [("model", "s"), ("metric", "s"), ("value", "s"), ("description", "s")])
+def eval_report_models(st: Stages) -> DataFrame:
+    """The report of the tree models: AUC, average precision, top feature and its importance, best and worst
+    year, deviation of the yearly AUC."""
+    importance = q_ml.ml_importance(st).filter("rank = 1").select("model", F.col("feature").alias("top"), "importance")
+    y = eval_by_year_models(st).groupBy("model").agg(
+        F.max(F.struct("auc", "year")).alias("best"), F.min(F.struct("auc", "year")).alias("worst"), F.stddev_samp("auc").alias("dev"))
+    overall = None
+    for name in q_ml.TREES:
+        s = q_ml.scores(st, name).filter(F.col("split") == "test")
+        r = M.auc(s).select(F.lit(name).alias("model"), "auc").crossJoin(M.average_precision(s).select("average_precision"))
+        overall = r if overall is None else overall.unionByName(r)
+    j = overall.join(importance, "model").join(y, "model")
+    year = lambda c: F.format_string("%d (%.3f)", F.col(f"{c}.year"), F.col(f"{c}.auc"))
+    lines = [("ROC AUC", F.format_string("%.4f", "auc"), "Area under ROC curve"), ("Average Precision", F.format_string("%.4f", "average_precision"), "Area under PR curve"),
+             ("Top Feature", F.col("top"), "Most important feature"), ("Top Feature Importance", F.format_string("%.4f", "importance"), "Importance score"),
+             ("Best Year (AUC)", year("best"), "Year with best AUC"), ("Worst Year (AUC)", year("worst"), "Year with worst AUC"),
+             ("AUC Std Dev", F.format_string("%.4f", "dev"), "AUC stability across years")]
+    return j.select("model", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value"), F.lit(d).alias("description")) for m, v, d in lines])).alias("r")).select("model", "r.*")
+
+
 # ---------------------------------------------------------------- S8: feature file ----------
 def feature_file(st: Stages) -> str:
     """Where the list of model features is stored; written once, after the selection."""

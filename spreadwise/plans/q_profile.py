@@ -15,7 +15,7 @@ from ..operators import profile as P
 from ..session import scratch_dir
 from ..sources import csv_files as C
 from .pipeline import Stages
-from .q_pipeline import spec_of
+from .q_pipeline import FUND_CLEAN_COLS, spec_of
 from .registry import REGISTRY as _R
 from .registry import query, sql_rnd
 
@@ -449,3 +449,15 @@ def feat_corr_target(st: Stages) -> DataFrame:
          .select(name.alias("feature"), F.abs("corr").alias("abs_corr")))
     w = Window.orderBy(F.desc("abs_corr"), "feature")          # one row a column
     return c.withColumn("rank", F.row_number().over(w)).filter("rank <= 9")
+
+
+_FILE_ORDER = [c for c in FUND_CLEAN_COLS if c != "ingest_id"]
+
+
+@query("csv_first_kept", spec_of(_FILE_ORDER), f"SELECT {', '.join(_FILE_ORDER)} FROM fund_clean")
+def csv_first_kept(st: Stages) -> DataFrame:
+    """Duplicates by the order of rows in files that have no key: several files, read in blocks."""
+    path = f"{scratch_dir(st.spark).rstrip('/')}/csv/ordered-{uuid.uuid4().hex}"
+    rows = st.raw_fundamentals.repartitionByRange(6, "ingest_id").sortWithinPartitions("ingest_id").select(*C.COLUMNS["fundamentals"])
+    C.write_csv(rows, path, "fundamentals")
+    return clean.clean_fundamentals(C.in_file_order(C.read_csv(st.spark, path, "fundamentals")))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ROUND_OFFSET, rnd, rnd_sig
+from ..session import fingerprint
 from .oracle import q
 from .pipeline import Stages
 
@@ -30,23 +31,30 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
-_STAGES: dict[tuple[str, str], Stages] = {}
+_STAGES: dict[tuple[str, str], tuple[str, Stages]] = {}
+#: the tables that stages are derived from
+INPUTS = ("lineitem", "supplier")
 
 
 def stages_for(spark: SparkSession, sf_dir: str) -> Stages:
-    """One ``Stages`` per (application, data dir): stage tables are cut once and shared, until
-    ``refresh`` drops them."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    st = _STAGES.get(key)
-    if st is None or st.spark is not spark:
-        st = _STAGES[key] = Stages(spark, sf_dir)
+    """One ``Stages`` per (application, data dir): stage tables are cut once and shared, as long as the files
+    they are derived from are the same. Stages of files that have changed since are dropped."""
+    sf_dir = sf_dir.rstrip("/")
+    key, now = (spark.sparkContext.applicationId, sf_dir), fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in INPUTS])
+    then, st = _STAGES.get(key, (None, None))
+    if st is None or st.spark is not spark or then != now:
+        if st is not None and then != now:
+            st.drop()
+        st = Stages(spark, sf_dir)
+        _STAGES[key] = (now, st)
     return st
 
 
 def refresh(spark: SparkSession, sf_dir: str) -> None:
-    """Forget the stage tables, scores and models made from ``sf_dir``; the next query derives them
-    anew from the tables as they are then."""
-    _STAGES.pop((spark.sparkContext.applicationId, sf_dir.rstrip("/")), None)
+    """Drop the stage tables, scores and models made from ``sf_dir``; the next query derives them anew."""
+    _, st = _STAGES.pop((spark.sparkContext.applicationId, sf_dir.rstrip("/")), (None, None))
+    if st is not None:
+        st.drop()
 
 
 def finalize(df: DataFrame, spec: Spec) -> DataFrame:

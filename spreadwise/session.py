@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,41 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, folder: str, name: str, by: str, sort: Sequence[str]) -> DataFrame:
+    """Write ``df`` into ``folder`` as a table bucketed by ``by``, one sorted file a bucket, and read it back.
+
+    Later windows and joins on ``by`` find the rows as they lie and shuffle nothing. The number of buckets is
+    that of shuffle partitions. The table's entry lives in the session's catalog, its files in ``folder``.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"stage_{name}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by, *[c for c in sort if c != by])
+     .option("path", f"{folder}/{name}-{uuid.uuid4().hex}").saveAsTable(table))
+    return spark.table(table)
+
+
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A digest of the names, sizes and change times of the files under ``paths``, from the file system's listing."""
+    hadoop, found = spark._jvm.org.apache.hadoop.fs, []
+    for path in paths:
+        p = hadoop.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            continue
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of stage tables that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage tables.
 

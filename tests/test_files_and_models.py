@@ -4,12 +4,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from spreadwise import schemas as S
 from spreadwise.functions.exprs import draw_key
-from spreadwise.operators import merge, prep, target
+from spreadwise.operators import clean, features, merge, prep, target
 from spreadwise.operators.model_store import load_models, prepare, save_bundle
 from spreadwise.operators.search import draw_settings, random_search
 from spreadwise.plans.q_ml import stratified_folds
-from spreadwise.plans.registry import stages_for
+from spreadwise.plans.pipeline import Stages
+from spreadwise.plans.registry import refresh, stages_for
 from spreadwise.sources import csv_files as C
 
 SF = "/root/testdata/sf0.001"
@@ -75,10 +77,53 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_windows_between_two_cuts_shuffle_on_the_firm_once(spark):
+def test_windows_on_stage_tables_do_not_shuffle(spark):
     st = stages_for(spark, SF)
     lagged = prep.add_lags(prep.forward_fill(st.merged))
-    assert plan(target.label_distress(lagged)).count("Exchange hashpartitioning(gvkey") == 1
+    for df in (target.label_distress(lagged), features.market_features(features.accounting_features(st.preprocessed)),
+               prep.add_lags(st.preprocessed.select(*st.merged.columns)), target.label_distress(st.ml_dataset.drop(*S.TARGET_NEW)),
+               st.ml_dataset.select("gvkey", "date").join(st.preprocessed.select("gvkey", "date", "atq"), ["gvkey", "date"])):
+        assert "Window" in plan(df) or "Join" in plan(df)
+        assert plan(df).count("Exchange hashpartitioning(gvkey") == 0
+    uncut = Stages(spark, SF, materialize=False)
+    assert plan(target.label_distress(prep.add_lags(prep.forward_fill(uncut.merged)))).count("Exchange hashpartitioning(gvkey, ") <= 1
+
+
+def test_filled_medians_read_what_the_merged_panel_reads(spark):
+    uncut = Stages(spark, SF, materialize=False)
+    scans = lambda df: plan(df).count("FileScan")
+    assert 0 < scans(uncut.median_filled) == scans(uncut.merged)      # bounds and medians are values by then
+
+
+def test_changed_input_is_read_again_without_refresh(spark, tmp_path):
+    for t in ("lineitem", "supplier"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    firms = lambda: stages_for(spark, str(tmp_path)).merged.select("gvkey").distinct().count()
+    first, st = firms(), stages_for(spark, str(tmp_path))
+    assert stages_for(spark, str(tmp_path)) is st
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    rows.filter("l_suppkey % 2 = 0").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert 0 < firms() < first and stages_for(spark, str(tmp_path)) is not st
+    root = spark._jvm.org.apache.hadoop.fs.Path(st.folder)
+    assert not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)      # its tables are gone
+    refresh(spark, str(tmp_path))
+
+
+def test_first_of_duplicates_by_file_block_and_row(spark, tmp_path):
+    rows = [f"{g};2010-03-31;{v};{';' * 11}" for v in range(1, 400) for g in (7, 8, v + 100)]
+    head = ";".join(C.COLUMNS["fundamentals"])
+    for i in range(3):
+        part = rows[i * 400:(i + 1) * 400]
+        (tmp_path / f"part-{i}.csv").write_text("\n".join([head, *part]) + "\n", encoding="latin-1")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")                      # many blocks a file
+    try:
+        df = C.in_file_order(C.read_csv(spark, str(tmp_path), "fundamentals"))
+        assert df.rdd.getNumPartitions() > 20
+        got = {r.gvkey: r.atq for r in clean.dedupe_first(df, ["gvkey", "datadate"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 401 and all(got[str(g)] == str(v) for g, v in ((7, 1), (8, 1), (101, 1), (350, 250), (499, 399)))
 
 
 def test_stage_tables_are_scanned_by_column(spark):
