@@ -120,18 +120,21 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 _KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
     """Hashes of the byte strings [start, end); equal bytes give equal hashes wherever they stand."""
-    size = ends - starts
+    out = np.empty(len(starts), dtype=U)
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))       # the eight bytes from any place
-    out = mix64((eight[starts] & _KEEP[np.minimum(size, 8)]) + size.astype(U) * U(BASE))
-    long = np.flatnonzero(size > 8)
-    out[long] = mix64(out[long] ^ (eight[starts[long] + 8] & _KEEP[np.minimum(size[long] - 8, 8)]) * U(INVERSE))
-    long = np.flatnonzero(size > 16)
-    if len(long):
-        view = memoryview(np.ascontiguousarray(data))
-        out[long] = np.fromiter((xxh3_64_intdigest(view[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), U, len(long))
+    for lo in range(0, len(starts), chunk):
+        s, size = starts[lo:lo + chunk], ends[lo:lo + chunk] - starts[lo:lo + chunk]
+        own = mix64((eight[s] & _KEEP[np.minimum(size, 8)]) + size.astype(U) * U(BASE))
+        long = np.flatnonzero(size > 8)
+        own[long] = mix64(own[long] ^ (eight[s[long] + 8] & _KEEP[np.minimum(size[long] - 8, 8)]) * U(INVERSE))
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            view = memoryview(padded)
+            own[long] = np.fromiter((xxh3_64_intdigest(view[i:i + n]) for i, n in zip(s[long].tolist(), size[long].tolist(), strict=True)), U, len(long))
+        out[lo:lo + chunk] = own
     return out
 
 
