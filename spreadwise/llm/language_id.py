@@ -6,8 +6,11 @@ and any other byte escapes with q / (N + q) to the context that is one byte shor
 uniform byte. The statistics are frozen after training, so the code length of a text is a sum of
 table entries; the language with the shortest code wins.
 
-Training takes whole texts, drawn by a hash of the text so that about ``sample_bytes`` a language
-are read, which bounds the trees; they are counted in Spark and sent to every task once.
+Training reads a bounded sample: about ``sample_bytes`` of distinct texts a language, those with the smallest
+hashes, and of each language at least its first text by hash (of a text longer than ``sample_bytes`` as many
+of its first characters, as far as training goes). The hash is compared with a bound of 63 bits, so a language
+may be of any size. Grams are counted in Spark. The trees hold at most ``MAX_CELLS`` cells (grams times languages):
+with very many languages the most frequent grams stay. They are sent to every task once.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import field
-from .text import U, slices, utf8
+from .frames import field, staged
+from .text import CHUNK_BYTES, U, slices, utf8
 
 START = 0x0A
+MAX_CELLS = 1 << 25
+MOST = (1 << 63) - 1
+CELLS_AT_ONCE = 1 << 23         # positions times languages that are scored at a time
 LETTER = re.compile(r"[^\W\d_]")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -135,11 +141,19 @@ class Trees:
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
-        size = len(self.languages)
-        out = np.zeros((len(offsets) - 1, size))
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
         key = grams(data, offsets, self.order)
-        if not len(key):
-            return out
+        step = max(1 << 12, CELLS_AT_ONCE // max(len(self.languages), 1))
+        for lo in range(0, len(key), step):         # a long text is scored a part at a time
+            bits = self._bits(key[lo:lo + step])
+            at = np.clip(offsets, lo, lo + len(bits)) - lo
+            full = np.flatnonzero(np.diff(at))
+            out[full] += np.add.reduceat(bits, at[full], axis=0, dtype=np.float64)
+        return out
+
+    def _bits(self, key: np.ndarray) -> np.ndarray:
+        """Bits of each byte, given by its gram, under each language."""
+        size = len(self.languages)
         bits = np.empty((len(key), size), dtype=np.float32)
         row = self.gram[self.order].find(key)
         hit = row >= 0
@@ -155,9 +169,7 @@ class Trees:
             cost = cost + self.escape[d][self.context[d].find(key >> U(8))]
             key = key & U((1 << (8 * d)) - 1)
         bits[left] = cost + np.float32(8)
-        full = np.flatnonzero(np.diff(offsets))
-        out[full] = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.float64)
-        return out
+        return bits
 
 
 def _count(order: int):
@@ -175,27 +187,42 @@ def _count(order: int):
     return run
 
 
-def train(labelled: DataFrame, order: int, sample_bytes: int) -> Trees:
-    """Trees from a sample of ``(lang, text)`` rows of about ``sample_bytes`` a language."""
-    labelled = labelled.filter("lang is not null and text is not null")
-    size = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    share = {k: min(1.0, sample_bytes / max(n, 1)) for k, n in size.items()}
-    if not share:
+def sample(labelled: DataFrame, sample_bytes: int) -> DataFrame | None:
+    """``(lang, text)`` of the training sample; None without a labelled text.
+
+    Copies of a text count once, in the size of its language as in the sample; what reaches the driver is
+    one row a language.
+    """
+    rows = labelled.filter("lang is not null and text is not null").select(
+        "lang", "text", F.xxhash64("text").bitwiseAND(F.lit(MOST)).alias("h"))
+    once = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("n"))
+    bound = {r.lang: max(r.least, MOST if r.n <= sample_bytes else MOST * sample_bytes // r.n)
+             for r in once.groupBy("lang").agg(F.sum("n").alias("n"), F.min("h").alias("least")).collect()}
+    if not bound:
+        return None
+    upto = F.element_at(F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]), F.col("lang"))
+    drawn = rows.filter(F.col("h") <= upto).withColumn("text", F.substring("text", 1, sample_bytes))
+    return drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def train(labelled: DataFrame, order: int, sample_bytes: int, max_cells: int = MAX_CELLS) -> Trees:
+    """Trees from a sample of ``(lang, text)`` rows."""
+    drawn = sample(labelled, sample_bytes)
+    if drawn is None:
         return Trees([], order, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.floor(
-        F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) * (1 << 20))
-    counted = (labelled.filter(draw).select("lang", "text").mapInArrow(_count(order), "lang string, gram long, n long")
-               .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow())
-    names = sorted(share)
-    lang = np.searchsorted(names, counted.column("lang").to_pylist()) if counted.num_rows else np.zeros(0, np.int64)
-    return Trees(names, order, counted.column("gram").to_numpy().view(U), lang, counted.column("n").to_numpy().astype(float))
+    counted = staged(drawn.mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    names = sorted(r.lang for r in labelled.filter("lang is not null and text is not null").select("lang").distinct().collect())     # as many as labels
+    often = (counted.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(max(1, max_cells // len(names))))
+    kept = counted.join(often.select("gram"), "gram").toArrow()
+    lang = np.searchsorted(names, kept.column("lang").to_pylist()) if kept.num_rows else np.zeros(0, np.int64)
+    return Trees(names, order, kept.column("gram").to_numpy().view(U), lang, kept.column("n").to_numpy().astype(float))
 
 
 def _predict(trees, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Trees = trees.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", max(1 << 12, min(CHUNK_BYTES, CELLS_AT_ONCE // max(len(model.languages), 1)))):
                 bits = model.code_lengths(*utf8(part.column("text")))
                 letters = np.array([bool(t and LETTER.search(t)) for t in part.column("text").to_pylist()])
                 names, scores = ["und"] * part.num_rows, np.zeros(part.num_rows)
@@ -219,7 +246,8 @@ def identify_language(documents: DataFrame, held_out: Column, id_col: str = "doc
     predicted language if all are equally likely beforehand. Only the text enters a prediction.
     Ties go to the first language by name. Text that is null or has no letter, or a table without
     any labelled row to learn from, gives ``und`` and 0; rows with a null language are predicted but
-    not learned from; other columns are not read; an empty table gives an empty result.
+    not learned from; other columns are not read; an empty table gives an empty result. Repeated rows get equal
+    rows, and copies are learned from once. A very long text is held whole and scored a part at a time.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
