@@ -17,6 +17,8 @@ a lost task is written again as a whole.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -224,22 +226,81 @@ def decode_blocks(blocks: list[bytes], sizes: list[int]) -> np.ndarray:
     return out.T.ravel()[:(lanes - 1) * BLOCK + last]
 
 
+# The only normaliser, pre-tokenizer and model under which words and pieces are independent as used here
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_END = "</w>"
+
+#: printable ASCII without the apostrophe: normalised by lower-casing, bytes stand for themselves
+_PLAIN = re.compile(r"[!-&(-~]+")
+_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+GROUP = 512
+
+
+def check_tokenizer(library) -> None:
+    """Raise unless the tokenizer is known to encode words, and the pieces of plain words, independently."""
+    spec = json.loads(library.to_str())
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = spec["model"]
+    ok = ((spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and len(steps) == 2 and steps[0] == _SPLIT
+          and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+          and model.get("type") == "BPE" and model.get("end_of_word_suffix") == _END and not model.get("continuing_subword_prefix")
+          and not model.get("dropout") and not model.get("ignore_merges")
+          and all(t["special"] and t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in spec.get("added_tokens", [])))
+    if not ok:
+        raise ValueError("the words of this tokenizer are not known to be independent")
+
+
 class Tokenizer:
     """Ids of whole texts through a table of distinct words, looked up by hash for many at once.
 
-    The tokenizer splits at white space before anything else that looks at more than a character,
-    so words are encoded independently. A word that the table lacks is encoded by the library once.
+    The tokenizer splits at white space before anything else that looks at more than a character (see
+    ``check_tokenizer``), so words are encoded independently. A word that the table lacks is encoded by the
+    library once: a plain one as its pieces among many others, cut apart again at the tokens that end a
+    piece; any other by itself.
     """
 
     def __init__(self, file: str, end_id: int):
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         self.library, self.end = Library.from_file(file), end_id
+        check_tokenizer(self.library)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self._fast = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         if max(self.vocabulary, end_id + 1) > NOTHING:
             raise ValueError("ids must be below 65535")
+        self.pieces = Library.from_file(file)
+        self.pieces.normalizer, self.pieces.pre_tokenizer = None, WhitespaceSplit()
+        self.ends = np.zeros(self.vocabulary, dtype=bool)
+        self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(_END)]] = True
         self.clear()
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has."""
+        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w) and "<|" not in w]
+        other = sorted(set(range(len(words))) - set(plain))
+        found: list[np.ndarray] = [np.array(x.ids, np.uint16) for x in self._batch(self.library, [words[i] for i in other])]
+        size = np.zeros(len(words), np.int64)
+        size[other] = list(map(len, found))
+        cut = [_PIECES.findall(words[i].lower()) for i in plain]
+        groups = [" ".join([p for own in cut[lo:lo + GROUP] for p in own]) for lo in range(0, len(cut), GROUP)]
+        ids = np.concatenate([np.zeros(0, np.uint16), *(np.array(x.ids, np.uint16) for x in self._batch(self.pieces, groups))])
+        last = np.flatnonzero(self.ends[ids])                       # where pieces end
+        upto = np.cumsum([len(own) for own in cut]).astype(np.int64)
+        if len(last) != (upto[-1] if len(upto) else 0):
+            raise AssertionError("a piece without an end token")
+        bounds = np.concatenate([[0], last[upto - 1] + 1]).astype(np.int64)
+        size[plain] = np.diff(bounds)
+        # ids in the order of the words
+        begin = np.cumsum(size) - size
+        flat = np.zeros(int(size.sum()), np.uint16)
+        for at, n, own in ((begin[plain], size[plain], ids), (begin[other], size[other], np.concatenate([np.zeros(0, np.uint16), *found]))):
+            flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = own
+        return flat, size
+
+    @staticmethod
+    def _batch(library, texts: list[str]) -> list:
+        return getattr(library, "encode_batch_fast", library.encode_batch)(texts, add_special_tokens=False) if texts else []
+
     def clear(self) -> None:
         self.table, self.keys = Table(np.zeros(0, U)), np.zeros(0, U)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -259,10 +320,8 @@ class Tokenizer:
             new, at = np.unique(hashes[lack], return_index=True)
             at, raw = lack[at], data.tobytes()
             strings = [raw[s:e].decode() for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
-            found = [x.ids for x in self._fast(strings, add_special_tokens=False)]
-            size = np.array(list(map(len, found)), dtype=np.int64)
+            flat, size = self.encode_words(strings)
             begin = len(self.pool) + np.cumsum(size) - size
-            flat = np.fromiter((i for x in found for i in x), np.uint16, int(size.sum()))
             self.keys, self.start = np.concatenate([self.keys, new]), np.concatenate([self.start, begin])
             self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, flat])
             self.table = self.table.extended(self.keys, len(new))

@@ -110,3 +110,26 @@ def test_order_over_many_partitions(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, F.rand(3))
     got = M.token_file_round_trip(df, FILE, 2, digests=True).collect()
     assert sorted(map(tuple, got)) == expected(rows)
+
+
+def test_words_in_groups_equal_the_library_one_by_one(monkeypatch):
+    rng = random.Random(8)
+    alphabet = "abcXYZ019.,!?-_'<|>&(~\x7f\x01é日İ½"
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 12))) for _ in range(6000)]
+    words += ["<|endoftext|>", "a<|startoftext|>b", "<|", "</w>", "it's", "</w</w>", "A" * 5000, "!" * 3000, "'", "don't", "x" * 300 + "."]
+    tokens, library = M.Tokenizer(FILE, 2), Library.from_file(FILE)
+    for group in (1, 7, 512):
+        monkeypatch.setattr(M, "GROUP", group)
+        ids, size = tokens.encode_words(words)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert tokens.encode_words([])[1].tolist() == []
+
+
+def test_other_tokenizers_are_refused():
+    for change in ("normalizer", "pre_tokenizer"):
+        library = Library.from_file(FILE)
+        setattr(library, change, None)
+        with pytest.raises(ValueError):
+            M.check_tokenizer(library)
+    with pytest.raises(ValueError):
+        M.Tokenizer(vocabulary("byte_bpe_50k.json"), 2)
