@@ -283,7 +283,11 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of ``documents``, with all their columns, that ``near_duplicate_classes`` keeps: one
-    of each class, and every row without words."""
+    of each class, and every row without words.
+
+    Null, empty and white-space texts stay, each row of them; of repeated rows one stays; ties go to the least id, nulls
+    first; an empty table gives an empty table; columns of any name pass through. A very long text is held whole
+    by its task."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     blank = ~text.rlike(r"[^\x20\x09-\x0D]")
     heads = (near_duplicate_classes(documents, id_col, text_col, threshold).filter("keep")

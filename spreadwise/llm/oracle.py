@@ -82,4 +82,31 @@ score AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score) WHERE rank <= 50"""
 
-SQL = {"op13_ranked_search": OP13, "op1_substring_dedup": OP1, "op10_decontaminate": OP10, "op11_conversation_repair": OP11}
+_WINDOWS = ("win AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)), "
+            "again AS (SELECT doc_id, h FROM win GROUP BY doc_id, h HAVING count(*) > 1), "
+            "rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM win JOIN again USING (doc_id, h)) GROUP BY doc_id)")
+QUALITY = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS ws FROM documents), {_WINDOWS},
+counts AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+    FROM w LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts"""
+LM = f"""WITH d AS (SELECT doc_id, {_CRC.format("CAST(doc_id AS VARCHAR)")} % 7 = 2 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS ws FROM documents),
+word AS (SELECT doc_id, held_out, unnest(ws) AS x FROM d),
+known AS (SELECT x, count(*) AS c FROM word WHERE NOT held_out GROUP BY x),
+total AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM known)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, max(n) AS train_tokens,
+    round(sum(log10((coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))), 4) AS base_score
+FROM word LEFT JOIN known USING (x), total GROUP BY doc_id, held_out"""
+_DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
+_LUHN = ("list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({0}), CAST(i AS INTEGER), 1) AS INTEGER) "
+         "ELSE (CAST(substr(reverse({0}), CAST(i AS INTEGER), 1) AS INTEGER) * 2) // 10 + (CAST(substr(reverse({0}), CAST(i AS INTEGER), 1) AS INTEGER) * 2) % 10 END)) % 10 = 0")
+PERSONAL = f"""SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+    CAST(len(list_filter(regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda m: len(list_filter(string_split(m, '.'), lambda p: TRY_CAST(p AS HUGEINT) IS NULL OR CAST(p AS HUGEINT) > 255)) = 0)) AS BIGINT) AS n_ip,
+    CAST(len(list_filter(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+'), lambda m: {_DIGITS.format('m')}), lambda m: length(m) BETWEEN 13 AND 19), lambda m: {_LUHN.format('m')})) AS BIGINT) AS n_card,
+    CAST(len(list_filter(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda m: length({_DIGITS.format('m')}) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+SQL = {"quality_base_counts": QUALITY, "lm_base_scores": LM, "personal_data_base_counts": PERSONAL, "op13_ranked_search": OP13, "op1_substring_dedup": OP1, "op10_decontaminate": OP10, "op11_conversation_repair": OP11}

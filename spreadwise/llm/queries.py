@@ -100,11 +100,27 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 9 that SQL can state."""
+    return op9_quality(spark, sf_dir).drop("kept", "p_good")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 6 that SQL can state; the score to four decimals."""
+    out = op6_lm_scoring(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def personal_data_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 12 that SQL can state."""
+    return op12_personal_data(spark, sf_dir).drop("base_sha256", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_minhash_dedup, op3_suffix_dedup, op4_sentencepiece, op5_language_id, op6_lm_scoring,
         op7_toxicity, op8_token_file, op9_quality, op10_decontaminate, op11_conversation_repair,
-        op12_personal_data, op13_ranked_search,
+        op12_personal_data, op13_ranked_search, quality_base_counts, lm_base_scores, personal_data_base_counts,
     )
 }
 

@@ -100,7 +100,11 @@ def remove_repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_
 
 def cut_repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = 18) -> DataFrame:
     """The rows of ``documents``, with all their columns, after ``remove_repeated_passages``: a text
-    that loses words becomes its kept words joined by one space, any other text stays as it is."""
+    that loses words becomes its kept words joined by one space, any other text stays as it is.
+
+    Null and empty texts stay as they are; repeated rows are repeats of each other; a text of repeats only becomes
+    empty, its row stays; an empty table gives an empty table; columns of any name pass through. A very long text
+    is held whole by its task."""
     docs = keyed(documents, id_col, text_col, carry=True)
     joined = docs.join(_repeated_spans(docs, window, k), ["k1", "k2"], "left")
     # most rows have no span and need no Python
