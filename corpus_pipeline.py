@@ -3,6 +3,9 @@
 ``run(spark, sf_dir)`` reads ``documents`` and writes the result of every stage as Parquet into the
 shared folder, from which the next stage reads it; a lost executor re-reads a stage's input instead
 of running the stages before it again.
+
+Every stage takes an empty table, repeated rows, null ids and texts, very long texts and columns of any
+name beside those of ``documents``, which pass through all but the last.
 """
 
 from __future__ import annotations
@@ -25,17 +28,19 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents scored 0.5 or more go."""
+    """Operator 7: documents scored 0.5 or more go. Null and empty texts are scored as texts without words; without
+    labels or with one label only the score is the share of toxic rows."""
     return reject_toxic(docs, read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each class of near duplicates the document with the least id stays."""
+    """Operator 2: of each class of near duplicates the document with the least id stays, and every row without words."""
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: words in 35-word passages that occur elsewhere are cut; n_chars is kept true."""
+    """Operator 1: words in 35-word passages that occur elsewhere are cut; n_chars is kept true. Every row stays, with
+    empty text if nothing is left; null text stays null."""
     cut = cut_repeated_passages(docs, window=35)
     if "n_chars" not in docs.columns:
         return cut
@@ -44,12 +49,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that hold a 10-word window of a benchmark item go."""
+    """Operator 10: documents that hold a 10-word window of a benchmark item go; null and empty texts stay, and without
+    items all do."""
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"), window=10)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: token ids of every document, with the text decoded from them."""
+    """Operator 4: token ids of every document, with the text decoded from them; a null text is empty."""
     return sentencepiece_round_trip(docs, vocabulary("piece_bpe_32k.model"))
 
 
