@@ -98,7 +98,7 @@ def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = 4,
         keep &= (gain >= LEAST_GAIN) | (often >= FREQUENT_SHARE * n)
     number = np.cumsum(keep) - 1
     doc, row, names = doc[keep[row]], number[row[keep[row]]], names[keep]
-    share = (label.sum() + 1) / (n + 2)
+    share = (label.sum() + 1) / (n + 2) if n else 0.25         # without any label nothing is marked
     bias = float(np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
     factor = rng.normal(0, 0.01, (len(names), factors))
@@ -206,6 +206,11 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, id
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic", sample_rows: int = 10_000) -> DataFrame:
-    """The rows of ``documents``, with all their columns, that ``score_toxicity`` does not mark."""
+    """The rows of ``documents``, with all their columns, that ``score_toxicity`` does not mark.
+
+    Null and empty texts are texts without words, repeated rows stay or go together, columns of any name pass
+    through, an empty table gives an empty table, and without a label to learn from every row stays. A very
+    long text is held whole by its task.
+    """
     model = _fitted(documents, labels, held_out, id_col, text_col, label_col, sample_rows)
     return documents.mapInArrow(_keep_clean(model, text_col), documents.schema)

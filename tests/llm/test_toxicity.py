@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spreadwise.llm.frames import crc_mod
 from spreadwise.llm.queries import queries
-from spreadwise.llm.toxicity import Machine, distinct, fit, likelihood_ratio, score_toxicity, text_terms
+from spreadwise.llm.toxicity import Machine, distinct, fit, likelihood_ratio, reject_toxic, score_toxicity, text_terms
 from spreadwise.llm.text import U
 
 
@@ -72,3 +72,10 @@ def test_nulls_repeats_and_empty_tables(spark):
     for few in (labels.limit(0), labels.filter("toxic = 1")):
         assert len({r.score for r in score_toxicity(docs, few, F.lit(False)).collect()}) == 1
     assert score_toxicity(docs.limit(0), labels, F.lit(False)).collect() == []
+
+
+def test_without_labels_nothing_is_rejected(spark):
+    docs = spark.createDataFrame([(1, "a word"), (2, None), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert reject_toxic(docs, labels, crc_mod("doc_id", 5) == 0).count() == 3
+    assert reject_toxic(docs.limit(0), labels, crc_mod("doc_id", 5) == 0).count() == 0
