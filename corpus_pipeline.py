@@ -28,8 +28,8 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents scored 0.5 or more go. Null and empty texts are scored as texts without words; without
-    labels or with one label only the score is the share of toxic rows."""
+    """Operator 7: documents scored 0.5 or more go. Null and empty texts are scored as texts without words;
+    without a label to learn from every row stays."""
     return reject_toxic(docs, read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
