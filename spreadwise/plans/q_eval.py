@@ -312,8 +312,7 @@ def eval_improvement(st: Stages) -> DataFrame:
 def eval_compare(st: Stages) -> DataFrame:
     """The fitted models ranked by AUC (name breaks ties); one row a model."""
     from .q_ml import model_rows
-    w = Window.orderBy(F.desc("AUC"), "Model")          # as many rows as there are models
-    return model_rows(st).withColumn("rank", F.row_number().over(w)).drop("Type")
+    return ranked_models(model_rows(st))
 
 
 @query("eval_benchmark", [("Model", "s"), ("Type", "s"), ("Accuracy", 6), ("Precision", 6), ("Recall", 6),
@@ -323,3 +322,16 @@ def eval_benchmark(st: Stages) -> DataFrame:
     scored at their default cut-off, as the reference does."""
     from .q_ml import model_rows
     return _baselines(st).unionByName(model_rows(st)).orderBy(F.desc("AUC"), "Model")
+
+
+def ranked_models(rows: DataFrame) -> DataFrame:
+    """O2: models ranked by AUC, names breaking ties."""
+    w = Window.orderBy(F.desc("AUC"), "Model")          # as many rows as there are models
+    return rows.withColumn("rank", F.row_number().over(w)).drop("Type")
+
+
+@query("eval_compare_baselines", _R["eval_compare"].spec, """SELECT model AS Model, row_number() OVER (ORDER BY auc DESC, model) AS rank, accuracy AS Accuracy,
+    precision AS Precision, recall AS Recall, f1 AS F1, auc AS AUC FROM (SELECT * REPLACE (round(auc, 9) AS auc) FROM bench)""", extra_ctes=DRAW_CTES + f",\nbench AS ({_ALL_BASE})")
+def eval_compare_baselines(st: Stages) -> DataFrame:
+    """A42 / O2 on closed-form scores."""
+    return ranked_models(_baselines(st).withColumn("AUC", F.round("AUC", 9)))

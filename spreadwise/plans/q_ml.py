@@ -329,6 +329,7 @@ def tree_attribution(st: Stages, name: str) -> DataFrame:
 
 # fixed coefficients: the same operator with a score that SQL can state
 FIXED = [round((-1) ** i * (i + 1) / 50, 2) for i in range(len(FEATS))]
+FIXED_SECOND = [round((-1) ** (i // 2) * (7 * i % 28 + 1) / 40, 3) for i in range(len(FEATS))]
 
 
 @query("attr_sample", [("gvkey", "k"), ("date", "d"), ("label", "k")],
@@ -373,8 +374,7 @@ def attr_top5(st: Stages) -> DataFrame:
 @query("attr_dependence", [("gvkey", "k"), ("date", "d"), ("feature", "s"), ("value", 6), ("attribution", 6)])
 def attr_dependence(st: Stages) -> DataFrame:
     """Value / attribution pairs of the top 2 features."""
-    top2 = attr_summary_df(st).orderBy(F.desc("mean_abs_shap"), "feature").limit(2).select("feature")
-    return linear_attribution(st, test_input(st)).join(F.broadcast(top2), "feature")
+    return dependence(linear_attribution(st, test_input(st)))
 
 
 def _ranked(df: DataFrame, score: str) -> DataFrame:
@@ -410,16 +410,13 @@ def tree_summary(st: Stages, name: str) -> DataFrame:
 @query("attr_rank_compare", [("rank", "k"), ("first_feature", "s"), ("second_feature", "s"), ("match", "k")])
 def attr_rank_compare(st: Stages) -> DataFrame:
     """The attribution rankings of the two boosted models side by side."""
-    a, b = (_ranked(tree_summary(st, m), "mean_abs_shap").withColumnRenamed("feature", c)
-            for m, c in zip(BOOSTED, ("first_feature", "second_feature"), strict=True))
-    return a.join(b, "rank").withColumn("match", (F.col("first_feature") == F.col("second_feature")).cast("long"))
+    return rank_compare(*(_ranked(tree_summary(st, m), "mean_abs_shap") for m in BOOSTED))
 
 
 @query("attr_agreement", [("top_k", "k"), ("overlap", "k")])
 def attr_agreement(st: Stages) -> DataFrame:
     """Size of the overlap of the two models' top-10 lists."""
-    a, b = (_ranked(tree_summary(st, m), "mean_abs_shap").filter(F.col("rank") <= 10).select("feature") for m in BOOSTED)
-    return a.join(b, "feature").agg(F.lit(10).alias("top_k"), F.count(F.lit(1)).alias("overlap"))
+    return rank_agreement(*(_ranked(tree_summary(st, m), "mean_abs_shap") for m in BOOSTED))
 
 
 @query("ml_fit_checks", [("model", "s"), ("split", "s"), ("rows", "k"), ("bad_p", "k"), ("bad_pred", "k")],
@@ -447,8 +444,12 @@ TOP5_SQL_CTE = ("sc_imp AS (SELECT gvkey, date, split, " + ", ".join(
     + " FROM sc_imp, sc_mom WHERE split = 'test') UNPIVOT (z FOR feature IN (" + ", ".join(FEATS) + ")))")
 
 
-_FIXED_SQL = ("SELECT gvkey, date, feature, z AS value, z * CASE feature " + " ".join(f"WHEN '{c}' THEN {b}" for c, b in zip(FEATS, FIXED))
-              + " END AS attribution FROM sc_long")
+def _fixed_sql(coefs) -> str:
+    return ("SELECT gvkey, date, feature, z AS value, z * CASE feature " + " ".join(f"WHEN '{c}' THEN {b}" for c, b in zip(FEATS, coefs))
+            + " END AS attribution FROM sc_long")
+
+
+_FIXED_SQL = _fixed_sql(FIXED)
 
 
 @query("attr_linear_fixed", [("gvkey", "k"), ("date", "d"), ("feature", "s"), ("value", 6), ("attribution", 6)], _FIXED_SQL, extra_ctes=TOP5_SQL_CTE)
@@ -467,6 +468,74 @@ def attr_summary_fixed(st: Stages) -> DataFrame:
     return summarise(attr_linear_fixed(st)).withColumn("rank", F.row_number().over(w))
 
 
+_RANKED_SQL = """SELECT feature, row_number() OVER (ORDER BY mean_abs_shap DESC, feature) AS rank FROM (
+    SELECT feature, avg(abs(attribution)) AS mean_abs_shap FROM ({0}) GROUP BY feature)"""
+_TWO_RANKS = f"fx_a AS ({_RANKED_SQL.format(_fixed_sql(FIXED))}),\nfx_b AS ({_RANKED_SQL.format(_fixed_sql(FIXED_SECOND))})"
+
+
+def fixed_ranks(st: Stages, coefs) -> DataFrame:
+    a = A.linear_attribution(test_input(st), train_means(st), coefs, st.feature_cols)
+    return _ranked(summarise(a), "mean_abs_shap")
+
+
+def rank_compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two rankings side by side, and where they name the same feature."""
+    a, b = (r.withColumnRenamed("feature", c) for r, c in ((a, "first_feature"), (b, "second_feature")))
+    return a.join(b, "rank").withColumn("match", (F.col("first_feature") == F.col("second_feature")).cast("long"))
+
+
+def rank_agreement(a: DataFrame, b: DataFrame, top: int = 10) -> DataFrame:
+    """How many features are among the first ``top`` of both rankings."""
+    a, b = (r.filter(F.col("rank") <= top).select("feature") for r in (a, b))
+    return a.join(b, "feature").agg(F.lit(top).alias("top_k"), F.count(F.lit(1)).alias("overlap"))
+
+
+@query("attr_rank_compare_fixed", [("rank", "k"), ("first_feature", "s"), ("second_feature", "s"), ("match", "k")],
+       "SELECT rank, a.feature AS first_feature, b.feature AS second_feature, CASE WHEN a.feature = b.feature THEN 1 ELSE 0 END AS match FROM fx_a a JOIN fx_b b USING (rank)",
+       extra_ctes=TOP5_SQL_CTE + ",\n" + _TWO_RANKS)
+def attr_rank_compare_fixed(st: Stages) -> DataFrame:
+    """J9 with two sets of fixed coefficients."""
+    return rank_compare(fixed_ranks(st, FIXED), fixed_ranks(st, FIXED_SECOND))
+
+
+@query("attr_agreement_fixed", [("top_k", "k"), ("overlap", "k")],
+       "SELECT 10 AS top_k, count(*) AS overlap FROM fx_a a JOIN fx_b b USING (feature) WHERE a.rank <= 10 AND b.rank <= 10",
+       extra_ctes=TOP5_SQL_CTE + ",\n" + _TWO_RANKS)
+def attr_agreement_fixed(st: Stages) -> DataFrame:
+    """J8 with two sets of fixed coefficients."""
+    return rank_agreement(fixed_ranks(st, FIXED), fixed_ranks(st, FIXED_SECOND))
+
+
+def dependence(attribution: DataFrame, top: int = 2) -> DataFrame:
+    """Value and attribution of every row for the ``top`` features by mean |attribution|."""
+    best = summarise(attribution).orderBy(F.desc("mean_abs_shap"), "feature").limit(top).select("feature")
+    return attribution.join(F.broadcast(best), "feature")
+
+
+@query("attr_dependence_fixed", [("gvkey", "k"), ("date", "d"), ("feature", "s"), ("value", 6), ("attribution", 6)],
+       f"SELECT * FROM ({_FIXED_SQL}) WHERE feature IN (SELECT feature FROM fx_a WHERE rank <= 2)", extra_ctes=TOP5_SQL_CTE + ",\n" + _TWO_RANKS)
+def attr_dependence_fixed(st: Stages) -> DataFrame:
+    """M15 with fixed coefficients."""
+    return dependence(attr_linear_fixed(st))
+
+
+@query("ml_importance_check", [("model", "s"), ("features", "k"), ("total", 6), ("off", "k")],
+       " UNION ALL ".join(f"SELECT '{m}' AS model, {len(FEATS)} AS features, 1.0 AS total, 0 AS off" for m in TREES))
+def ml_importance_check(st: Stages) -> DataFrame:
+    """Importances against the stored models: their sum, and features whose share of the stored splits' gain (booster) or
+    whose sign (forest) is wrong."""
+    got = ml_importance(st)
+    truth = None
+    for name in BOOSTED:
+        t = fitted(st, name).table(st.spark).filter("feature >= 0")
+        t = t.crossJoin(t.agg(F.sum("gain").alias("all"))).groupBy(F.lit(name).alias("model"), F.col("name").alias("feature")).agg((F.sum("gain") / F.first("all")).alias("share"))
+        truth = t if truth is None else truth.unionByName(t)
+    j = got.join(truth, ["model", "feature"], "left")
+    share = F.coalesce("share", F.lit(0.0))
+    wrong = F.when(F.col("model").isin(*BOOSTED), F.abs(F.col("importance") - share) > 1e-9).otherwise(F.col("importance") < 0)
+    return j.groupBy("model").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"), F.count(F.when(wrong, 1)).alias("off"))
+
+
 @query("attr_row_top5", [("gvkey", "k"), ("date", "d"), ("rank", "k"), ("feature", "s"), ("scaled_value", 6)],
        """SELECT gvkey, date, rank, feature, z AS scaled_value FROM (
           SELECT *, row_number() OVER (PARTITION BY gvkey, date ORDER BY abs(z) DESC, feature) AS rank FROM sc_long)
