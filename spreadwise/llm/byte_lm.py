@@ -7,13 +7,17 @@ begins after four start symbols and ends with an end symbol. Counts are frozen b
 
 Neither the trie nor the word counts are bounded, so neither is broadcast. Texts go to groups of
 about ``group_bytes`` by a hash of their row. Each group asks for its distinct 5-byte grams and
-words, one message to each shard; a shard owns all grams whose context ends in certain three bytes
-(so it holds complete statistics of orders 4 and 3) and all words of certain hashes, adds up the
+words, with how often it has them in training texts. A shard owns all grams whose context ends in certain three
+bytes (so it holds complete statistics of orders 4 and 3) and all words of certain hashes, adds up the
 training counts, and answers. Each group is then scored from its answers. Only the statistics of
 orders 0 to 2 are broadcast: three bytes, at most 2^24 counts.
 
-Grams and words are counted once for each group before they are shuffled, so a passage that a third
-of all texts share costs one entry a group. Words are identified by 64-bit hashes.
+Requests climb a tree. A group sends one message to each of ``SHARDS`` shards; ``FAN`` groups' messages to a
+shard are merged into one, whose grams are distinct again, and split among ``SPLIT`` times as many shards,
+until at most ``FAN`` senders are left; answers come down the same way. So there are groups x SHARDS messages,
+not groups x shards, and what a shard is asked is bounded by its distinct grams and words, however many groups hold
+a common one: a passage that a third of all texts share costs one entry a group on the way and FAN at the shard.
+Words are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ SYMBOLS = 256                    # the end symbol among them
 DENSE = 1 << 26
 END_WORD = U(0xFFFFFFFFFFFFFFFF)
 GRAMS, WORDS = 0, 1
+SHARDS, FAN, SPLIT = 16, 32, 8
+_MESSAGE = "shard int, g long, kind int, keys binary, counts binary"
+_ANSWER = "shard int, g long, kind int, keys binary, found binary, total long, kinds long"
 
 
 def with_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,69 +203,152 @@ def log_probabilities(keys: np.ndarray, n4: np.ndarray, low: Low) -> np.ndarray:
     return out
 
 
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys by their steps, which compress."""
+    return np.diff(keys, prepend=U(0)).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, U), dtype=U)
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    return n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64).tobytes()
+
+
+def _unpack_counts(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * size else np.uint64)
+
+
+_SHARD_OF = {GRAMS: gram_shard, WORDS: word_shard}
+
+
+def _messages(g: int, asked: dict[int, tuple[np.ndarray, np.ndarray]], shards: int) -> list[tuple]:
+    """Sorted keys and counts by kind, one message to each shard that owns any."""
+    rows = []
+    for kind, (keys, n) in asked.items():
+        own = _SHARD_OF[kind](keys, shards)
+        order = np.argsort(own, kind="stable")
+        cut = np.searchsorted(own[order], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cut)):
+            at = order[cut[s]:cut[s + 1]]
+            rows.append((int(s), g, kind, pack(keys[at]), _pack_counts(n[at])))
+    return rows
+
+
+def _table(rows: list[tuple], names: tuple[str, ...], types: tuple) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _message_table(rows: list[tuple]) -> pa.Table:
+    return _table(rows, ("shard", "g", "kind", "keys", "counts"), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))
+
+
 def _ask(shards: int):
-    def run(table: pa.Table) -> pa.Table:
-        g = table.column("g")[0].as_py()
+    """The texts of a group to its messages."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         group = Group(table.column("text"))
         grams, words = group.counts(~table.column("held_out").to_numpy().astype(bool))
-        rows = []
-        for kind, keys, n, shard in ((GRAMS, group.keys[group.valid], grams[group.valid], gram_shard), (WORDS, group.words, words, word_shard)):
-            own = shard(keys, shards)
-            order = np.argsort(own, kind="stable")
-            cut = np.searchsorted(own[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cut)):
-                at = order[cut[s]:cut[s + 1]]
-                rows.append((int(s), g, kind, keys[at].tobytes(), n[at].astype(np.uint32).tobytes()))
-        names = ("shard", "g", "kind", "keys", "counts")
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        asked = {GRAMS: (group.keys[group.valid], grams[group.valid]), WORDS: (group.words, words)}
+        return _message_table(_messages(int(key[0].as_py()), asked, shards))
+    return run
+
+
+def _merged(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys of some messages, by kind, with their counts added up."""
+    out = {}
+    kinds = table.column("kind").to_numpy()
+    for kind in np.unique(kinds).tolist():
+        part = table.filter(pa.array(kinds == kind))
+        asked = [unpack(k) for k in part.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        n = np.concatenate([_unpack_counts(c, len(k)) for c, k in zip(part.column("counts").to_pylist(), asked, strict=True)])
+        out[kind] = keys, np.bincount(at, weights=n, minlength=len(keys))
+    return out
+
+
+def _climb(shards: int):
+    """Messages of one shard and one set of senders to those of one sender to finer shards."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return _message_table(_messages(int(key[1].as_py()), _merged(table), shards))
     return run
 
 
+def _answer_table(rows: list[tuple]) -> pa.Table:
+    return _table(rows, ("shard", "g", "kind", "keys", "found", "total", "kinds"),
+                  (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))
+
+
+def _values(kind: int, value: np.ndarray) -> bytes:
+    return value.astype(np.float32 if kind == GRAMS else np.float64).tobytes()
+
+
+def _read_values(kind: int, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if kind == GRAMS else np.float64).astype(float)
+
+
 def _answer(low):
+    """All messages to a shard to their answers; a shard's totals stand once for each kind."""
     def run(table: pa.Table) -> pa.Table:
-        kinds, groups, shards = (table.column(c).to_numpy() for c in ("kind", "g", "shard"))
-        out = []
-        for kind in np.unique(kinds):
-            rows = np.flatnonzero(kinds == kind)
-            asked = [np.frombuffer(table.column("keys")[int(r)].as_py(), U) for r in rows]
-            n = np.concatenate([np.frombuffer(table.column("counts")[int(r)].as_py(), np.uint32) for r in rows])
-            keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-            n = np.bincount(at, weights=n, minlength=len(keys))
-            if kind == GRAMS:
-                value, totals = log_probabilities(keys, n, low.value), (0, 0)
-            else:
-                value, totals = n, (int(n.sum()), int((n > 0).sum()))
-            value = value[at]
-            width = np.float32 if kind == GRAMS else np.uint32 if n.max(initial=0) < 2 ** 32 else np.uint64
-            cut = np.cumsum([0, *map(len, asked)])
-            for i, r in enumerate(rows):
-                out.append((int(shards[r]), int(groups[r]), int(kind), value[cut[i]:cut[i + 1]].astype(width).tobytes(),
-                            *(totals if i == 0 else (0, 0))))
-        names = ("shard", "g", "kind", "found", "total", "kinds")
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        values = {}
+        for kind, (keys, n) in _merged(table).items():
+            values[kind] = (keys, log_probabilities(keys, n, low.value), 0, 0) if kind == GRAMS else (keys, n, int(n.sum()), int((n > 0).sum()))
+        out, told = [], set()
+        for shard, g, kind, raw in zip(*(table.column(c).to_pylist() for c in ("shard", "g", "kind", "keys")), strict=True):
+            keys, value, total, kinds = values[kind]
+            out.append((shard, g, kind, raw, _values(kind, value[np.searchsorted(keys, unpack(raw))]), *((0, 0) if kind in told else (total, kinds))))
+            told.add(kind)
+        return _answer_table(out)
     return run
 
 
-def _score(shards: int):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        group = Group(texts.column("text"))
-        grams, words = np.zeros(len(group.keys)), np.zeros(len(group.words))
-        own = {GRAMS: np.where(group.valid, gram_shard(group.keys, shards), -1), WORDS: word_shard(group.words, shards)}
-        for shard, kind, found in zip(*(answers.column(c).to_pylist() for c in ("shard", "kind", "found")), strict=True):
-            at = np.flatnonzero(own[kind] == shard)
-            if kind == GRAMS:
-                grams[at] = np.frombuffer(found, np.float32)
-            else:
-                words[at] = np.frombuffer(found, np.uint32 if len(found) == 4 * len(at) else np.uint64)
-        bits = np.concatenate([grams[group.at], np.zeros(ORDER)])
-        score = np.add.reduceat(bits, group.start[:-1])
-        n = words[group.word_at]
-        per = lambda w=None: np.bincount(group.word_text, weights=w, minlength=group.n)
-        return pa.table([texts.column("id"), texts.column("held_out"), pa.array(per().astype(np.int64)), pa.array(per(n > 0).astype(np.int64)),
-                         pa.array(per(np.log10(n + 1))), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "log_counts", "score"])
-    return run
+def _descend(messages: pa.Table, answers: pa.Table) -> pa.Table:
+    """Answers to a merged message to those of the messages that it was made of."""
+    known, out = {}, []
+    kinds = answers.column("kind").to_numpy()
+    for kind in np.unique(kinds).tolist():
+        part = answers.filter(pa.array(kinds == kind))
+        keys = np.concatenate([unpack(k) for k in part.column("keys").to_pylist()])
+        order = np.argsort(keys)
+        known[kind] = keys[order], np.concatenate([_read_values(kind, v) for v in part.column("found").to_pylist()])[order]
+    for shard, g, kind, raw in zip(*(messages.column(c).to_pylist() for c in ("shard", "g", "kind", "keys")), strict=True):
+        keys, value = known[kind]
+        out.append((shard, g, kind, raw, _values(kind, value[np.searchsorted(keys, unpack(raw))]), 0, 0))
+    return _answer_table(out)
+
+
+def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    group = Group(texts.column("text"))
+    grams, words = np.zeros(len(group.keys)), np.zeros(len(group.words))
+    for kind, keys, found in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "found")), strict=True):
+        own, into = (group.keys, grams) if kind == GRAMS else (group.words, words)
+        into[np.searchsorted(own, unpack(keys))] = _read_values(kind, found)
+    bits = np.concatenate([grams[group.at], np.zeros(ORDER)])
+    score = np.add.reduceat(bits, group.start[:-1])
+    n = words[group.word_at]
+    per = lambda w=None: np.bincount(group.word_text, weights=w, minlength=group.n)
+    return pa.table([texts.column("id"), texts.column("held_out"), pa.array(per().astype(np.int64)), pa.array(per(n > 0).astype(np.int64)),
+                     pa.array(per(np.log10(n + 1))), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "log_counts", "score"])
+
+
+def _asked_and_answered(texts: DataFrame, groups: int, low) -> tuple[DataFrame, DataFrame]:
+    """Answers to every group's messages, and one row a shard with its totals."""
+    up = [staged(texts.groupBy("g").applyInArrow(_ask(SHARDS), _MESSAGE), "asked")]
+    senders, shards = groups, [SHARDS]
+    while senders > FAN:
+        shards.append(shards[-1] * SPLIT)
+        merged = up[-1].groupBy("shard", F.floor(F.col("g") / FAN).alias("to")).applyInArrow(_climb(shards[-1]), _MESSAGE)
+        up.append(staged(merged, "asked"))
+        senders = -(-senders // FAN)
+    down = staged(up[-1].groupBy("shard").applyInArrow(_answer(low), _ANSWER), "answers")
+    totals = down.groupBy().agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
+    for level in range(len(up) - 2, -1, -1):
+        mine = up[level].select("shard", "g", "kind", "keys").withColumn("to", F.floor(F.col("g") / FAN))
+        above = down.select(F.pmod("shard", F.lit(shards[level])).cast("int").alias("shard"), F.col("g").alias("to"), "kind", "keys", "found")
+        answered = mine.groupBy("shard", "to").cogroup(above.groupBy("shard", "to")).applyInArrow(_descend, _ANSWER)
+        down = staged(answered, "answers") if level else answered
+    return down, totals
 
 
 def score_texts(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -278,18 +368,13 @@ def score_texts(documents: DataFrame, held_out: Column, id_col: str = "doc_id",
                             F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     groups = max(1, round(size / group_bytes))
-    shards = max(4, groups // 4)
     three = (rows.filter("not held_out").select("text").mapInArrow(_low_counts, "gram long, n long")
              .groupBy("gram").agg(F.sum("n").alias("n")).toArrow())
     low = spark.sparkContext.broadcast(Low(three.column("gram").to_numpy(), three.column("n").to_numpy()))
     texts = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(groups)).alias("g"), "id", "text", "held_out")
     id_type = field(documents, id_col).dataType
-    asked = texts.groupBy("g").applyInArrow(_ask(shards), "shard int, g long, kind int, keys binary, counts binary")
-    answers = staged(asked.groupBy("shard").applyInArrow(
-        _answer(low), "shard int, g long, kind int, found binary, total long, kinds long"), "answers")
-    totals = answers.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
-    found = answers.select("shard", "g", "kind", "found")
-    scored = texts.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_score(shards), T.StructType([
+    answers, totals = _asked_and_answered(texts, groups, low)
+    scored = texts.groupBy("g").cogroup(answers.select("g", "kind", "keys", "found").groupBy("g")).applyInArrow(_score, T.StructType([
         T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("log_counts", T.DoubleType()), T.StructField("score", T.DoubleType())]))
     # totals is one row

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,23 @@ def test_groups_and_shards_do_not_matter(spark, group_bytes, dense, monkeypatch)
     same(byte_lm.score_texts(df, crc_mod("doc_id", 3) == 1, group_bytes=group_bytes).collect(), expected(rows, lambda i: crc(i, 3) == 1))
 
 
+@pytest.mark.parametrize("fan,shards", [(2, 1), (3, 4)])
+def test_requests_that_climb_several_levels(spark, fan, shards, monkeypatch):
+    monkeypatch.setattr(byte_lm, "FAN", fan)
+    monkeypatch.setattr(byte_lm, "SHARDS", shards)
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("ab éA\n") for _ in range(rng.choice([0, 1, 5, 60])))) for i in range(50)] + [(100 + i, "the same text") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(byte_lm.score_texts(df, crc_mod("doc_id", 3) == 1, group_bytes=250).collect(), expected(rows, lambda i: crc(i, 3) == 1))
+
+
+def test_counts_beyond_32_bits_and_packed_keys():
+    keys = np.array([0, 3, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert (byte_lm.unpack(byte_lm.pack(keys)) == keys).all()
+    for n in ([1, 2, 3, 4], [1, 1 << 40, 0, 7]):
+        assert byte_lm._unpack_counts(byte_lm._pack_counts(np.array(n)), 4).tolist() == n
+
+
 def test_nulls_repeats_no_training_rows_and_empty_table(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "Aa aa"), (None, "Aa aa"), (3, " \t")]
     df = spark.createDataFrame([(i, t, 1.0, 2) for i, t in rows], "doc_id long, g string, score double, shard int")
