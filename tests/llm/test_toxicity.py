@@ -1,4 +1,7 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -6,9 +9,11 @@ from pyspark.sql import functions as F
 
 from spreadwise.llm.frames import crc_mod
 from spreadwise.llm.queries import queries
-from spreadwise.llm.toxicity import Machine, distinct, fit, likelihood_ratio, reject_toxic, score_toxicity, text_terms
+from spreadwise.llm.toxicity import FREQUENT_SHARE, LEAST_GAIN, MIN_TEXTS, Machine, distinct, fit, likelihood_ratio, reject_toxic, score_toxicity, text_terms
 from spreadwise.llm.text import U
 
+from . import brute
+
 
 def test_margin_against_all_pairs():
     rng = np.random.default_rng(2)
@@ -79,3 +84,70 @@ def test_without_labels_nothing_is_rejected(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert reject_toxic(docs, labels, crc_mod("doc_id", 5) == 0).count() == 3
     assert reject_toxic(docs.limit(0), labels, crc_mod("doc_id", 5) == 0).count() == 0
+
+
+def plain_scores(rows, labels, held, factors=4, epochs=16, batch=64, rate=1.0, l1=8.0, l2=1e-3, factor_rate=0.005, positive_weight=3.0, seed=7):
+    """The whole query in plain loops: rows (id, text), labels {id: 0 or 1}."""
+    words = lambda t: sorted(set(brute.ALNUM.findall(brute.lower_ascii(t))))
+    name = lambda w: int(text_terms(pa.array([w]))[1][0])
+    fitted = [(labels[i], words(t)) for i, t in sorted(rows, key=lambda r: str(r[0])) if i in labels and not held(i)]
+    n, positive = len(fitted), sum(y for y, _ in fitted)
+    often, both = Counter(w for _, ws in fitted for w in ws), Counter(w for y, ws in fitted if y for w in ws)
+
+    def gain(w):
+        a, k, total = both[w], often[w], 0.0
+        for seen, row, column in ((a, k, positive), (k - a, k, n - positive), (positive - a, n - k, positive), (n - k - positive + a, n - k, n - positive)):
+            total += 2 * seen * math.log(seen * n / (row * column)) if seen else 0
+        return total
+    kept = sorted((w for w in often if often[w] >= MIN_TEXTS and (gain(w) >= LEAST_GAIN or often[w] >= FREQUENT_SHARE * n)), key=name)
+    at = {w: i for i, w in enumerate(kept)}
+    share = (positive + 1) / (n + 2)
+    bias, rng = math.log(share / (1 - share)), np.random.default_rng(seed)
+    v = rng.normal(0, 0.01, (len(kept), factors)).tolist()
+    w, z, g2, v2, b2 = [0.0] * len(kept), [0.0] * len(kept), [0.0] * len(kept), [[1e-2] * factors for _ in kept], 1.0
+    texts = [(y, [at[x] for x in ws if x in at]) for y, ws in fitted]
+
+    def chance(own):
+        pairs = sum(v[i][f] * v[j][f] for k, i in enumerate(own) for j in own[:k] for f in range(factors))
+        return 1 / (1 + math.exp(-(bias + sum(w[i] for i in own) + pairs)))
+    for _ in range(epochs):
+        order = rng.permutation(n)
+        for lo in range(0, n, batch):
+            own = [texts[k] for k in order[lo:lo + batch]]
+            error = [(chance(t) - y) * (positive_weight if y else 1.0) for y, t in own]
+            b2 += sum(e * e for e in error)
+            bias -= 0.1 * sum(error) / math.sqrt(b2)
+            used = sorted({i for _, t in own for i in t})
+            for i in used:
+                g = sum(e for e, (_, t) in zip(error, own, strict=True) if i in t)
+                was = math.sqrt(g2[i])
+                g2[i] += g * g
+                z[i] += g - (math.sqrt(g2[i]) - was) / rate * w[i]
+                w[i] = 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((1 + math.sqrt(g2[i])) / rate + l2)
+            for f in range(factors):
+                total = [sum(v[i][f] for i in t) for _, t in own]
+                step = {i: sum(e * (s - v[i][f]) for e, s, (_, t) in zip(error, total, own, strict=True) if i in t) + l2 * v[i][f] for i in used}
+                for i, g in step.items():
+                    v2[i][f] += g * g
+                    v[i][f] -= factor_rate * g / math.sqrt(v2[i][f])
+    return {i: chance([at[x] for x in words(t) if x in at]) for i, t in rows}
+
+
+def test_query_against_plain_loops(spark, tmp_path):
+    rng = random.Random(5)
+    rows, labels = [], {}
+    for i in range(260):
+        toxic = rng.random() < 0.3
+        own = rng.choices([f"w{k}" for k in range(40)], k=12) + (["Insult", "group"] if toxic else [rng.choice(["insult", "GROUP", "calm"])])
+        rows.append((i, " ".join(rng.sample(own, len(own)))))
+        if i % 6:
+            labels[i] = int(toxic)
+    rows += [(900, None), (901, ""), (902, "insult group unseen")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(labels.items()), "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    want = plain_scores(rows, labels, held)
+    got = {r.doc_id: r for r in queries()["op7_toxicity"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(want)
+    for i, p in want.items():
+        assert got[i].held_out == held(i) and math.isclose(got[i].score, p, rel_tol=1e-9, abs_tol=1e-12) and got[i].predicted == (p >= 0.5)
