@@ -1,6 +1,7 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -89,3 +90,24 @@ def test_components_against_union_find(spark):
     frame = lambda part: spark.createDataFrame(part, "u long, v long")
     again = joined_components(components(frame(links[::2])), frame(links[1::2]))
     assert {r.node: r.component for r in again.collect() if r.node in got} == got
+
+
+def test_recall_of_every_fiftieth_row_against_all(spark):
+    """Exact similarities of the rows with an id divisible by 50 to all rows that share a shingle with them."""
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    sets = {i: brute.shingle_weights(t) for i, t in rows if brute.WORD.search(t or "")}
+    holders = defaultdict(list)
+    for i, own in sets.items():
+        for s in own:
+            holders[s].append(i)
+    links = set()
+    for i in sets:
+        if i % 50 == 0:
+            size, met = sum(sets[i].values()), Counter(j for s in sets[i] for j in holders[s])
+            for j, shared in met.items():
+                other = sum(sets[j].values())
+                if j != i and min(size, other) >= 0.8 * max(size, other) and brute.jaccard(sets[i], sets[j]) >= 0.8:
+                    links.add((i, j))
+    got = {r.doc_id: r.class_id for r in M.near_duplicate_classes(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert len(links) > 20 and all(got[i] == got[j] for i, j in links)
