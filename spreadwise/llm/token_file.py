@@ -231,9 +231,18 @@ _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"
 _SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _END = "</w>"
 
-#: printable ASCII without the apostrophe: normalised by lower-casing, bytes stand for themselves
-_PLAIN = re.compile(r"[!-&(-~]+")
-_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: printable ASCII without the apostrophe, and letters of one precomposed code point below U+0100: normalised by lower-casing
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"\n|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
+
+
+def _byte_sign(b: int) -> str:
+    """How the model's vocabulary writes a byte: printable Latin-1 as itself, the 68 others from U+0100 on."""
+    other = [*range(33), *range(127, 161), 173]
+    return chr(256 + other.index(b)) if b in other else chr(b)
+
+
+_SIGNS = {c: "".join(map(_byte_sign, chr(c).encode())) for c in range(0xC0, 0x100)}
 GROUP = 512
 
 
@@ -255,9 +264,9 @@ class Tokenizer:
     """Ids of whole texts through a table of distinct words, looked up by hash for many at once.
 
     The tokenizer splits at white space before anything else that looks at more than a character (see
-    ``check_tokenizer``), so words are encoded independently. A word that the table lacks is encoded by the
-    library once: a plain one as its pieces among many others, cut apart again at the tokens that end a
-    piece; any other by itself.
+    ``check_tokenizer``), so words are encoded independently. A word that the table lacks is put together from its
+    pieces if it is a plain one; pieces are encoded by the library once, many together, and cut apart again at the
+    tokens that end a piece. Any other word is encoded by itself.
     """
 
     def __init__(self, file: str, end_id: int):
@@ -276,32 +285,52 @@ class Tokenizer:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and how many each has."""
-        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w) and "<|" not in w]
-        other = sorted(set(range(len(words))) - set(plain))
-        found: list[np.ndarray] = [np.array(x.ids, np.uint16) for x in self._batch(self.library, [words[i] for i in other])]
+        is_plain = np.fromiter((_PLAIN.fullmatch(w) is not None and "<|" not in w for w in words), bool, len(words))
+        plain, other = np.flatnonzero(is_plain), np.flatnonzero(~is_plain)
+        found = [np.array(x.ids, np.uint16) for x in self._batch(self.library, [words[i] for i in other.tolist()])]
         size = np.zeros(len(words), np.int64)
         size[other] = list(map(len, found))
-        cut = [_PIECES.findall(words[i].lower()) for i in plain]
-        groups = [" ".join([p for own in cut[lo:lo + GROUP] for p in own]) for lo in range(0, len(cut), GROUP)]
-        ids = np.concatenate([np.zeros(0, np.uint16), *(np.array(x.ids, np.uint16) for x in self._batch(self.pieces, groups))])
-        last = np.flatnonzero(self.ends[ids])                       # where pieces end
-        upto = np.cumsum([len(own) for own in cut]).astype(np.int64)
-        if len(last) != (upto[-1] if len(upto) else 0):
-            raise AssertionError("a piece without an end token")
-        bounds = np.concatenate([[0], last[upto - 1] + 1]).astype(np.int64)
-        size[plain] = np.diff(bounds)
+        flat_other = np.concatenate([np.zeros(0, np.uint16), *found])
+        # the words stand in lines, so that one search cuts all of them
+        number = self._numbers(_PIECES.findall("".join([words[i].lower() + "\n" for i in plain.tolist()])))
+        line = np.flatnonzero(number < 0)
+        piece = number[number >= 0]
+        n = self.piece_size[piece]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.piece_pool[np.repeat(self.piece_start[piece] - upto[:-1], n) + np.arange(upto[-1])]
+        size[plain] = np.diff(upto[np.concatenate([[0], line - np.arange(len(line))])])
         # ids in the order of the words
         begin = np.cumsum(size) - size
         flat = np.zeros(int(size.sum()), np.uint16)
-        for at, n, own in ((begin[plain], size[plain], ids), (begin[other], size[other], np.concatenate([np.zeros(0, np.uint16), *found]))):
+        for at, n, own in ((begin[plain], size[plain], ids), (begin[other], size[other], flat_other)):
             flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = own
         return flat, size
 
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Number of each piece in the table of pieces, which takes up those it lacks; -1 for the end of a line."""
+        known = self.piece_number
+        lack = [p for p in dict.fromkeys(pieces) if p not in known]
+        if lack:
+            signs = [p if p.isascii() else p.translate(_SIGNS) for p in lack]
+            ids = np.concatenate([np.array(x.ids, np.uint16) for x in self._batch(self.pieces, [" ".join(signs[lo:lo + GROUP]) for lo in range(0, len(signs), GROUP)])])
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(lack):
+                raise AssertionError("a piece without an end token")
+            begin = np.concatenate([[0], last[:-1] + 1])
+            known |= zip(lack, range(len(self.piece_size), len(self.piece_size) + len(lack)), strict=True)
+            self.piece_start = np.concatenate([self.piece_start, len(self.piece_pool) + begin])
+            self.piece_size = np.concatenate([self.piece_size, last + 1 - begin])
+            self.piece_pool = np.concatenate([self.piece_pool, ids])
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
     @staticmethod
     def _batch(library, texts: list[str]) -> list:
         return getattr(library, "encode_batch_fast", library.encode_batch)(texts, add_special_tokens=False) if texts else []
 
     def clear(self) -> None:
+        self.piece_number = {"\n": -1}
+        self.piece_start, self.piece_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.piece_pool = np.zeros(0, np.uint16)
         self.table, self.keys = Table(np.zeros(0, U)), np.zeros(0, U)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint16)

@@ -114,9 +114,10 @@ def test_order_over_many_partitions(spark):
 
 def test_words_in_groups_equal_the_library_one_by_one(monkeypatch):
     rng = random.Random(8)
-    alphabet = "abcXYZ019.,!?-_'<|>&(~\x7f\x01é日İ½"
+    alphabet = "abcXYZ019.,!?-_'<|>&(~\x7f\x01é日İ½ßÀÿ×÷ªµ" + "\u0301"
     words = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 12))) for _ in range(6000)]
     words += ["<|endoftext|>", "a<|startoftext|>b", "<|", "</w>", "it's", "</w</w>", "A" * 5000, "!" * 3000, "'", "don't", "x" * 300 + "."]
+    words += [chr(c) * k for c in range(0xA1, 0x180) for k in (1, 3)] + ["É" + chr(c) + "a" for c in range(0xA1, 0x180)]
     tokens, library = M.Tokenizer(FILE, 2), Library.from_file(FILE)
     for group in (1, 7, 512):
         monkeypatch.setattr(M, "GROUP", group)
