@@ -30,7 +30,7 @@ from .text import CHUNK_BYTES, U, slices, utf8
 START = 0x0A
 MAX_CELLS = 1 << 25
 MOST = (1 << 63) - 1
-CELLS_AT_ONCE = 1 << 23         # positions times languages that are scored at a time
+CELLS_AT_ONCE = 1 << 21         # positions times languages that are scored at a time
 LETTER = re.compile(r"[^\W\d_]")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
