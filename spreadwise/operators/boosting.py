@@ -40,6 +40,7 @@ from .attribution import Leaf
 BINS = 64
 SAMPLE_ROWS = 50_000
 REFRESH = 25
+ROWS_A_TASK = 100_000
 POINT = float(1 << 24)              # fixed point of the derivatives
 PRIME = (1 << 31) - 1
 LEAST_GAIN = 1e-6
@@ -401,7 +402,8 @@ def fit_many(rows: DataFrame, feats: Sequence[str], jobs: Sequence[Job], seed: i
         F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight"), *[F.col(c).cast("double").alias(c) for c in feats])
     edges = bin_edges(rows, feats) if edges is None else edges
     kind = "draw long, fold int, label double, weight double, bins binary, scores array<double>"
-    table = stage_table(rows.mapInArrow(_stage_rows(feats, edges, len(jobs)), kind), "boost")
+    few = rows.coalesce(max(1, -(-rows.count() // ROWS_A_TASK)))                # a task has a level's fixed cost
+    table = stage_table(few.mapInArrow(_stage_rows(feats, edges, len(jobs)), kind), "boost")
     shares = max(1, isqrt(table.rdd.getNumPartitions()) // 4)
     done: list[list[Tree]] = [[] for _ in jobs]
     newer: dict[int, list[Tree]] = {i: [] for i in range(len(jobs))}
