@@ -69,9 +69,8 @@ def unpivot_spreads(wide: DataFrame, id_col: str | None = None) -> DataFrame:
     ``iqt, date_str, cds_spread`` with the value still as read (text)."""
     id_col = id_col or wide.columns[0]
     vals = [c for c in wide.columns if c != id_col]
-    w = wide.select(F.col(id_col).alias("iqt"),
-                    *[F.col(f"`{c}`").cast("string").alias(c) for c in vals])
-    return w.unpivot(["iqt"], [f"`{c}`" for c in vals], "date_str", "value")
+    cells = F.array(*[F.struct(F.lit(c).alias("date_str"), F.col(f"`{c}`").cast("string").alias("value")) for c in vals])
+    return wide.select(F.col(id_col).alias("iqt"), F.explode(cells).alias("r")).select("iqt", "r.*")
 
 
 def parse_spread_cells(cells: DataFrame, latest_year: int = 2099) -> DataFrame:

@@ -37,9 +37,9 @@ class Stages:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         return stage_table(df, name) if self.materialize else df
 
-    def cut_by_firm(self, df: DataFrame, name: str) -> DataFrame:
+    def cut_by_firm(self, df: DataFrame, name: str, date: str = "date") -> DataFrame:
         """A cut whose table is bucketed by firm, in the order of its dates."""
-        return bucketed_table(df, self.folder, name, "gvkey", ["date"]) if self.materialize else df
+        return bucketed_table(df, self.folder, name, "gvkey", [date]) if self.materialize else df
 
     def drop(self) -> None:
         """Delete the stage tables; what was built on them cannot be read any more."""
@@ -47,17 +47,22 @@ class Stages:
             delete_folder(self.spark, self.folder)
 
     # ---- raw inputs (fixture derivation) ---------------------------------------------
+    @cached_property
+    def firm_months(self) -> DataFrame:
+        """Sums of each firm and month: the one read of the line items that all raw inputs share."""
+        return self.cut_by_firm(fx.firm_months(self.spark, self.sf_dir), "firm_months", "ms")
+
     @cached_property
     def raw_fundamentals(self) -> DataFrame:
-        return fx.fx_fundamentals(self.spark, self.sf_dir)
+        return fx.fx_fundamentals(self.firm_months)
 
     @cached_property
     def raw_prices(self) -> DataFrame:
-        return fx.fx_prices(self.spark, self.sf_dir)
+        return fx.fx_prices(self.firm_months)
 
     @cached_property
     def raw_spreads_wide(self) -> DataFrame:
-        return fx.fx_spreads_wide(self.spark, self.sf_dir)
+        return fx.fx_spreads_wide(self.firm_months, self.sf_dir)
 
     @cached_property
     def raw_mapping(self) -> DataFrame:

@@ -5,15 +5,18 @@ from files that are not shipped. Here the same four inputs are derived from ``li
 ``supplier`` with Spark aggregations, so every query's work grows with the given tables:
 
 * firm ``gvkey`` = ``l_suppkey``; dates are ``l_shipdate`` moved forward 15 years;
-* money is summed as DECIMAL and only the sum is cast to double (exact in any engine);
+* money is summed exactly and only the sum, a DECIMAL, is cast to double (the same in any engine);
 * missing, negative, duplicate and unmapped values are injected by key arithmetic.
 
-Every aggregation here is a partial + final hash aggregate keyed by firm and period, so a
-firm holding a third of all line items is combined map-side before the shuffle.
+Line items are read and dealt out once, by firm and month (``firm_months``): a firm that holds a third of them
+is spread over its months. All inputs are derived from the sums of a firm and month; the decimals are exact, so a
+quarter is the sum of its months.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,35 +41,67 @@ def _dsum(c: Column) -> Column:
     return F.sum(c).cast("double")
 
 
+def hundredths(name: str, digits: int) -> Column:
+    """``CAST(name AS DECIMAL(digits, 2))`` in hundredths. Only values near a tie or out of range need the cast itself."""
+    x = F.col(name).cast("double") * 100
+    near = F.rint(x)
+    return F.when((F.abs(x - near) < 0.4) & (F.abs(near) < 10 ** digits), near.cast("long")).otherwise(
+        (F.col(name).cast(f"decimal({digits},2)") * 100).cast("long"))
+
+
 def lineitem_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their amounts in hundredths."""
     li = read_table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_suppkey").alias("gvkey"),
         F.add_months(F.to_date("l_shipdate"), SHIFT_MONTHS).alias("d"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("ep"),
-        F.col("l_quantity").cast("decimal(12,2)").alias("qy"),
-        F.col("l_discount").cast("decimal(4,2)").alias("dc"),
-        F.col("l_tax").cast("decimal(4,2)").alias("tx"),
+        hundredths("l_extendedprice", 12).alias("ep"),
+        hundredths("l_quantity", 12).alias("qy"),
+        hundredths("l_discount", 4).alias("dc"),
+        hundredths("l_tax", 4).alias("tx"),
         F.col("l_returnflag").alias("rf"),
         F.col("l_linestatus").alias("ls"),
     )
 
 
-def fx_fundamentals(spark: SparkSession, sf_dir: str, duplicates: bool = True) -> DataFrame:
-    """Quarterly fundamentals per firm; columns as the raw quarterly file + ``ingest_id``."""
-    b = lineitem_base(spark, sf_dir).withColumn("qs", F.trunc("d", "quarter"))
+def firm_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a firm and month: the sums from which every input is made, as DECIMAL.
+
+    Rows are dealt out before they are summed. Sums made ahead of the shuffle would hold nearly a row for every line
+    item where a firm's items lie scattered, each several times as wide as the item. A term is a whole number below
+    2^63; it is summed in two parts, so that no sum can leave 64 bits.
+    """
+    b = lineitem_base(spark, sf_dir).select(
+        "gvkey", F.trunc("d", "month").alias("ms"), "ep", "qy", "dc", "tx", (F.col("rf") == "R").alias("returned"),
+        (F.col("rf") != "A").alias("sold"), (F.col("ls") == "O").alias("open"))
     ep, qy, dc, tx = F.col("ep"), F.col("qy"), F.col("dc"), F.col("tx")
-    g = b.groupBy("gvkey", "qs").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(ep).alias("s_ep"),
-        _dsum(ep * (_dec(0.4) + _dec(3) * tx)).alias("s_lt"),
-        _dsum(F.when(F.col("rf") == "R", _dec(-0.5)).otherwise(_dec(0.4)) * ep * dc).alias("s_ni"),
-        _dsum(F.when(F.col("rf") != "A", ep)).alias("s_sale"),
-        _dsum(F.when(F.col("ls") == "O", ep * tx)).alias("s_che"),
-        _dsum(ep * dc).alias("s_epdc"),
-        _dsum(ep * tx).alias("s_eptx"),
-        _dsum(ep * (_dec(0.1) + tx)).alias("s_lct"),
-        F.sum(qy).alias("s_qy"),
+    # name: (term, digits after its point)
+    terms = {
+        "s_ep": (ep, 2),
+        "s_lt": (ep * (40 + 3 * tx), 4),
+        "s_ni": (F.when(F.col("returned"), -50).otherwise(40) * ep * dc, 6),
+        "s_sale": (F.when(F.col("sold"), ep), 2),
+        "s_che": (F.when(F.col("open"), ep * tx), 4),
+        "s_epdc": (ep * dc, 4),
+        "s_eptx": (ep * tx, 4),
+        "s_lct": (ep * (10 + tx), 4),
+        "s_qy": (qy, 2),
+        "s_dctx": (dc * tx, 4),
+    }
+    rows = b.repartition("gvkey", "ms").select("gvkey", "ms", "returned", *[t.alias(c) for c, (t, _) in terms.items()])
+    parts = [x for c in terms for x in (F.sum(F.shiftright(c, 20)).alias(f"{c}_high"), F.sum(F.col(c).bitwiseAND((1 << 20) - 1)).alias(f"{c}_low"))]
+    sums = rows.groupBy("gvkey", "ms").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("returned"), 1)).alias("n_r"), *parts)
+    whole = lambda c: F.col(f"{c}_high").cast("decimal(20,0)") * F.lit(1 << 20) + F.col(f"{c}_low").cast("decimal(20,0)")
+    return sums.select("gvkey", "ms", "n", "n_r", *[(whole(c) * F.lit(Decimal(1).scaleb(-k))).alias(c) for c, (_, k) in terms.items()])
+
+
+def fx_fundamentals(months: DataFrame, duplicates: bool = True) -> DataFrame:
+    """Quarterly fundamentals per firm; columns as the raw quarterly file + ``ingest_id``."""
+    g = months.withColumn("qs", F.trunc("ms", "quarter")).groupBy("gvkey", "qs").agg(
+        F.sum("n").alias("n"),
+        F.sum("s_ep").cast("decimal(22,2)").alias("s_ep"),
+        *[_dsum(F.col(c)).alias(c) for c in ("s_lt", "s_ni", "s_sale", "s_che", "s_epdc", "s_eptx", "s_lct")],
+        F.sum("s_qy").alias("s_qy"),
     )
     k = F.year("qs") * 4 + F.quarter("qs")
     n, gv = F.col("n"), F.col("gvkey")
@@ -101,25 +136,13 @@ def fx_fundamentals(spark: SparkSession, sf_dir: str, duplicates: bool = True) -
     return out.drop("_k")
 
 
-def _firm_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = lineitem_base(spark, sf_dir).withColumn("ms", F.trunc("d", "month"))
-    return b.groupBy("gvkey", "ms").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("ep").alias("s_ep"),
-        F.sum("qy").alias("s_qy"),
-        F.sum(F.col("dc") * F.col("tx")).alias("s_dctx"),
-        F.count(F.when(F.col("rf") == "R", 1)).alias("n_r"),
-    )
-
-
-def fx_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_prices(months: DataFrame) -> DataFrame:
     """Monthly prices per firm: ``gvkey, datadate, prccm, trt1m (percent), cshom, ingest_id``."""
-    g = _firm_months(spark, sf_dir)
     m = F.year("ms") * 12 + F.month("ms")
     p = F.col("s_ep").cast("double") / F.col("s_qy").cast("double")
     w = Window.partitionBy("gvkey").orderBy("ms")
     gv = F.col("gvkey")
-    return g.select(
+    return months.select(
         gv,
         F.col("ms").alias("datadate"),
         F.when(F.col("n") % 9 == 0, None)
@@ -131,9 +154,10 @@ def fx_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_spread_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_spread_cells(months: DataFrame, sf_dir: str) -> DataFrame:
     """Long spread cells ``iqt, date (month start), spread`` before the wide pivot."""
-    g = _firm_months(spark, sf_dir).filter(F.col("gvkey") % SPREAD_FIRM_MOD != 0)
+    spark = months.sparkSession
+    g = months.filter(F.col("gvkey") % SPREAD_FIRM_MOD != 0)
     sup = read_table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("gvkey"), F.col("s_name").alias("iqt"))
     gv, n = F.col("gvkey"), F.col("n")
@@ -153,18 +177,20 @@ def spread_header(date_col: Column) -> Column:
     return F.date_format(date_col, "dd.MM.yy")
 
 
-def fx_spreads_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_spreads_wide(months: DataFrame, sf_dir: str) -> DataFrame:
     """Wide spread matrix as the raw file delivers it: all text, dates as headers, newest first,
     plus one column ``notes`` whose header is not a date."""
-    cells = fx_spread_cells(spark, sf_dir)
+    cells = fx_spread_cells(months, sf_dir)
     # The header list is the file's schema: one entry per month of the date range, newest first.
-    first, last = read_table(spark, sf_dir, "lineitem").agg(*[
-        F.add_months(F.trunc(F.to_date(f("l_shipdate")), "month"), SHIFT_MONTHS) for f in (F.min, F.max)]).first()
-    months = [] if first is None else range(last.year * 12 + last.month - 1, first.year * 12 + first.month - 2, -1)
-    headers = [f"01.{m % 12 + 1:02d}.{m // 12 % 100:02d}" for m in months]
-    wide = (cells.withColumn("hdr", spread_header(F.col("date")))
-            .groupBy("iqt").pivot("hdr", headers).agg(F.first(F.col("spread").cast("string"))))
-    sup = read_table(spark, sf_dir, "supplier").select(
+    first, last = months.agg(F.min("ms"), F.max("ms")).first()
+    span = [] if first is None else range(last.year * 12 + last.month - 1, first.year * 12 + first.month - 2, -1)
+    headers = [f"01.{m % 12 + 1:02d}.{m // 12 % 100:02d}" for m in span]
+    # Cells are dealt out by instrument before the pivot: its rows are as wide as the matrix. They are numbers until
+    # then: Spark pivots text by as many aggregates as there are headers.
+    wide = (cells.select("iqt", spread_header(F.col("date")).alias("hdr"), "spread").repartition("iqt")
+            .groupBy("iqt").pivot("hdr", headers).agg(F.first("spread", ignorenulls=True)))
+    wide = wide.select("iqt", *[F.col(f"`{h}`").cast("string").alias(h) for h in headers])
+    sup = read_table(months.sparkSession, sf_dir, "supplier").select(
         F.col("s_name").alias("iqt"), (F.col("s_nationkey") + 1).cast("string").alias("notes"))
     return wide.join(sup, "iqt", "left").select("iqt", *[F.col(f"`{h}`") for h in headers], "notes")
 
