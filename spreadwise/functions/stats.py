@@ -6,7 +6,7 @@ reducer, which does not survive a panel of 10^10 rows. This operator gives the *
 as pandas ``quantile`` / NumPy / DuckDB ``quantile_cont``), at any size by the same plan, for all
 columns and probabilities at once:
 
-1. first read: one row with ``count``, least, greatest and a ``percentile_approx`` sketch of each column, asked at
+1. first read: a row a column with ``count``, least, greatest and a ``percentile_approx`` sketch, asked at
    ``STEPS`` + 1 points from ``p - delta`` to ``p + delta``. They bracket the wanted ranks (error of the sketch
    <= n/accuracy ranks, bracket margin 5x that) and cut the bracket into bins of about as many rows each,
    however the values are spread;
@@ -40,17 +40,24 @@ def _value(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def _sketches(df: DataFrame, cols: Sequence[str], asked: Sequence[float], accuracy: int) -> DataFrame:
+    """Count, least, greatest and approximate quantiles of each column that has values, by its number. The sketches of
+    a column that tasks make meet in a task of their own, not all columns' in one."""
+    values = F.array_compact(F.array(*[F.when(_value(c).isNotNull(), F.struct(F.lit(i).alias("i"), _value(c).alias("x"))) for i, c in enumerate(cols)]))
+    return df.select(F.explode(values).alias("r")).select("r.*").groupBy("i").agg(
+        F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", list(asked), accuracy).alias("ap"))
+
+
 def _targets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int, margin: float) -> list[dict]:
     """First read: for each column and probability, n, the wanted ranks and the edges of the bins."""
     delta = margin / accuracy
     points = [[min(1.0, max(0.0, p + delta * (2 * i / STEPS - 1))) for i in range(STEPS + 1)] for p in probs]
     asked = sorted({x for own in points for x in own})
-    row = df.select(*[_value(c).alias(f"x{i}") for i, c in enumerate(cols)]).agg(*[a for i in range(len(cols)) for a in (
-        F.count(f"x{i}").alias(f"n{i}"), F.min(f"x{i}").alias(f"least{i}"), F.max(f"x{i}").alias(f"most{i}"),
-        F.percentile_approx(f"x{i}", asked, accuracy).alias(f"ap{i}"))]).first()
+    found = {r.i: r for r in _sketches(df, cols, asked, accuracy).collect()}              # a row a column
     out = []
     for i, c in enumerate(cols):
-        n = row[f"n{i}"]
+        row = found.get(i)
+        n = row.n if row else 0
         for k, p in enumerate(probs):
             t = {"var": c, "col": i, "k": k, "p": p, "n": n, "edges": []}
             if n:
@@ -58,8 +65,8 @@ def _targets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accurac
                 t |= {"lo": floor(at), "hi": ceil(at), "frac": at - floor(at)}
                 # the margin must hold the sketch's error and the step between the two order statistics
                 few = n * delta < 2 and margin > 0
-                edges = sorted({float(row[f"ap{i}"][asked.index(x)]) for x in points[k]})
-                t["edges"] = [float(row[f"least{i}"]), *(edges[1:-1] if len(edges) > 2 else []), float(row[f"most{i}"])] if few else edges
+                edges = sorted({float(row.ap[asked.index(x)]) for x in points[k]})
+                t["edges"] = [float(row.least), *(edges[1:-1] if len(edges) > 2 else []), float(row.most)] if few else edges
             out.append(t)
     return out
 

@@ -16,7 +16,8 @@ brought up to date every ``REFRESH`` trees; in between tasks apply the few newer
 Derivatives are summed in fixed point, so a fit is the same however rows are partitioned. What reaches the
 driver is one row a node; what is shuffled is tasks x nodes x features x bins, whatever the rows.
 
-Bins are cut at midpoints or quantiles of a sample: the ``SAMPLE_ROWS`` rows with the smallest draw.
+Bins are cut at midpoints or quantiles of a sample: the ``SAMPLE_ROWS`` rows with the smallest draw. Only about as
+many rows leave their tasks: counts of the draws by range tell how far the sample reaches.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ BINS = 64
 SAMPLE_ROWS = 50_000
 REFRESH = 25
 ROWS_A_TASK = 100_000
+WORK_A_TASK = 1_000_000             # rows x fits
+DRAW_RANGES = 4096
 POINT = float(1 << 24)              # fixed point of the derivatives
 PRIME = (1 << 31) - 1
 LEAST_GAIN = 1e-6
@@ -123,8 +126,17 @@ class Tree:
             at[go] = np.where(bins[go, f[go]] <= cut[node], left[node], right[node])
         return at
 
-    def score(self, bins: np.ndarray) -> np.ndarray:
-        return np.asarray(self.value)[self.reach(bins, max(self.depth, default=0))]
+    def ends(self, columns: np.ndarray) -> np.ndarray:
+        """Node in which each row ends; ``columns``: the bins, features by rows. A child has a greater number than its
+        parent, so the last nodes are settled first."""
+        at: list = [np.uint16(k) for k in range(len(self.feature))]
+        for k in reversed(range(len(self.feature))):
+            if self.feature[k] >= 0:
+                at[k] = np.where(columns[self.feature[k]] <= self.cut[k], at[self.left[k]], at[self.right[k]])
+        return at[0] if np.ndim(at[0]) else np.zeros(columns.shape[1], np.uint16)
+
+    def score(self, columns: np.ndarray) -> np.ndarray:
+        return np.asarray(self.value)[self.ends(columns)]
 
 
 def shrunk(g, l1: float):
@@ -174,9 +186,20 @@ class Job:
     fold: int | None = None
 
 
+def smallest_draws(rows: DataFrame, n: int) -> DataFrame:
+    """The rows whose draw lies in the first ranges that hold ``n`` rows together (all, if there are fewer)."""
+    at = F.coalesce(F.floor(F.col("draw") / (PRIME // DRAW_RANGES + 1)), F.lit(-1))       # a missing draw sorts first
+    held = 0
+    for r in rows.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n")).orderBy("at").collect():     # DRAW_RANGES rows
+        held += r.n
+        if held >= n:
+            return rows.filter(at <= r["at"])
+    return rows
+
+
 def bin_edges(rows: DataFrame, feats: Sequence[str], bins: int = BINS, sample_rows: int = SAMPLE_ROWS) -> list[np.ndarray]:
     """Upper edges of the bins of each feature (the last bin is open), from a bounded sample."""
-    sample = rows.orderBy("draw", *feats).limit(sample_rows).select(*[F.col(c).cast("double").alias(c) for c in feats]).toPandas()
+    sample = smallest_draws(rows, sample_rows).orderBy("draw", *feats).limit(sample_rows).select(*[F.col(c).cast("double").alias(c) for c in feats]).toPandas()
     out = []
     for c in feats:
         x = np.sort(sample[c].dropna().to_numpy())
@@ -221,9 +244,23 @@ def _rows(b: pa.RecordBatch, features: int, fits: int) -> tuple[np.ndarray, np.n
     return bins, np.asarray(b.column("scores").flatten()).reshape(b.num_rows, fits)
 
 
+def cell_sums(columns: np.ndarray, features: np.ndarray, here: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Sums ``[node, feature, bin, (g, h, n)]`` of rows that lie in nodes ``here``."""
+    first, out = here.astype(np.intp) * BINS, np.empty((nodes, len(features), BINS, 3), np.int64)
+    for j, f in enumerate(features):
+        cell = first + columns[f]
+        for k, v in enumerate((g, h, None)):
+            out[:, j, :, k] = np.bincount(cell, v, nodes * BINS).reshape(nodes, BINS)
+    return out
+
+
 def _histograms(state: dict):
     """Sums of the level's nodes over a task's rows."""
-    jobs, newer, growing, features, tree, level = (state[k] for k in ("jobs", "newer", "growing", "features", "tree", "level"))
+    jobs, newer, growing, features, tree = (state[k] for k in ("jobs", "newer", "growing", "features", "tree"))
+    # fits that see the same rows take them once
+    alike: dict[tuple, list[int]] = {}
+    for i in growing:
+        alike.setdefault((jobs[i].settings.rows, jobs[i].fold), []).append(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -232,31 +269,29 @@ def _histograms(state: dict):
                 continue
             bins, scores = _rows(b, features, len(jobs))
             draw, fold, label, weight = (b.column(c).to_numpy(zero_copy_only=False) for c in ("draw", "fold", "label", "weight"))
-            for i, (grown, nodes, columns) in growing.items():
-                job = jobs[i]
-                use = drawn_rows(draw, state["seed"], tree, job.settings.rows)
-                if job.fold is not None:
-                    use = use & (fold != job.fold)
+            for (share, left_out), fits in alike.items():
+                use = drawn_rows(draw, state["seed"], tree, share)
+                if left_out is not None:
+                    use = use & (fold != left_out)
                 use = np.flatnonzero(use)
-                x = bins[use]
-                at = grown.reach(x, level)
-                number = np.full(len(grown.feature), -1)
-                number[nodes] = np.arange(len(nodes))
-                here = number[at]
-                keep = here >= 0
-                use, x, here = use[keep], x[keep], here[keep]
-                margin = scores[use, i]
-                for t in newer[i]:
-                    margin = margin + t.score(x)
-                p = 1 / (1 + np.exp(-margin))
-                g = np.rint((p - label[use]) * weight[use] * POINT)
-                h = np.rint(p * (1 - p) * weight[use] * POINT)
-                cell = ((here[:, None] * len(columns) + np.arange(len(columns))) * BINS + x[:, columns]).ravel()
-                size = len(nodes) * len(columns) * BINS
-                found = np.stack([np.bincount(cell, weights=np.repeat(v, len(columns)), minlength=size) for v in (g, h)] + [np.bincount(cell, minlength=size)], axis=1)
-                found = found.astype(np.int64).reshape(len(nodes), len(columns), BINS, 3)
-                for k, node in enumerate(nodes):
-                    sums[i, node] = sums[i, node] + found[k] if (i, node) in sums else found[k]
+                every = np.ascontiguousarray(bins[use].T)
+                for i in fits:
+                    grown, nodes, columns = growing[i]
+                    number = np.full(len(grown.feature), -1)
+                    number[nodes] = np.arange(len(nodes))
+                    here, own, x = number[grown.ends(every)], use, every
+                    if (here < 0).any():
+                        keep = np.flatnonzero(here >= 0)
+                        here, own, x = here[keep], use[keep], every[:, keep]
+                    margin = scores[own, i]
+                    for t in newer[i]:
+                        margin = margin + t.score(x)
+                    p = 1 / (1 + np.exp(-margin))
+                    g = np.rint((p - label[own]) * weight[own] * POINT)
+                    h = np.rint(p * (1 - p) * weight[own] * POINT)
+                    found = cell_sums(x, columns, here, len(nodes), g, h)
+                    for k, node in enumerate(nodes):
+                        sums[i, node] = sums[i, node] + found[k] if (i, node) in sums else found[k]
         share = TaskContext.get().partitionId() % state["shares"]
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([share] * len(sums), pa.int32()),
@@ -304,10 +339,10 @@ def _brought_up(newer: Mapping[int, list[Tree]], features: int, fits: int):
             if not b.num_rows:
                 continue
             bins, scores = _rows(b, features, fits)
-            scores = scores.copy()
+            scores, columns = scores.copy(), np.ascontiguousarray(bins.T)
             for i, trees in newer.items():
                 for t in trees:
-                    scores[:, i] += t.score(bins)
+                    scores[:, i] += t.score(columns)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(scores)], names=b.schema.names)
     return run
 
@@ -322,8 +357,8 @@ class BoostedTrees:
     threshold: float = 0.5
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        bins = binned(x, self.edges)
-        return sum((t.score(bins) for t in self.trees), np.zeros(len(x)))
+        columns = np.ascontiguousarray(binned(x, self.edges).T)
+        return sum((t.score(columns) for t in self.trees), np.zeros(len(x)))
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``p`` and ``pred`` (p above the model's threshold)."""
@@ -402,8 +437,11 @@ def fit_many(rows: DataFrame, feats: Sequence[str], jobs: Sequence[Job], seed: i
         F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight"), *[F.col(c).cast("double").alias(c) for c in feats])
     edges = bin_edges(rows, feats) if edges is None else edges
     kind = "draw long, fold int, label double, weight double, bins binary, scores array<double>"
-    few = rows.coalesce(max(1, -(-rows.count() // ROWS_A_TASK)))                # a task has a level's fixed cost
-    table = stage_table(few.mapInArrow(_stage_rows(feats, edges, len(jobs)), kind), "boost")
+    n = rows.count()
+    # a task has a level's fixed cost; with many fits a few rows are work for all cores
+    tasks = max(1, -(-n // ROWS_A_TASK), min(-(-n * len(jobs) // WORK_A_TASK), 2 * spark.sparkContext.defaultParallelism))
+    dealt = rows.coalesce(tasks) if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
+    table = stage_table(dealt.mapInArrow(_stage_rows(feats, edges, len(jobs)), kind), "boost")
     shares = max(1, isqrt(table.rdd.getNumPartitions()) // 4)
     done: list[list[Tree]] = [[] for _ in jobs]
     newer: dict[int, list[Tree]] = {i: [] for i in range(len(jobs))}
@@ -418,7 +456,7 @@ def fit_many(rows: DataFrame, feats: Sequence[str], jobs: Sequence[Job], seed: i
             growing = {i: (grown[i], nodes[i], columns[i]) for i in grown if nodes[i] and level < jobs[i].settings.depth}
             if not growing:
                 break
-            state = {"jobs": jobs, "newer": newer, "growing": growing, "features": len(feats), "tree": tree, "level": level, "seed": seed, "shares": shares}
+            state = {"jobs": jobs, "newer": newer, "growing": growing, "features": len(feats), "tree": tree, "seed": seed, "shares": shares}
             sums = table.mapInArrow(_histograms(state), "fit int, node int, share int, cells binary")
             if shares > 1:
                 sums = sums.repartition("fit", "node", "share").mapInArrow(_add_up, "fit int, node int, share int, cells binary")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .boosting import LEAST_GAIN, POINT, BoostedTrees, Job, binned, drawn_columns, drawn_rows
+from .boosting import BINS, LEAST_GAIN, POINT, BoostedTrees, Job, binned, cell_sums, drawn_columns, drawn_rows
 
 
 def logistic_gradient(rows: DataFrame, feats: Sequence[str], coefs: Sequence[float], intercept: float, penalty: float,
@@ -30,45 +30,47 @@ def split_faults(rows: DataFrame, model: BoostedTrees, job: Job, seed: int = 42)
     """``(tree, faults)`` of each tree: nodes whose stored split is not the best of their rows, leaves above the
     greatest depth that could be split (where every level is grown whole), and leaves of a wrong value.
 
-    Every row stands once for each tree that drew it and each node it passes, with its derivatives before that
-    tree; the sums by (tree, node, feature, bin) and the gains are plain aggregates and windows.
+    Every row counts once for each tree that drew it and each node it passes, with its derivatives before that
+    tree. A task sums its own rows by (tree, node, feature, bin), so what is shuffled is bounded by the model; the
+    sums of all tasks and the gains are plain aggregates and windows.
     """
     s, feats = job.settings, model.feats
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
+    offered = [drawn_columns(len(feats), seed, i, s.columns) for i in range(len(model.trees))]
+
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: BoostedTrees = shared.value
+        sums = [np.zeros((len(t.feature), len(own), BINS, 3), np.int64) for t, own in zip(m.trees, offered, strict=True)]
         for b in batches:
             if not b.num_rows:
                 continue
-            x = binned(b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(feats)), m.edges)
+            x = np.ascontiguousarray(binned(b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(feats)), m.edges).T)
             draw, label, weight = (b.column(c).to_numpy(zero_copy_only=False) for c in ("draw", "label", "weight"))
             margin = np.zeros(b.num_rows)
             for i, t in enumerate(m.trees):
-                use = np.flatnonzero(drawn_rows(draw, seed, i, s.rows))
+                use, at = np.flatnonzero(drawn_rows(draw, seed, i, s.rows)), t.ends(x)
                 p = 1 / (1 + np.exp(-margin[use]))
-                g = np.rint((p - label[use]) * weight[use] * POINT).astype(np.int64)
-                h = np.rint(p * (1 - p) * weight[use] * POINT).astype(np.int64)
-                for depth in range(max(t.depth) + 1):
-                    at = t.reach(x[use], depth)
-                    here = np.flatnonzero(np.asarray(t.depth)[at] == depth)
-                    own = x[use[here]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(here), i, np.int32)), pa.array(at[here].astype(np.int32)), pa.array(g[here]), pa.array(h[here]),
-                         pa.ListArray.from_arrays(pa.array(np.arange(len(here) + 1, dtype=np.int32) * len(feats)), pa.array(own.ravel()))],
-                        names=["tree", "node", "g", "h", "bins"])
-                margin = margin + t.score(x)
+                g = np.rint((p - label[use]) * weight[use] * POINT)
+                h = np.rint(p * (1 - p) * weight[use] * POINT)
+                sums[i] += cell_sums(x[:, use], offered[i], at[use], len(t.feature), g, h)
+                margin = margin + np.asarray(t.value)[at]
+        for i, t in enumerate(m.trees):
+            for k in reversed(range(len(t.feature))):           # a row passes the nodes above its last one
+                if t.feature[k] >= 0:
+                    sums[i][k] += sums[i][t.left[k]] + sums[i][t.right[k]]
+            node, j, bin_ = np.nonzero(sums[i][..., 2])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v.astype(np.int32)) for v in (np.full(len(node), i), node, offered[i][j], bin_)] + [pa.array(sums[i][node, j, bin_, c]) for c in range(3)],
+                names=["tree", "node", "feature", "bin", "g", "h", "n"])
 
     fold = F.coalesce(F.col("fold").cast("int"), F.lit(-1))
     own = rows.filter(fold != job.fold) if job.fold is not None else rows
     own = own.select(F.col("draw").cast("long").alias("draw"), F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight"),
                      F.array(*[F.col(c).cast("double") for c in feats]).alias("x"))
-    seen = own.mapInArrow(passed, "tree int, node int, g long, h long, bins array<int>")
-    cells = (seen.select("tree", "node", "g", "h", F.posexplode("bins").alias("feature", "bin"))
-             .groupBy("tree", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")))
-    offered = spark.createDataFrame([(i, int(f)) for i in range(len(model.trees)) for f in drawn_columns(len(feats), seed, i, s.columns)], "tree int, feature int")
-    cells = cells.join(F.broadcast(offered), ["tree", "feature"])                   # trees x features
+    seen = own.mapInArrow(passed, "tree int, node int, feature int, bin int, g long, h long, n long")
+    cells = seen.groupBy("tree", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"])     # bounded by the model
     upto = Window.partitionBy("tree", "node", "feature").orderBy("bin")             # at most as many rows as bins
     whole = Window.partitionBy("tree", "node", "feature")
     point = F.lit(POINT)

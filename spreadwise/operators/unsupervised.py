@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+
 POINT = float(1 << 20)
 _CELLS = "a int, b int, low long, high long"
 
@@ -97,11 +99,13 @@ def _fixed(x: np.ndarray) -> np.ndarray:
 
 
 class KMeans:
-    """Lloyd's rounds from k-means|| centres. ``rows``: ``draw`` (0 <= draw < 2^31 - 1) and the features."""
+    """Lloyd's rounds from k-means|| centres. ``rows``: ``draw`` (0 <= draw < 2^31 - 1) and the features; they are
+    staged, since every round reads them."""
 
     def __init__(self, rows: DataFrame, feats: Sequence[str], k: int, seed: int = 42, rounds: int = 3, most: int = 50):
         self.feats, self.k, self.seed = list(feats), k, seed
-        self.x = rows.select(F.col("draw").cast("long").alias("draw"), _x(feats).alias("x")).filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+        x = rows.select(F.col("draw").cast("long").alias("draw"), _x(feats).alias("x"))
+        self.x = stage_table(x.filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v))), "kmeans")
         self.inertia: list[float] = []
         self.centres = self._seeds(rounds)
         for _ in range(most if len(self.centres) else 0):
@@ -157,7 +161,8 @@ class KMeans:
                 x = _matrix(b, width)
                 at, d = _nearest(x, centres)
                 part = np.concatenate([_fixed(x), np.ones((len(x), 1), np.int64), _fixed(d)[:, None]], axis=1)
-                np.add.at(total, at, part)
+                for c in range(k):
+                    total[c] += part[at == c].sum(axis=0)
                 best = np.argsort(-d, kind="stable")[:k]
                 far = sorted(far + [(-_fixed(d[i:i + 1])[0], x[i].tolist()) for i in best.tolist()])[:k]
             for c in range(k):

@@ -49,3 +49,48 @@ def test_sums_of_a_month_are_those_of_decimals(spark, folder):
     got = fx.firm_months(spark, folder)
     a, b = (sorted((r.asDict() for r in d.select(*want.columns).collect()), key=lambda r: (str(r["gvkey"]), str(r["ms"]))) for d in (got, want))
     assert len(a) > 80 and a == b
+
+
+def test_sketches_of_columns_meet_in_different_tasks(spark):
+    from spreadwise.functions.stats import _sketches, quantiles
+    df = spark.range(1000).select(F.col("id").cast("double").alias("a"), F.lit(None).cast("double").alias("b"), F.when(F.col("id") < 10, F.lit(float("nan"))).otherwise(-F.col("id")).alias("c"))
+    s = _sketches(df, ["a", "b", "c"], [0.5], 100)
+    assert "hashpartitioning(i" in plan(s) and {r.i: (r.n, r.least, r.most) for r in s.collect()} == {0: (1000, 0.0, 999.0), 2: (990, -999.0, -10.0)}
+    assert [r["q"] for r in quantiles(df, ["a", "b", "c"], [0.5])] == [499.5, None, -504.5]
+
+
+def test_sample_of_the_bins_leaves_other_rows_where_they_are(spark):
+    from spreadwise.operators import boosting as B
+    df = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(B.PRIME)).alias("draw"), F.col("id").cast("double").alias("a"))
+    few = B.smallest_draws(df, 500)
+    first = lambda d: [r.a for r in d.orderBy("draw", "a").limit(500).collect()]
+    assert 500 <= few.count() < 520 and first(few) == first(df)
+    assert B.smallest_draws(df, 30_000).count() == 20_000
+    odd = df.withColumn("draw", F.when(F.col("a") < 3, None).otherwise(7))
+    assert B.smallest_draws(odd, 2).count() == 3 and B.smallest_draws(odd, 5).count() == 20_000
+
+
+def test_certificate_sums_rows_where_they_lie(spark):
+    from spreadwise.operators import boosting as B
+    from spreadwise.operators import certificates as K
+    df = spark.range(400).select(F.pmod(F.xxhash64("id"), F.lit(B.PRIME)).alias("draw"), F.lit(0).alias("fold"), (F.col("id") % 3 == 0).cast("double").alias("label"),
+                                 F.lit(1.0).alias("weight"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 6).cast("double").alias("b"))
+    job = B.Job(B.Settings(trees=3, depth=2, columns=1.0))
+    faults = K.split_faults(df, B.fit_many(df, ["a", "b"], [job])[0], job)
+    assert "Generate" not in plan(faults) and [r.faults for r in faults.collect()] == [0, 0, 0]
+
+
+def test_many_fits_of_few_rows_use_all_cores(spark, monkeypatch):
+    from spreadwise.operators import boosting as B
+    monkeypatch.setattr(B, "WORK_A_TASK", 100)
+    seen, stage = [], B.stage_table
+    monkeypatch.setattr(B, "stage_table", lambda df, name: seen.append(df.rdd.getNumPartitions()) or stage(df, name))
+    df = spark.range(100).coalesce(1).selectExpr("id * 1000 AS draw", "0 AS fold", "double(id % 2) AS label", "1.0D AS weight", "double(id) AS a")
+    B.fit_many(df, ["a"], [B.Job(B.Settings(trees=1, depth=1))] * 3)
+    assert seen == [3]
+
+
+def test_rounds_of_clusters_read_staged_rows(spark):
+    from spreadwise.operators import unsupervised as U
+    df = spark.range(60).repartition(3).selectExpr("id * 1000 AS draw", "double(id % 4) AS a")
+    assert "Exchange" in plan(df) and "Exchange" not in plan(U.KMeans(df, ["a"], 2).x)
