@@ -12,7 +12,8 @@ and the order is replayed afterwards. A leaf adds ``-rate * T(G) / (H + l2)``, w
 
 Many fits (settings, folds) are grown side by side: one scan of the rows serves a level of all of them.
 Rows are staged once as bins (a byte a feature) with the running scores of every fit, which are
-brought up to date every ``REFRESH`` trees; in between tasks apply the few newer trees themselves.
+brought up to date every ``REFRESH`` trees; in between tasks apply the few newer trees themselves. A staged row
+holds a block of rows, column after column, so that a level does not take every row apart again.
 Derivatives are summed in fixed point, so a fit is the same however rows are partitioned. What reaches the
 driver is one row a node; what is shuffled is tasks x nodes x features x bins, whatever the rows.
 
@@ -33,7 +34,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import stage_table
 from .attribution import Leaf
@@ -225,23 +225,32 @@ def _matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names]) if names else np.zeros((batch.num_rows, 0))
 
 
-def _stage_rows(feats: Sequence[str], edges: Sequence[np.ndarray], fits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = binned(_matrix(b, feats), edges)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("draw"), b.column("fold"), b.column("label"), b.column("weight"), pa.array([r.tobytes() for r in x], pa.binary()),
-                 _lists(np.zeros((b.num_rows, fits)))], ["draw", "fold", "label", "weight", "bins", "scores"])
-    return run
+_BLOCK = {"draw": np.int64, "fold": np.int32, "label": np.float64, "weight": np.float64, "bins": np.uint8, "scores": np.float64}
+_BLOCKS = "rows int, " + ", ".join(f"{c} binary" for c in _BLOCK)
+NO_DRAW = -(1 << 63)                # a row without a draw is in no sample of a tree
 
 
-def _lists(m: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+def _block(columns: Mapping[str, np.ndarray]) -> pa.RecordBatch:
+    """One row that holds a block: ``bins`` and ``scores`` feature by feature and fit by fit."""
+    values = [pa.array([np.ascontiguousarray(columns[c], kind).tobytes()], pa.binary()) for c, kind in _BLOCK.items()]
+    return pa.RecordBatch.from_arrays([pa.array([len(columns["draw"])], pa.int32()), *values], names=["rows", *_BLOCK])
 
 
-def _rows(b: pa.RecordBatch, features: int, fits: int) -> tuple[np.ndarray, np.ndarray]:
-    bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(b.num_rows, features)
-    return bins, np.asarray(b.column("scores").flatten()).reshape(b.num_rows, fits)
+def _blocks(b: pa.RecordBatch, features: int, fits: int) -> Iterator[dict[str, np.ndarray]]:
+    for k, n in enumerate(b.column("rows").to_pylist()):
+        found = {c: np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in _BLOCK.items()}
+        yield found | {"bins": found["bins"].reshape(features, n), "scores": found["scores"].reshape(fits, n)}
+
+
+def _stage_rows(feats: Sequence[str], edges: Sequence[np.ndarray], fits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "label", "weight")}
+            yield _block(own | {"draw": b.column("draw").fill_null(NO_DRAW).to_numpy(), "bins": binned(_matrix(b, feats), edges).T,
+                                "scores": np.zeros((fits, b.num_rows))})
+    return run
 
 
 def cell_sums(columns: np.ndarray, features: np.ndarray, here: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -264,17 +273,14 @@ def _histograms(state: dict):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bins, scores = _rows(b, features, len(jobs))
-            draw, fold, label, weight = (b.column(c).to_numpy(zero_copy_only=False) for c in ("draw", "fold", "label", "weight"))
+        for block in (x for b in batches for x in _blocks(b, features, len(jobs))):
+            draw, fold, label, weight, bins, scores = block.values()
             for (share, left_out), fits in alike.items():
-                use = drawn_rows(draw, state["seed"], tree, share)
+                use = drawn_rows(draw, state["seed"], tree, share) & (draw != NO_DRAW)
                 if left_out is not None:
                     use = use & (fold != left_out)
                 use = np.flatnonzero(use)
-                every = np.ascontiguousarray(bins[use].T)
+                every = bins.take(use, axis=1)
                 for i in fits:
                     grown, nodes, columns = growing[i]
                     number = np.full(len(grown.feature), -1)
@@ -282,8 +288,8 @@ def _histograms(state: dict):
                     here, own, x = number[grown.ends(every)], use, every
                     if (here < 0).any():
                         keep = np.flatnonzero(here >= 0)
-                        here, own, x = here[keep], use[keep], every[:, keep]
-                    margin = scores[own, i]
+                        here, own, x = here[keep], use[keep], every.take(keep, axis=1)
+                    margin = scores[i, own]
                     for t in newer[i]:
                         margin = margin + t.score(x)
                     p = 1 / (1 + np.exp(-margin))
@@ -335,15 +341,12 @@ def _splits(state: dict):
 
 def _brought_up(newer: Mapping[int, list[Tree]], features: int, fits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bins, scores = _rows(b, features, fits)
-            scores, columns = scores.copy(), np.ascontiguousarray(bins.T)
+        for block in (x for b in batches for x in _blocks(b, features, fits)):
+            scores = block["scores"].copy()
             for i, trees in newer.items():
                 for t in trees:
-                    scores[:, i] += t.score(columns)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(scores)], names=b.schema.names)
+                    scores[i] += t.score(block["bins"])
+            yield _block(block | {"scores": scores})
     return run
 
 
@@ -363,17 +366,14 @@ class BoostedTrees:
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``p`` and ``pred`` (p above the model's threshold)."""
         model = rows.sparkSession.sparkContext.broadcast(self)       # bounded by trees x nodes
-        feats = self.feats
-        schema = T.StructType([*rows.schema.fields, T.StructField("p", T.DoubleType())])
-        plain = rows.withColumn("_x", F.array(*[F.col(c).cast("double") for c in feats]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m: BoostedTrees = model.value
-            for b in batches:
-                x = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(feats))
-                p = 1 / (1 + np.exp(-m.margin(x)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], names=[*b.schema.names[:-1], "p"])
-        return plain.mapInArrow(run, schema).withColumn("pred", (F.col("p") > self.threshold).cast("long"))
+        width = len(self.feats)
+
+        @F.arrow_udf("double")
+        def probability(x: pa.Array) -> pa.Array:
+            return pa.array(1 / (1 + np.exp(-model.value.margin(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)))))
+        # only the features leave the JVM; marked as not deterministic, p is made once for all columns that use it
+        p = probability.asNondeterministic()(F.array(*[F.col(c).cast("double") for c in self.feats]))
+        return rows.withColumn("p", p).withColumn("pred", (F.col("p") > self.threshold).cast("long"))
 
     def importances(self) -> list[float]:
         """Share of each feature in the gain of all splits."""
@@ -436,18 +436,17 @@ def fit_many(rows: DataFrame, feats: Sequence[str], jobs: Sequence[Job], seed: i
         F.col("draw").cast("long").alias("draw"), F.coalesce(F.col("fold").cast("int"), F.lit(-1)).alias("fold"),
         F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight"), *[F.col(c).cast("double").alias(c) for c in feats])
     edges = bin_edges(rows, feats) if edges is None else edges
-    kind = "draw long, fold int, label double, weight double, bins binary, scores array<double>"
     n = rows.count()
     # a task has a level's fixed cost; with many fits a few rows are work for all cores
     tasks = max(1, -(-n // ROWS_A_TASK), min(-(-n * len(jobs) // WORK_A_TASK), 2 * spark.sparkContext.defaultParallelism))
     dealt = rows.coalesce(tasks) if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
-    table = stage_table(dealt.mapInArrow(_stage_rows(feats, edges, len(jobs)), kind), "boost")
+    table = stage_table(dealt.mapInArrow(_stage_rows(feats, edges, len(jobs)), _BLOCKS), "boost")
     shares = max(1, isqrt(table.rdd.getNumPartitions()) // 4)
     done: list[list[Tree]] = [[] for _ in jobs]
     newer: dict[int, list[Tree]] = {i: [] for i in range(len(jobs))}
     for tree in range(max(j.settings.trees for j in jobs)):
         if tree and tree % REFRESH == 0:
-            table = stage_table(table.mapInArrow(_brought_up(newer, len(feats), len(jobs)), kind), "boost")
+            table = stage_table(table.mapInArrow(_brought_up(newer, len(feats), len(jobs)), _BLOCKS), "boost")
             newer = {i: [] for i in range(len(jobs))}
         grown = {i: Tree() for i, j in enumerate(jobs) if tree < j.settings.trees}
         columns = {i: drawn_columns(len(feats), seed, tree, jobs[i].settings.columns) for i in grown}
