@@ -10,12 +10,16 @@ with at least ``min_hessian`` and ``min_rows`` on either side. ``leaves`` limits
 taken best first: a node's gain does not depend on when it is split, so the tree is grown to its depth
 and the order is replayed afterwards. A leaf adds ``-rate * T(G) / (H + l2)``, with T shrinking G by l1.
 
-Many fits (settings, folds) are grown side by side: one scan of the rows serves a level of all of them.
-Rows are staged once as bins (a byte a feature) with the running scores of every fit, which are
-brought up to date every ``REFRESH`` trees; in between tasks apply the few newer trees themselves. A staged row
-holds a block of rows, column after column, so that a level does not take every row apart again.
-Derivatives are summed in fixed point, so a fit is the same however rows are partitioned. What reaches the
-driver is one row a node; what is shuffled is tasks x nodes x features x bins, whatever the rows.
+Many fits (settings, folds) are grown side by side: one scan of the rows serves a level of all fits that leave out the
+same fold. These scan the rows of the other folds only; another fold's fits are grown at the same time by a thread of
+their own, so that the cluster works for one while the splits of another are found.
+Rows are staged once as bins (a byte a feature), a block of rows, column after column, to a staged row, so that a
+level does not take every row apart again. Beside the bins a block keeps the running scores of the fits that still
+grow. They are brought up to date once a tree and persisted; every ``REFRESH`` trees they are checkpointed, so that
+their lineage stays short. Of two children only the one with fewer rows is summed, the other is what is left of its
+parent's sums, which stay where they were found. Derivatives are summed in fixed point, so a fit is the same however
+rows are partitioned. What reaches the driver is one row a node; what is shuffled is tasks x nodes x features x bins,
+whatever the rows.
 
 Bins are cut at midpoints or quantiles of a sample: the ``SAMPLE_ROWS`` rows with the smallest draw. Only about as
 many rows leave their tasks: counts of the draws by range tell how far the sample reaches.
@@ -23,16 +27,18 @@ many rows leave their tasks: counts of the draws by range tell how far the sampl
 
 from __future__ import annotations
 
+import gc
 import heapq
 import random
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import RDD, StorageLevel, inheritable_thread_target
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_table
@@ -41,8 +47,10 @@ from .attribution import Leaf
 BINS = 64
 SAMPLE_ROWS = 50_000
 REFRESH = 25
-ROWS_A_TASK = 100_000
+ROWS_A_TASK = 200_000
 WORK_A_TASK = 1_000_000             # rows x fits
+BLOCK_ROWS = 30_000
+FITS_A_TASK = 16                    # where sums of all tasks meet
 DRAW_RANGES = 4096
 POINT = float(1 << 24)              # fixed point of the derivatives
 PRIME = (1 << 31) - 1
@@ -128,15 +136,19 @@ class Tree:
 
     def ends(self, columns: np.ndarray) -> np.ndarray:
         """Node in which each row ends; ``columns``: the bins, features by rows. A child has a greater number than its
-        parent, so the last nodes are settled first."""
-        at: list = [np.uint16(k) for k in range(len(self.feature))]
+        parent, so the last nodes are settled first: from the left one, as far as the right one for rows that go there
+        (modulo 2^8 or 2^16)."""
+        kind = np.uint8 if len(self.feature) <= 1 << 8 else np.uint16
+        at: list = list(np.arange(len(self.feature), dtype=kind))
         for k in reversed(range(len(self.feature))):
             if self.feature[k] >= 0:
-                at[k] = np.where(columns[self.feature[k]] <= self.cut[k], at[self.left[k]], at[self.right[k]])
-        return at[0] if np.ndim(at[0]) else np.zeros(columns.shape[1], np.uint16)
+                low, high = at[self.left[k]], at[self.right[k]]
+                with np.errstate(over="ignore"):
+                    at[k] = (columns[self.feature[k]] > self.cut[k]).view(np.uint8) * (high - low) + low
+        return at[0] if np.ndim(at[0]) else np.zeros(columns.shape[1], kind)
 
     def score(self, columns: np.ndarray) -> np.ndarray:
-        return np.asarray(self.value)[self.ends(columns)]
+        return np.asarray(self.value).take(self.ends(columns))
 
 
 def shrunk(g, l1: float):
@@ -236,12 +248,6 @@ def _block(columns: Mapping[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([len(columns["draw"])], pa.int32()), *values], names=["rows", *_BLOCK])
 
 
-def _blocks(b: pa.RecordBatch, features: int, fits: int) -> Iterator[dict[str, np.ndarray]]:
-    for k, n in enumerate(b.column("rows").to_pylist()):
-        found = {c: np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in _BLOCK.items()}
-        yield found | {"bins": found["bins"].reshape(features, n), "scores": found["scores"].reshape(fits, n)}
-
-
 def _stage_rows(feats: Sequence[str], edges: Sequence[np.ndarray], fits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,9 +259,55 @@ def _stage_rows(feats: Sequence[str], edges: Sequence[np.ndarray], fits: int):
     return run
 
 
+def _opened(features: int, fits: int, left_out: int | None):
+    """Staged rows but those of a fold as arrays, put together to blocks of ``BLOCK_ROWS`` or a little more, with scores of 0."""
+    def block(r: Row) -> dict[str, np.ndarray]:
+        found = {c: np.frombuffer(r[c], kind) for c, kind in _BLOCK.items() if c != "scores"}
+        found["bins"] = found["bins"].reshape(features, r["rows"])
+        own = np.flatnonzero(found["fold"] != left_out) if left_out is not None else slice(None)
+        return {c: x[..., own] for c, x in found.items()}
+
+    def whole(found: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        one = {c: np.concatenate([x[c] for x in found], axis=-1) for c in found[0]}
+        return one | {"scores": np.zeros((fits, len(one["draw"])))}
+
+    def run(part: Iterator[Row]) -> Iterator[dict[str, np.ndarray]]:
+        found: list[dict[str, np.ndarray]] = []
+        for r in part:
+            found.append(block(r))
+            if sum(len(x["draw"]) for x in found) >= BLOCK_ROWS:
+                yield whole(found)
+                found = []
+        if found:
+            yield whole(found)
+    return run
+
+
+def _brought_up(newer: Mapping[int, Tree], places: Sequence[int]):
+    """Scores of the fits that grow on, after one more tree; ``places``: where theirs were."""
+    def run(block: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        scores = np.empty((len(newer), len(block["draw"])))
+        for k, (t, place) in enumerate(zip(newer.values(), places, strict=True)):
+            np.add(block["scores"][place], t.score(block["bins"]), out=scores[k])
+        return block | {"scores": scores}
+    return run
+
+
 def cell_sums(columns: np.ndarray, features: np.ndarray, here: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Sums ``[node, feature, bin, (g, h, n)]`` of rows that lie in nodes ``here``."""
     first, out = here.astype(np.intp) * BINS, np.empty((nodes, len(features), BINS, 3), np.int64)
+    total = h.sum()
+    unit = 2.0 ** int(total).bit_length() if 0 <= total < 1 << 52 else np.inf
+    if len(h) and h.min() >= 0 and unit * (len(h) + 1) <= 1 << 53:
+        # one pass for all three: a row counts as one unit, which no sum of h reaches, and doubles are exact up to 2^53
+        rows, sums = np.empty(len(g), complex), np.zeros((len(features), nodes * BINS), complex)
+        rows.real, rows.imag = g, h + unit
+        for own, f in zip(sums, features, strict=True):
+            np.add.at(own, first + columns[f], rows)
+        sums = sums.reshape(len(features), nodes, BINS).swapaxes(0, 1)
+        out[..., 0], out[..., 2] = sums.real, sums.imag // unit
+        out[..., 1] = sums.imag % unit
+        return out
     for j, f in enumerate(features):
         cell = first + columns[f]
         for k, v in enumerate((g, h, None)):
@@ -263,90 +315,68 @@ def cell_sums(columns: np.ndarray, features: np.ndarray, here: np.ndarray, nodes
     return out
 
 
+def _settle() -> None:
+    """A worker collects garbage after each of its many short tasks; it need not go through all modules every time."""
+    if not gc.get_freeze_count():
+        gc.freeze()
+
+
 def _histograms(state: dict):
-    """Sums of the level's nodes over a task's rows."""
-    jobs, newer, growing, features, tree = (state[k] for k in ("jobs", "newer", "growing", "features", "tree"))
+    """Sums of the level's nodes over a task's rows: ``((fit, share), {node: cells})``."""
+    jobs, places, growing, tree = (state[k] for k in ("jobs", "places", "growing", "tree"))
     # fits that see the same rows take them once
-    alike: dict[tuple, list[int]] = {}
+    alike: dict[float, list[int]] = {}
     for i in growing:
-        alike.setdefault((jobs[i].settings.rows, jobs[i].fold), []).append(i)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for block in (x for b in batches for x in _blocks(b, features, len(jobs))):
-            draw, fold, label, weight, bins, scores = block.values()
-            for (share, left_out), fits in alike.items():
-                use = drawn_rows(draw, state["seed"], tree, share) & (draw != NO_DRAW)
-                if left_out is not None:
-                    use = use & (fold != left_out)
-                use = np.flatnonzero(use)
+        alike.setdefault(jobs[i].settings.rows, []).append(i)
+
+    def run(part: int, blocks: Iterator[dict[str, np.ndarray]]) -> Iterator[tuple]:
+        _settle()
+        sums: dict[int, np.ndarray] = {}
+        for block in blocks:
+            draw, _, label, weight, bins, scores = (block[c] for c in _BLOCK)
+            for share, fits in alike.items():
+                use = np.flatnonzero(drawn_rows(draw, state["seed"], tree, share) & (draw != NO_DRAW))
                 every = bins.take(use, axis=1)
+                wide, y, w = every.astype(np.intp), label[use], weight[use] * POINT
                 for i in fits:
                     grown, nodes, columns = growing[i]
                     number = np.full(len(grown.feature), -1)
                     number[nodes] = np.arange(len(nodes))
-                    here, own, x = number[grown.ends(every)], use, every
-                    if (here < 0).any():
+                    here, x, own, y_, w_ = number.take(grown.ends(every)), wide, use, y, w
+                    if len(grown.feature) > 1:                # rows of the other nodes stay out
                         keep = np.flatnonzero(here >= 0)
-                        here, own, x = here[keep], use[keep], every.take(keep, axis=1)
-                    margin = scores[i, own]
-                    for t in newer[i]:
-                        margin = margin + t.score(x)
-                    p = 1 / (1 + np.exp(-margin))
-                    g = np.rint((p - label[own]) * weight[own] * POINT)
-                    h = np.rint(p * (1 - p) * weight[own] * POINT)
-                    found = cell_sums(x, columns, here, len(nodes), g, h)
-                    for k, node in enumerate(nodes):
-                        sums[i, node] = sums[i, node] + found[k] if (i, node) in sums else found[k]
-        share = TaskContext.get().partitionId() % state["shares"]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([share] * len(sums), pa.int32()),
-             pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["fit", "node", "share", "cells"])
+                        here, own, y_, w_ = here[keep], use[keep], y[keep], w[keep]
+                        x = {f: wide[f].take(keep) for f in columns}
+                    p = 1 / (1 + np.exp(-scores[places[i]].take(own)))
+                    found = cell_sums(x, columns, here, len(nodes), np.rint((p - y_) * w_), np.rint(p * (1 - p) * w_))
+                    sums[i] = sums[i] + found if i in sums else found
+        for i, cells in sums.items():
+            yield (i, part % state["shares"]), dict(zip(growing[i][1], cells, strict=True))
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> dict[tuple, np.ndarray]:
-    sums: dict[tuple, np.ndarray] = {}
-    for b in batches:
-        for fit, node, share, cells in zip(*(b.column(c).to_pylist() for c in ("fit", "node", "share", "cells")), strict=True):
-            key, v = (fit, node, share), np.frombuffer(cells, np.int64)
-            sums[key] = sums[key] + v if key in sums else v
-    return sums
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = _summed(batches)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([0] * len(sums), pa.int32()),
-         pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["fit", "node", "share", "cells"])
-
-
-_SPLIT = "fit int, node int, feature int, cut int, gain double, total array<long>, low array<long>, high array<long>"
+def _added(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    return {k: v + b[k] for k, v in a.items()}
 
 
 def _splits(state: dict):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for (fit, node, _), cells in _summed(batches).items():
-            columns = state["growing"][fit][2]
-            cells = cells.reshape(len(columns), BINS, 3)
-            found = best_split(cells, columns, state["jobs"][fit].settings)
-            total = cells[0].sum(axis=0).tolist()
-            rows.append((fit, node, *(found[:3] if found else (-1, 0, 0.0)), total, list(found[3]) if found else None, list(found[4]) if found else None))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), *[pa.list_(pa.int64())] * 3)
-        names = ["fit", "node", "feature", "cut", "gain", "total", "low", "high"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=names)
-    return run
-
-
-def _brought_up(newer: Mapping[int, list[Tree]], features: int, fits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in (x for b in batches for x in _blocks(b, features, fits)):
-            scores = block["scores"].copy()
-            for i, trees in newer.items():
-                for t in trees:
-                    scores[i] += t.score(block["bins"])
-            yield _block(block | {"scores": scores})
+    """Sums and best splits of a level's nodes, from the sums of those that were scanned (dicts) and what this returned
+    for the level above: ``(fit, (cells by node, splits))``."""
+    def run(part: Iterator[tuple]) -> Iterator[tuple]:
+        _settle()
+        scanned, above = {}, {}
+        for fit, found in part:
+            if isinstance(found, dict):
+                scanned[fit] = found
+            else:
+                above[fit] = found[0]
+        for fit, cells in scanned.items():
+            grown, _, columns = state["growing"][fit]
+            for parent, whole in above.get(fit, {}).items():
+                if grown.feature[parent] >= 0:
+                    one, other = sorted((grown.left[parent], grown.right[parent]), key=cells.__contains__)
+                    cells[one] = whole - cells[other]
+            yield fit, (cells, [(fit, k, own[0].sum(axis=0).tolist(), best_split(own, columns, state["jobs"][fit].settings)) for k, own in cells.items()])
     return run
 
 
@@ -360,8 +390,10 @@ class BoostedTrees:
     threshold: float = 0.5
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        columns = np.ascontiguousarray(binned(x, self.edges).T)
-        return sum((t.score(columns) for t in self.trees), np.zeros(len(x)))
+        return self.margin_of_bins(np.ascontiguousarray(binned(x, self.edges).T))
+
+    def margin_of_bins(self, columns: np.ndarray) -> np.ndarray:
+        return sum((t.score(columns) for t in self.trees), np.zeros(columns.shape[1]))
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``p`` and ``pred`` (p above the model's threshold)."""
@@ -440,36 +472,69 @@ def fit_many(rows: DataFrame, feats: Sequence[str], jobs: Sequence[Job], seed: i
     # a task has a level's fixed cost; with many fits a few rows are work for all cores
     tasks = max(1, -(-n // ROWS_A_TASK), min(-(-n * len(jobs) // WORK_A_TASK), 2 * spark.sparkContext.defaultParallelism))
     dealt = rows.coalesce(tasks) if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
-    table = stage_table(dealt.mapInArrow(_stage_rows(feats, edges, len(jobs)), _BLOCKS), "boost")
-    shares = max(1, isqrt(table.rdd.getNumPartitions()) // 4)
+    table = stage_table(dealt.mapInArrow(_stage_rows(feats, edges, 0), _BLOCKS), "boost")
+    by_fold: dict[int | None, list[int]] = {}
+    for i, job in enumerate(jobs):
+        by_fold.setdefault(job.fold, []).append(i)
+    # tasks of all folds are on their way at once: half as many again as there are cores
+    tasks = max(1, -(-n // ROWS_A_TASK), -(-3 * spark.sparkContext.defaultParallelism // (2 * max(len(by_fold), 1))))
+    staged = table.rdd.coalesce(tasks)
+    grow = inheritable_thread_target(spark)(lambda own: _grow(staged, len(feats), [jobs[i] for i in own], seed))
+    trees: list[list[Tree]] = [[] for _ in jobs]
+    with ThreadPoolExecutor(max(len(by_fold), 1)) as pool:
+        for own, found in zip(by_fold.values(), pool.map(grow, by_fold.values()), strict=True):
+            for i, one in zip(own, found, strict=True):
+                trees[i] = one
+    return [BoostedTrees(feats, edges, one) for one in trees]
+
+
+def _grow(table: RDD, features: int, jobs: Sequence[Job], seed: int) -> list[list[Tree]]:
+    """Trees of ``jobs`` that leave out the same fold, from the staged rows."""
+    active = list(range(len(jobs)))
+    blocks = table.mapPartitions(_opened(features, len(jobs), jobs[0].fold))
+    shares = max(1, isqrt(blocks.getNumPartitions()) // 4)
+    parts = min(-(-len(jobs) // FITS_A_TASK), table.context.defaultParallelism)
     done: list[list[Tree]] = [[] for _ in jobs]
-    newer: dict[int, list[Tree]] = {i: [] for i in range(len(jobs))}
     for tree in range(max(j.settings.trees for j in jobs)):
+        before = blocks
+        if tree:
+            places = {i: k for k, i in enumerate(active)}
+            active = [i for i in active if tree < jobs[i].settings.trees]
+            blocks = before.map(_brought_up({i: done[i][-1] for i in active}, [places[i] for i in active]))
+        blocks.persist(StorageLevel.MEMORY_AND_DISK)
         if tree and tree % REFRESH == 0:
-            table = stage_table(table.mapInArrow(_brought_up(newer, len(feats), len(jobs)), _BLOCKS), "boost")
-            newer = {i: [] for i in range(len(jobs))}
-        grown = {i: Tree() for i, j in enumerate(jobs) if tree < j.settings.trees}
-        columns = {i: drawn_columns(len(feats), seed, tree, jobs[i].settings.columns) for i in grown}
-        nodes = {i: [t.add(0)] for i, t in grown.items()}
-        for level in range(max(jobs[i].settings.depth for i in grown)):
-            growing = {i: (grown[i], nodes[i], columns[i]) for i in grown if nodes[i] and level < jobs[i].settings.depth}
+            blocks.checkpoint()                                         # into the folder of the stage tables
+        grown = {i: Tree() for i in active}
+        columns = {i: drawn_columns(features, seed, tree, jobs[i].settings.columns) for i in active}
+        scanned = {i: [t.add(0)] for i, t in grown.items()}
+        above: RDD | None = None
+        for level in range(max(jobs[i].settings.depth for i in active)):
+            growing = {i: (grown[i], scanned[i], columns[i]) for i in active if scanned[i] and level < jobs[i].settings.depth}
             if not growing:
                 break
-            state = {"jobs": jobs, "newer": newer, "growing": growing, "features": len(feats), "tree": tree, "seed": seed, "shares": shares}
-            sums = table.mapInArrow(_histograms(state), "fit int, node int, share int, cells binary")
+            state = {"jobs": jobs, "places": {i: k for k, i in enumerate(active)}, "growing": growing, "tree": tree, "seed": seed, "shares": shares}
+            sums = blocks.mapPartitionsWithIndex(_histograms(state))
             if shares > 1:
-                sums = sums.repartition("fit", "node", "share").mapInArrow(_add_up, "fit int, node int, share int, cells binary")
-            nodes = {i: [] for i in grown}
-            found = sums.repartition("fit", "node").mapInArrow(_splits(state), _SPLIT).collect()      # one row a node
-            for r in sorted(found, key=lambda r: (r.fit, r.node)):
-                t = grown[r.fit]
-                t.g[r.node], t.h[r.node], t.n[r.node] = r.total
-                if r.feature >= 0:
-                    t.split(r.node, r.feature, r.cut, r.gain, tuple(r.low), tuple(r.high))
-            for i, (t, old, _) in growing.items():
-                nodes[i] = [c for k in old if t.feature[k] >= 0 for c in (t.left[k], t.right[k])]
+                sums = sums.reduceByKey(_added, parts * shares)
+            sums = sums.map(lambda of: (of[0][0], of[1])).reduceByKey(_added, parts)
+            if above:
+                sums = sums.union(above).partitionBy(parts)             # both lie by fit: nothing moves
+            last, above = above, sums.mapPartitions(_splits(state), preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+            for fit, node, total, found in sorted(above.flatMap(lambda of: of[1][1]).collect(), key=lambda r: r[:2]):      # one row a node
+                t = grown[fit]
+                t.g[node], t.h[node], t.n[node] = total
+                if found:
+                    t.split(node, *found)
+            if last:
+                last.unpersist()
+            elif before is not blocks:
+                before.unpersist()
+            for i, (t, _, _) in growing.items():
+                scanned[i] = [min(t.left[k], t.right[k], key=lambda c: t.n[c]) for k in range(len(t.feature)) if t.depth[k] == level and t.feature[k] >= 0]
+        if above:
+            above.unpersist()
         for i, t in grown.items():
             t.finish(jobs[i].settings)
             done[i].append(t)
-            newer[i].append(t)
-    return [BoostedTrees(feats, edges, trees) for trees in done]
+    blocks.unpersist()
+    return done
