@@ -8,6 +8,7 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage_table
 from . import metrics
-from .boosting import Job, Settings, fit_many
+from .boosting import Job, Settings, binned, fit_many
 
 # The grids that are searched, by model
 GRIDS = {
@@ -65,13 +66,32 @@ def setting_text(s: Mapping) -> str:
     return ", ".join(f"{k}={v}" for k, v in sorted(s.items()))
 
 
+def _left_out_scores(models: Broadcast, jobs: Sequence[Job], width: int):
+    """Log-odds of each row under the fits that left out its fold. The fits of a search share their bins: a row is binned once."""
+    by_fold: dict[int, list[int]] = {}
+    for i, job in enumerate(jobs):
+        by_fold.setdefault(job.fold, []).append(i)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
+            fold, label = b.column("fold").to_numpy(zero_copy_only=False), b.column("label").to_numpy(zero_copy_only=False)
+            bins = binned(m, models.value[0].edges).T
+            for left_out, fits in by_fold.items():
+                own = np.flatnonzero(fold == left_out)
+                columns = bins.take(own, axis=1)
+                p = np.concatenate([models.value[i].margin_of_bins(columns) for i in fits])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(fits, np.int32), len(own))), pa.array(np.tile(label[own], len(fits))), pa.array(p)], names=["fit", "label", "p"])
+    return scored
+
+
 def boosted_search(train: DataFrame, feats: Sequence[str], grids: Mapping[str, Mapping[str, Sequence]], draws: int = 15, folds: int = 3,
                    seed: int = 42) -> DataFrame:
     """Random search of the regularised booster: every drawn setting of every model is fitted on every
     choice of ``folds`` - 1 folds and scored by exact AUC on the other.
 
-    All fits (models x draws x folds) are grown side by side, each level of all their trees by one scan of the rows;
-    the left-out rows' scores are one table, whose AUCs are one aggregate. ``train``: ``draw``, ``fold``, ``label``,
+    All fits (models x draws x folds) are grown side by side, each level of all trees that leave out the same fold by
+    one scan of the other rows; the left-out rows' scores are one table, whose AUCs are one aggregate. ``train``: ``draw``, ``fold``, ``label``,
     ``weight`` and the features. Rows: ``(model, draw, setting, fold, auc)``.
     """
     spark = train.sparkSession
@@ -81,16 +101,7 @@ def boosted_search(train: DataFrame, feats: Sequence[str], grids: Mapping[str, M
     shared = spark.sparkContext.broadcast(models)                       # bounded by fits x trees x nodes
     x = F.array(*[F.col(c).cast("double") for c in feats])
     rows = train.select(F.col("fold").cast("int").alias("fold"), F.col("label").cast("long").alias("label"), x.alias("x"))
-    width = len(feats)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
-            fold, label = b.column("fold").to_numpy(zero_copy_only=False), b.column("label").to_numpy(zero_copy_only=False)
-            for i, (job, model) in enumerate(zip(jobs, shared.value, strict=True)):
-                own = np.flatnonzero(fold == job.fold)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), pa.array(label[own]), pa.array(model.margin(m[own]))], names=["fit", "label", "p"])
-    table = stage_table(rows.mapInArrow(scored, "fit int, label long, p double"), "search")       # AUC is the same on log-odds
+    table = stage_table(rows.mapInArrow(_left_out_scores(shared, jobs, len(feats)), "fit int, label long, p double"), "search")       # AUC is the same on log-odds
     auc = metrics.auc(table, by=["fit"])
     fits = [(k * folds + f, model, i, setting_text(s), f) for k, (model, i, s) in enumerate(drawn) for f in range(folds)]
     named = spark.createDataFrame(fits, "fit int, model string, draw int, setting string, fold int")
